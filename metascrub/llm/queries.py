@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from metascrub.llm import decontam
+from metascrub.llm import decontam, substring_dedup
 
 QUERIES = {
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}

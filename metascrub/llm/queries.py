@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from metascrub.llm import decontam, jaccard, substring_dedup
+from metascrub.llm import decontam, jaccard, langid, substring_dedup
 
 QUERIES = {
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op6_language_id": langid.op6_language_id,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from metascrub.llm import decontam, jaccard, langid, substring_dedup
+from metascrub.llm import decontam, jaccard, langid, quality, substring_dedup
 
 QUERIES = {
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
+    "op1_quality_rules": quality.op1_quality_rules,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op6_language_id": langid.op6_language_id,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from metascrub.llm import decontam, jaccard, langid, quality, substring_dedup
+from metascrub.llm import chat, decontam, jaccard, langid, mixing, quality, substring_dedup
 
 QUERIES = {
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
+    "op10_mixing_sources": mixing.op10_mixing_sources,
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_language_id": langid.op6_language_id,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_mixing_sources": mixing.ORACLE,
+}

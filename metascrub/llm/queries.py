@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from metascrub.llm import chat, decontam, jaccard, langid, mixing, quality, substring_dedup
+from metascrub.llm import chat, decontam, jaccard, langid, mixing, quality, secret_scan, substring_dedup, warc
 
 QUERIES = {
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op10_mixing_sources": mixing.op10_mixing_sources,
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_warc": warc.op2_warc,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_language_id": langid.op6_language_id,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
@@ -16,4 +18,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op10_mixing_sources": mixing.ORACLE,
+    "op2_warc": warc.ORACLE,
 }

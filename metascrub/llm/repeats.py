@@ -40,12 +40,13 @@ def segments(low: np.ndarray, first: np.ndarray, target: int, most: int) -> tupl
     return place[head], place[np.concatenate((head[1:], [len(place)])) - 1], of[head]
 
 
-def rows_of(docs: DataFrame, cut: Callable, same_doc: bool) -> DataFrame:
-    """ROWS of (doc_id, text). cut: bytes and row starts to (anchor, segment hash, row, first window in the row, windows).
+def rows_of(docs: DataFrame, cut: Callable, same_doc: bool, piece_bytes: int = tx.PIECE) -> DataFrame:
+    """ROWS of (doc_id, text). cut: bytes and row starts to (anchor, segment hash, row, first window in the row, windows;
+    windows below zero: as many, and some of them may be equal).
     known: an equal segment of an earlier document stands in the same piece. same_doc: one earlier in its own document counts too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in tx.pieces(batches):
+        for piece in tx.pieces(batches, most=piece_bytes):
             ids = np.asarray(piece.column("doc_id")).astype(np.int64)
             anchor, seg, row, lo, n = cut(*tx.as_bytes(piece.column("text")))
             doc = ids[row]
@@ -87,7 +88,7 @@ def flags_of(rows: DataFrame, same_doc: bool) -> DataFrame:
             anchor, seg, doc, lo, n = (np.asarray(batch.column(i)) for i in range(5))
             known = np.asarray(batch.column(5).to_numpy(zero_copy_only=False))
             if known.any():
-                yield out(doc[known], lo[known], n[known], np.zeros(known.sum(), bool))
+                yield out(doc[known], lo[known], np.abs(n[known]), np.zeros(known.sum(), bool))
                 anchor, seg, doc, lo, n = (x[~known] for x in (anchor, seg, doc, lo, n))
             if not len(anchor):
                 continue
@@ -112,11 +113,11 @@ def flags_of(rows: DataFrame, same_doc: bool) -> DataFrame:
             if goes_on:
                 at_head[0] = False
             leads = at_head if same_doc else doc == np.repeat(g_doc, size)
-            part = leads & np.repeat(more, size)
+            part = leads & (np.repeat(more, size) | (n < 0))
             keep = ~leads | part
-            yield out(doc[keep], lo[keep], n[keep], part[keep])
+            yield out(doc[keep], lo[keep], np.abs(n[keep]), part[keep])
             if not more[-1]:
-                own = np.flatnonzero(leads[head[-1] :]) + head[-1]
+                own = np.flatnonzero((leads & ~part)[head[-1] :]) + head[-1]
                 held = (held if goes_on and len(head) == 1 else []) + [(doc[i], lo[i], n[i]) for i in own]
             else:
                 held = []

@@ -80,10 +80,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, buckets: int = B
     known = labelled(labels, True, most).unionAll(labelled(labels, False, most)).groupBy("doc_id").agg(F.min("_good").alias("_good"))
     known = F.broadcast(known)  # at most 2 * most ids
     hashed = lambda df: df.withColumn("wh", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).withColumn("g", grams(buckets))
-    marked = hashed(docs.join(known, "doc_id", "left")).select(F.explode("g").alias("g"), "_good")
+    marked = hashed(docs.join(known, "doc_id", "left")).select(F.explode_outer("g").alias("g"), "_good")  # explode alone brings a filter on g, which is pushed down and makes each gram hash its whole text
     raw, own = [0] * (2 * buckets), [0] * (2 * buckets)
     for r in marked.groupBy("g").agg(F.count("*").alias("raw"), F.count_if("_good").alias("own")).collect():  # 2 * buckets rows at most
-        raw[r["g"]], own[r["g"]] = r["raw"], r["own"]
+        if r["g"] is not None:
+            raw[r["g"]], own[r["g"]] = r["raw"], r["own"]
     if not sum(own):
         return [0.0] * (2 * buckets), 0.0
     ratio = []

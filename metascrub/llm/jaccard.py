@@ -6,7 +6,9 @@ first; two sets that link share a token of their prefixes. The index lists of pr
 set size and skipped by position: a list is cut where the sizes leave no pair, and a block whose postings all
 stand too late in their sets for the overlap that a link needs is skipped whole. A list is answered from its first
 set (the pivot): each other set is joined to the pivot's group instead of to all sets of the list, so a list of m
-sets gives m rows. Inside a group the answers of each set come from the pivot's: overlaps with the pivot bound the overlap
+sets gives m rows. In a group, sketches come first: counts of tokens in about size/6 ranges of hash, whose
+differences sum to at most the true difference of two sets, so they only drop sets that cannot link. The rest get
+their tokens, and the answers of each set come from the pivot's: overlaps with the pivot bound the overlap
 of any two sets from below and above, and only pairs that the bounds leave open are counted token by token. Groups
 above a size are split into blocks whose pairs of blocks are separate tasks' work.
 """
@@ -25,6 +27,7 @@ from metascrub.llm import text as tx
 
 BUCKETS = 1 << 16  #: counters of token frequency, whatever the corpus
 GROUP_TOKENS = 2_000_000  #: tokens of a group's sets that one task holds of each of two blocks
+GROUP_SETS = 10_000  #: sketches of a group's sets, likewise
 
 
 def gram_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,19 +67,31 @@ def _need(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def sketches(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set its numbers of tokens in 2^k ranges of hash, of which it has 4 to 8 on average; 255 stands for more."""
+    size = np.diff(at)
+    level = np.maximum(np.int64(4), np.floor(np.log2(np.maximum(size, 1) / 4)).astype(np.int64))
+    width = 1 << level
+    start = np.cumsum(width) - width
+    row = np.repeat(np.arange(len(size)), size)
+    spot = start[row] + (grams >> (np.uint64(64) - level[row].astype(np.uint64))).astype(np.int64)
+    counts = np.minimum(np.bincount(spot, minlength=int(width.sum())), 255).astype(np.uint8)
+    return [counts[s : s + w].tobytes() for s, w in zip(start, width, strict=True)]
+
+
 def classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, set_id, size) of each row, and the counters of token frequency."""
+    """(doc_id, set_id, size, sketch) of each row, and the counters of token frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for piece in tx.pieces(batches):
             grams, at, ids = gram_sets(*tx.as_bytes(piece.column(1)), n)
             total += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            yield _out("count_of doc_id set_id size", pa.nulls(len(ids), pa.int32()), piece.column(0), ids.view(np.int64), np.diff(at))
+            yield _out("count_of doc_id set_id size sketch", pa.nulls(len(ids), pa.int32()), piece.column(0), ids.view(np.int64), np.diff(at), pa.array(sketches(grams, at), pa.binary()))
         some = np.flatnonzero(total)
-        yield _out("count_of doc_id set_id size", some.astype(np.int32), pa.nulls(len(some), pa.int64()), np.zeros(len(some), np.int64), total[some])
+        yield _out("count_of doc_id set_id size sketch", some.astype(np.int32), pa.nulls(len(some), pa.int64()), np.zeros(len(some), np.int64), total[some], pa.nulls(len(some), pa.binary()))
 
-    both = store.saved(docs.mapInArrow(run, "count_of int, doc_id long, set_id long, size long"), "sets")
+    both = store.saved(docs.mapInArrow(run, "count_of int, doc_id long, set_id long, size long, sketch binary"), "sets")
     counts = np.zeros(BUCKETS, np.int64)
     for row in both.filter("count_of is not null").groupBy("count_of").agg(F.sum("size").alias("k")).toLocalIterator():
         counts[row["count_of"]] = row["k"]
@@ -116,7 +131,7 @@ def groups(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFra
             start = head[-1]
             if len(token) - start > 1_000_000:
                 early[-1] = True  # a superset of the pairs is as good, and nothing grows without end
-            got = early[block] & (ids != pivot[block])
+            got = early[block] & (np.bincount(block, ids != pivot[block]) > 0)[block]
             own, of = ids[got], pivot[block[got]]
             order = np.lexsort((own, of))
             once = repeats._heads(of[order], own[order])
@@ -124,8 +139,7 @@ def groups(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFra
             kept = [token[-1:], size[-1:], pivot[-1:], np.zeros(1, bool)] if early[-1] else [x[start:] for x in (token, size, ids, late)]
 
     lists = docs.mapInArrow(postings, "token long, size int, set_id long, late boolean").repartition("token").sortWithinPartitions("token", "size", "set_id")
-    near = lists.mapInArrow(skip, "set_id long, pivot long").distinct()
-    return near.unionAll(near.select(F.col("pivot").alias("set_id"), "pivot")).distinct()
+    return lists.mapInArrow(skip, "set_id long, pivot long").distinct()
 
 
 def overlaps(mark: np.ndarray, flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -175,11 +189,17 @@ def links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame,
     """The rows' classes (doc_id, set_id, size), the classes' first documents (set_id, size, node, rows), and, saved,
     (a, b, n): edges of a forest with the links' components (n null) and numbers of linked rows (b null)."""
     rows, counts = classes(docs, n)
-    reps = store.saved(rows.filter("size > 0").groupBy("set_id", "size").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "classes")
+    reps = store.saved(rows.filter("size > 0").groupBy("set_id", "size").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"), F.first("sketch").alias("sketch")), "classes")
+    rows = rows.drop("sketch")
     near = store.saved(groups(docs, counts, n, percent), "groups")
     label = near.groupBy("set_id").agg(F.min("pivot").alias("label"))
     grp = near.join(label, "set_id").groupBy("pivot").agg(F.min("label").alias("grp"))
-    own = near.join(grp, "pivot").select("set_id", "grp").distinct().join(reps, "set_id")
+    own = near.join(grp, "pivot").select("set_id", "grp").distinct().join(reps.select("set_id", "size", "sketch"), "set_id")
+    load = own.groupBy("grp").agg(F.count("*").alias("sets")).filter("sets > 1").select("grp", F.ceil(F.col("sets") / GROUP_SETS).cast("int").alias("parts"))
+    own = own.join(load, "grp").withColumn("blk", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    own = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("grp", F.least("k", "blk").alias("i"), F.greatest("k", "blk").alias("j"), "blk", "size", "set_id", "sketch")
+    own = own.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "size", "set_id")
+    own = own.mapInArrow(lambda batches: _by_group(batches, percent, _sifted), "set_id long, grp long").distinct().join(reps.drop("sketch"), "set_id")
     load = own.groupBy("grp").agg(F.count("*").alias("sets"), F.ceil(F.sum("size") / GROUP_TOKENS).cast("int").alias("parts")).filter("sets > 1").drop("sets")
     own = own.join(load, "grp").withColumn("blk", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
     # one row for each group, then one for each pair of blocks that the set takes part in
@@ -202,25 +222,56 @@ def links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame,
             if out:
                 yield _placed(out)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[pa.RecordBatch] = []
-        for batch in batches:
-            keys = [np.asarray(batch.column(k)) for k in range(3)]
-            cut = [0, *repeats._heads(*keys)[1:], batch.num_rows]
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                part = batch.slice(s, e - s)
-                if open_ and any(open_[0].column(k)[0] != part.column(k)[0] for k in range(3)):
-                    yield _joined(open_, percent)
-                    open_ = []
-                open_.append(part)
-        if open_:
-            yield _joined(open_, percent)
-
     placed = docs.join(own, docs["doc_id"] == own["node"]).drop("doc_id").mapInArrow(place, PLACED)
-    found = placed.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "size", "node").mapInArrow(join, "a long, b long, n long")
+    found = placed.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "size", "node").mapInArrow(lambda batches: _by_group(batches, percent, _joined), "a long, b long, n long")
     return rows, reps, store.saved(found, "links")
 
 
+def _by_group(batches: Iterator[pa.RecordBatch], percent: int, answer) -> Iterator[pa.RecordBatch]:
+    """The answer for each run of rows with equal (grp, i, j)."""
+    open_: list[pa.RecordBatch] = []
+    for batch in batches:
+        cut = [0, *repeats._heads(*(np.asarray(batch.column(k)) for k in range(3)))[1:], batch.num_rows]
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            part = batch.slice(s, e - s)
+            if open_ and any(open_[0].column(k)[0] != part.column(k)[0] for k in range(3)):
+                yield answer(open_, percent)
+                open_ = []
+            open_.append(part)
+    if open_:
+        yield answer(open_, percent)
+
+
+def _sifted(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """The sets that may link with another of their group (of one block, or two), by their sketches' differences,
+    and the least set that they may reach."""
+    table = pa.Table.from_batches(parts)
+    block, size, ids = (np.asarray(table.column(k).combine_chunks()) for k in (3, 4, 5))
+    rows = [np.frombuffer(x, np.uint8).astype(np.int32) for x in table.column(6).to_pylist()]
+    across = table.column(1)[0] != table.column(2)[0]
+    width = np.array([len(x) for x in rows])
+    full = np.array([x.max() == 255 for x in rows])
+    at = {w: np.cumsum(width == w) - 1 for w in np.unique(width)}
+    own = {w: np.stack([x for x in rows if len(x) == w]) for w in at}
+    half = {w: m.reshape(len(m), -1, 2).sum(2) for w, m in own.items()}
+    label, some = np.arange(len(ids)), np.zeros(len(ids), bool)
+    for x in range(len(ids)):
+        y = np.arange(x + 1, np.searchsorted(size, 100 * size[x] // percent, "right"))
+        y = y[block[y] != block[x]] if across else y
+        if not len(y):
+            continue
+        near = np.full(len(y), -1, np.int64)
+        for w, m in ((width[x], own), (2 * width[x], half)):  # sizes of a pair differ by less than two levels
+            if len(of := np.flatnonzero(width[y] == w)):
+                near[of] = np.abs(m[w][at[w][y[of]]] - rows[x]).sum(1)
+        y = y[(near <= size[x] + size[y] - 2 * _need(size[x], size[y], percent)) | full[x] | full[y]]
+        if len(y):
+            some[x] = some[y] = True
+            both = np.unique(label[np.concatenate(([x], y))])
+            label[np.isin(label, both)] = both[0]
+    return _out("set_id grp", ids[some], ids[label[some]])
+
+
 def _placed(rows: list) -> pa.RecordBatch:
     kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 3, pa.list_(pa.int64()), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PLACED.split(", ")])

@@ -47,6 +47,7 @@ def pack(parts: list[tuple[str, bytes]]) -> bytes:
                 info = zipfile.ZipInfo(name, EPOCH)
                 info.create_system, info.external_attr, info.compress_type = 0, 0, zipfile.ZIP_DEFLATED
                 z.writestr(info, data)
+                info.external_attr = 0  # writing sets a mode; the directory at the end is written from here
     return out.getvalue()
 
 

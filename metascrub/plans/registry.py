@@ -139,21 +139,31 @@ def _scratch(spark: SparkSession) -> str:
 
 # --- markup
 
-def _page(**columns):
-    return lambda spark, sf: _pages(spark, sf).select("page_id", *[c.alias(k) for k, c in columns.items()])
+def _step(key: str, table, column: str, pattern: str, digest: bool):
+    """Counts and removes one pattern."""
 
+    def run(spark, sf):
+        text = F.col(column)
+        clean = rw.drop(text, pattern)
+        return table(spark, sf).select(key, rw.count(text, pattern).alias("n"), (F.md5(clean) if digest else clean).alias("clean"))
+
+    return run
 
-def _svg(**columns):
-    return lambda spark, sf: fx.table(spark, sf, fx.SVG).select("doc_id", *[c.alias(k) for k, c in columns.items()])
+
+def _svgs(spark, sf) -> DataFrame:
+    return fx.table(spark, sf, fx.SVG)
 
 
 M = rw.MARKUP
-html, svg = F.col("html"), F.col("svg")
-query("markup_comments", f"select page_id, {n_of('html', M['comments'])} as n, md5({cut('html', M['comments'])}) as clean from pages")(_page(n=rw.count(html, M["comments"]), clean=F.md5(rw.drop(html, M["comments"]))))
-query("markup_scripts", f"select page_id, {n_of('html', M['scripts'])} as n, md5({cut('html', M['scripts'])}) as clean from pages")(_page(n=rw.count(html, M["scripts"]), clean=F.md5(rw.drop(html, M["scripts"]))))
-query("markup_metadata", f"select doc_id, {n_of('svg', M['metadata'])} as n, {cut('svg', M['metadata'])} as clean from {D_SVG}")(_svg(n=rw.count(svg, M["metadata"]), clean=rw.drop(svg, M["metadata"])))
-query("markup_editor", f"select doc_id, {n_of('svg', M['editor'])} as n, {cut('svg', M['editor'])} as clean from {D_SVG}")(_svg(n=rw.count(svg, M["editor"]), clean=rw.drop(svg, M["editor"])))
-query("markup_embedded", f"select doc_id, {n_of('svg', rw.EMBEDDED)} as n from {D_SVG}")(_svg(n=rw.count(svg, rw.EMBEDDED)))
+for _k in ("comments", "scripts"):
+    query(f"markup_{_k}", f"select page_id, {n_of('html', M[_k])} as n, md5({cut('html', M[_k])}) as clean from pages")(_step("page_id", _pages, "html", M[_k], True))
+for _k in ("metadata", "editor"):
+    query(f"markup_{_k}", f"select doc_id, {n_of('svg', M[_k])} as n, {cut('svg', M[_k])} as clean from {D_SVG}")(_step("doc_id", _svgs, "svg", M[_k], False))
+
+
+@query("markup_embedded", f"select doc_id, {n_of('svg', rw.EMBEDDED)} as n from {D_SVG}")
+def markup_embedded(spark, sf):
+    return _svgs(spark, sf).select("doc_id", rw.count(F.col("svg"), rw.EMBEDDED).alias("n"))
 
 
 @query("markup_pi", f"""select doc_id, case when {n_of('svg', rw.PI)} > 1 then {n_of('svg', rw.PI)} - 1 else 0 end as n_pi, case when {n_of('svg', rw.PI)} > 1 then left(svg, 21) || {cut('substr(svg, 22)', rw.PI)} else svg end as svg from {D_SVG}""")
@@ -244,9 +254,9 @@ def ooxml_app_fields(spark, sf):
 
 def _part(name: str, seq: int, *patterns: str) -> None:
     """Registers the count and removal of patterns in the part of one number; all are counted on the original."""
-    data = F.col("data")
 
     def run(spark, sf):
+        data = F.col("data")
         total, out = F.lit(0), data
         for p in patterns:
             total, out = total + rw.count(data, p), rw.drop(out, p)

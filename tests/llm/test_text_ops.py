@@ -1,0 +1,270 @@
+"""The operators on texts against brute force, on small fixtures."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from metascrub.llm import decontam, graph, jaccard, langid, mixing, quality, secret_scan, substring_dedup, suffix_dedup
+from metascrub.llm import text as tx
+
+DOCS = "doc_id long, text string"
+
+
+def corpus(seed, n=60, words=300):
+    """Random texts with copies, near copies and shared passages."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 7))) for _ in range(400)]
+    make = lambda k: [r.choice(vocabulary) for _ in range(k)]
+    passage, line = make(80), make(60)
+    texts = []
+    for i in range(n):
+        kind = r.randrange(6)
+        if kind == 0 and texts:
+            t = list(r.choice(texts))
+        elif kind == 1 and texts:
+            t = list(r.choice(texts))
+            for _ in range(r.randint(1, 4)):
+                t[r.randrange(len(t))] = r.choice(vocabulary)
+        elif kind == 2:
+            t = make(r.randint(0, words)) + passage + make(r.randint(0, 50))
+        elif kind == 3:
+            t = line * r.randint(1, 4) + make(20)
+        else:
+            t = make(r.randint(1, words))
+        texts.append(t)
+    return [(i * 3 + 1, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_hashes():
+    import numpy as np
+
+    h = np.arange(50, dtype=np.uint64) * np.uint64(7)
+    for n in (1, 2, 3, 7, 25, 50):
+        got = tx.windows(h, n)
+        assert len(got) == 51 - n
+        direct = np.zeros(len(got), np.uint64)
+        for k in range(n):
+            direct = direct * tx.WORD_BASE + h[k : k + len(got)]
+        assert (got == direct).all()
+        assert (tx.lowest(h[::-1].copy(), n) == np.array([h[::-1][k : k + n].min() for k in range(51 - n)])).all()
+    assert not len(tx.windows(h, 51))
+
+
+def brute_substring(rows):
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        w = t.split()
+        keys = [tuple(w[s : s + 50]) for s in range(len(w) - 49)]
+        gone = {j for s, k in enumerate(keys) if seen.get(k, i) < i for j in range(s, s + 50)}
+        for k in keys:
+            seen.setdefault(k, i)
+        out[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_dedup(spark, seed):
+    rows = corpus(seed)
+    got = substring_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_substring(rows)
+
+
+def brute_suffix(rows):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        out[i] = (len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = corpus(3) + [(1001, "a" * 700), (1002, "ab" * 200 + "c" * 99), (1003, "xyz" * 60)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_suffix(rows)
+
+
+def test_merged_transforms():
+    import numpy as np
+
+    segs = [b"banana", b"bandana", b"anan", b"nabanana"]
+    make = lambda part: (np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int16) + 1, 0) for s in part]), np.concatenate([np.arange(len(s) + 1, 0, -1) for s in part]))
+    place, block = suffix_dedup.merged_blocks([make(segs[:2]), make(segs[2:])], rounds=3)
+    joined = b"".join(s + b"\0" for s in segs)
+    by_block = {}
+    for p, b in zip(place, block, strict=True):
+        if b"\0" not in joined[p : p + 3]:
+            by_block.setdefault(int(b), set()).add(joined[p : p + 3])
+    assert all(len(v) == 1 for v in by_block.values()) and len(by_block) == len({x for v in by_block.values() for x in v})
+
+
+def brute_links(rows, n, percent):
+    sets = {}
+    for i, t in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+    links = {i: set() for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                links[a].add(b)
+                links[b].add(a)
+    out = {}
+    for i in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out[i] = (len(sets[i]), min(seen), len(links[i]))
+    return out
+
+
+@pytest.mark.parametrize(("n", "percent", "tokens"), [(3, 90, None), (5, 80, None), (3, 60, 600)])
+def test_jaccard(spark, monkeypatch, n, percent, tokens):
+    if tokens:  # small blocks, so that groups are split
+        monkeypatch.setattr(jaccard, "GROUP_TOKENS", tokens)
+        monkeypatch.setattr(jaccard, "GROUP_SETS", 4)
+    rows = corpus(5, 80) + [(900, "one two"), (901, "One TWO"), (902, ""), (903, "")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5), n, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == brute_links(rows, n, percent)
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100 + r.randrange(50), 100 + r.randrange(50)) for _ in range(30)] + [(7, 7), (2, 1)]
+    got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {v: v for e in edges for v in e}
+    for _ in edges:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_decontam(spark):
+    item = "the quick brown fox jumps over the lazy dog while nine wizards box with jugs of liquid gin"
+    a, b = item[:43], item[44:]
+    docs = [(1, f"zero one {item} two"), (2, f"{b} and then {a}"), (3, "the quick brown fox is here, no more of it"), (4, None), (5, item.upper().replace(" ", ", "))]
+    bench = spark.createDataFrame([(10, item), (11, None), (12, "too short"), (13, "")], "item_id long, text string")
+    docs = spark.createDataFrame(docs, DOCS)
+    got = {(r.doc_id, r.item_id): (r.n_tiles, r.coverage) for r in decontam.leaks(docs, bench).collect()}
+    assert set(got) == {(1, 10), (2, 10), (5, 10)} and got[1, 10] == (1, 1.0) and got[2, 10][0] == 2
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {3, 4}
+    assert decontam.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_quality(spark):
+    rows = [(i, t) for i, t in corpus(7, 40)] + [(800, "x y z " * 40), (801, "a\na\n\nb\na *&"), (802, None), (803, "p q r p q r s")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOCS), [0.0] * 64, 0.0).collect()}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        c = Counter(zip(w, w[1:], w[2:], strict=False))
+        repeated = {j for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\x0b\x0c\r")]
+        failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(repeated), failed, not failed)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == want
+
+
+def test_quality_ratio(spark):
+    good, bad = [(i, " ".join(f"good{k * (i + 1) % 97}" for k in range(90))) for i in range(20)], [(i, " ".join(f"junk{k * i % 89}" for k in range(90))) for i in range(100, 130)]
+    docs = spark.createDataFrame(good + bad, DOCS)
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i, _ in (good + bad)[::2]], "doc_id long, quality int, toxic int")
+    ratio, threshold = quality.fit(docs, labels, buckets=256)
+    score = docs.withColumn("wh", F.transform(quality.words(F.col("text")), lambda w: F.xxhash64(w))).withColumn("g", quality.grams(256)).select("doc_id", quality.score(ratio).alias("s")).collect()
+    assert all((r.s >= threshold) == (r.doc_id < 100) for r in score)
+    assert quality.fit(docs, labels.limit(0), buckets=256)[1] == 0.0
+    assert quality.judge(docs, ratio, threshold).filter("kept").count() >= 0  # a filter above is no slower
+
+
+def test_langid(spark):
+    texts = {"en": "the house and the garden were with them when that was", "de": "das haus und der garten waren mit ihnen als dies war", "fr": "la maison et le jardin avec elles quand cela était", "es": "la casa y el jardín con ellos cuando eso era mañana"}
+    r = random.Random(4)
+    rows = []
+    for i in range(240):
+        lang = r.choice(list(texts))
+        rows.append((i, " ".join(r.choices(texts[lang].split(), k=12)), lang, "s"))
+    docs = spark.createDataFrame(rows + [(900, None, "en", "s"), (901, "123 €", "de", "s"), (902, "", None, "s")], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in langid.predict(docs, langid.train(docs, per_lang=40)).collect()}
+    tested = [x for x in rows if got[x[0]].held_out]
+    assert tested and sum(got[i].lang_pred == lang for i, _, lang, _ in tested) >= 0.9 * len(tested)
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    import zlib
+
+    assert all(x.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, x in got.items())
+    assert {x.lang_pred for x in langid.predict(docs, langid.train(docs.filter("lang is null"))).collect()} == {"und"}
+    one = docs.filter("lang = 'en'")
+    assert {x.lang_pred for x in langid.predict(one, langid.train(one)).collect()} == {"en", "und"}
+
+
+def test_secrets(spark):
+    r = random.Random(9)
+    hexed = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    rows, secret = [], {}
+    for i in range(160):
+        s = {0: hexed(40), 1: "AKIA" + "".join(r.choices("ABCDEFGHIJ0123456789", k=16)), 2: "".join(r.choices("0123456789", k=16)), 3: ".".join(str(100 + r.randrange(150)) for _ in range(4))}[i % 4]
+        rows.append((i, {0: f'some words token = "{s}" more words', 1: f"key {s} here", 2: f"card {s} paid", 3: f"host {s} is up"}[i % 4], "en", f"src{i % 3}", 10))
+        if i % 4 < 2:
+            secret[i] = s
+    docs = spark.createDataFrame(rows + [(900, None, None, None, None), (901, "", "", "", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    model, common = secret_scan.fit(docs)
+    found = secret_scan.scan(docs, model, common)
+    assert {(x.doc_id, x.value) for x in found.collect()} == set(secret.items())
+    clean = {x.doc_id: x for x in secret_scan.redact(docs, found).collect()}
+    for i, t, *_ in rows:
+        want = t.replace(secret[i], secret_scan.MARK) if i in secret else t
+        assert clean[i].text == want and (i not in secret or clean[i].n_chars == len(want))
+    assert clean[900].text is None and clean[901].text == ""
+    assert secret_scan.train(secret_scan.candidates(docs).withColumn("label", F.lit(0.0)), common) is None
+
+
+def test_mixing(spark):
+    rows = [(i, " ".join(["w"] * (i % 9)), "en" if i % 3 else "de", f"s{i % 5}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, (15, 10)).collect()
+    total = sum(i % 9 for i in range(300))
+    assert 0.9 * 1.5 * total <= sum(r.n_tokens for r in got) <= 1.5 * total
+    assert len({(r.doc_id, r.epoch) for r in got}) == len(got) and all(r.n_tokens for r in got)
+    by_leaf = {}
+    for r in got:
+        assert r.shuffle_key == hashlib.md5(f"17|{r.epoch}|{r.doc_id}".encode()).hexdigest()
+        by_leaf.setdefault((r.domain, r.lang, r.source), {}).setdefault(r.epoch, set()).add(r.doc_id)
+    own = {}
+    for i, t, lang, source in rows:
+        if t:
+            own.setdefault((f"d{ord(source[-1]) % 4}", lang, source), []).append(i)
+    for leaf, epochs in by_leaf.items():
+        assert all(epochs[e] == set(own[leaf]) for e in range(max(epochs)))  # whole epochs before a prefix
+        last = max(epochs)
+        order = sorted(own[leaf], key=lambda i: hashlib.md5(f"17|{last}|{i}".encode()).hexdigest())
+        assert set(order[: len(epochs[last])]) == epochs[last]
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: substring_dedup.dedup(d), lambda d: suffix_dedup.dedup(d), lambda d: jaccard.near_duplicates(d), lambda d: quality.judge(d, [0.0] * 8, 0.0),
+    lambda d: langid.predict(d, langid.train(d, per_lang=3, max_iter=2)), lambda d: secret_scan.redact(d, secret_scan.scan(d, *secret_scan.fit(d))),
+])
+def test_odd_rows(odd, run):
+    """One result row for each row, whatever is in it, and none for an empty table."""
+    want = Counter(r.doc_id for r in odd.collect())
+    assert Counter(r.doc_id for r in run(odd).collect()) == want
+    assert run(odd.limit(0)).count() == 0
+
+
+def test_odd_rows_selected(odd, spark):
+    assert {r.doc_id for r in mixing.mix(odd, (1, 1)).collect()} <= {1, 5, 6, 7, 8}
+    bench = spark.createDataFrame([(1, "w1 x1 w2 x2 w3 x3 w4 x4"), (None, None)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.leaks(odd, bench).collect()} == {5, 6}

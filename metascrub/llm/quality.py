@@ -3,8 +3,8 @@
 Words and word pairs are hashed into ``buckets`` buckets each. Two multinomials with add-one smoothing are counted over
 them: one over the trusted target (a bounded sample of the labelled good documents), one over every document. A
 document's score is the sum of log p_target - log p_raw over its n-grams, divided by their number. The threshold is
-the same for every document: the edge of the histogram bins of score that costs least over the labelled samples that pass the base rules, a lost
-good document counting ``weight`` times a kept bad one; of equal edges the lowest. Base rules (length, repetition) come first. No step shuffles texts; what is shuffled is one count for
+the same for every document: the gap between histogram bins of score that costs least over the labelled samples that pass the base rules, a lost
+good document counting ``weight`` times a kept bad one; its middle, and of equal gaps the lowest. Base rules (length, repetition) come first. No step shuffles texts; what is shuffled is one count for
 each bucket and task.
 """
 
@@ -94,10 +94,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, buckets: int = B
     tried = base_counts(docs.join(known, "doc_id")).withColumn("_failed", base_failed(least_words, most_repeated)).withColumn("g", grams(buckets))
     tried = tried.select(F.floor(score(ratio) / BIN).alias("k"), (F.col("_good") & ~F.col("_failed")).alias("good"), (~F.col("_good") & ~F.col("_failed")).alias("bad"))
     bins = tried.groupBy("k").agg(F.count_if("good").alias("good"), F.count_if("bad").alias("bad")).orderBy("k").collect()  # as many as the range of scores has bins
-    cost, best = sum(r["bad"] for r in bins), (math.inf, 0.0)
+    cost, best, edge = sum(r["bad"] for r in bins), (math.inf, 0.0), None
     for r in bins:
-        best = min(best, (cost, r["k"] * BIN))
-        cost += weight * r["good"] - r["bad"]
+        # any edge from the bin before to this one costs the same: the middle
+        best = min(best, (cost, (r["k"] if edge is None else (edge + r["k"]) / 2) * BIN))
+        cost, edge = cost + weight * r["good"] - r["bad"], r["k"] + 1
     return ratio, best[1]
 
 

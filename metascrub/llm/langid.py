@@ -115,8 +115,8 @@ def _vote(names: list[str], margins: dict) -> tuple[str, float]:
     return best, 1 / (1 + np.exp(-2 * np.clip(sure, -20, 20)))
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row. A null text, or one without a letter, is ``und`` with score 0, as
+def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row, or the columns of docs in keep, _lang_pred and _score. A null text, or one without a letter, is ``und`` with score 0, as
     all are with an empty model. A null doc_id counts as the empty string for held_out. Repeated rows give equal results."""
     machines = model["machines"]
     weights = np.concatenate((np.array([m[3] for m in machines]).reshape(len(machines), DIM), np.zeros((len(machines), 1))), 1)
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_family, names, w, bias = shared.value
-        for piece in tx.pieces(batches, most=1 << 19):
+        for piece in tx.pieces(batches, "_text" if keep else "text", most=1 << 19):
             texts = piece.column(1).to_pylist()
             langs, scores = [], []
             margins = np.zeros((len(names), len(texts)))
@@ -141,8 +141,15 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 lang, more = _vote(by_family[fam], {(a, b): margins[i, k] for i, (level, a, b) in enumerate(names) if level == "lang" and a in by_family[fam]})
                 langs.append(lang)
                 scores.append(float(sure * more))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
+            told = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            if keep is None:
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), *told], names=["doc_id", "held_out", "lang_pred", "score"])
+            else:
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *told], names=[*keep, "_lang_pred", "_score"])
+
+    if keep is not None:
+        schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+        return docs.select(F.lit(0).alias("_id"), F.col("text").alias("_text"), *keep).mapInArrow(run, f"{schema}, _lang_pred string, _score double")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out")).mapInArrow(run, PREDICTED)
 
 

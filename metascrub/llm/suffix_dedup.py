@@ -181,12 +181,14 @@ def _state(rows: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=False)], names=names)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
 
     A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a smaller doc_id, or in the same
     document before. A null text is empty. Rows with a null doc_id keep all and are no source. doc_id should be unique;
-    rows that share one lose bytes at the same places. Extra columns are ignored; an empty table gives no rows."""
+    rows that share one lose bytes at the same places. Extra columns are ignored; an empty table gives no rows. hot: segments
+    of one anchor that are merged (HOT if None); the result is the same with any."""
+    most = HOT if hot is None else hot
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     flags = repeats.flags_of(repeats.rows_of(docs, cut, True, PIECE), True)
     joined = docs.join(repeats.spans(flags), "doc_id", "left")
@@ -213,10 +215,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     state = store.saved(joined.mapInArrow(extend, STATE), "suffix-state")
     open_ = state.filter("parts is not null")
     parts = open_.select("doc_id", "text", "parts").mapInArrow(_segments, "anchor long, doc_id long, lo int, seg binary")
-    found = parts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo").mapInArrow(_merge, FOUND)
+    found = parts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo").mapInArrow(lambda batches: _merge(batches, most), FOUND)
     found = store.saved(found, "suffix-found")
-    hot = found.filter("hash is not null").repartition("hash").sortWithinPartitions("hash", "doc_id", "place").mapInArrow(_later, "doc_id long, place int")
-    hits = found.filter("hash is null").select("doc_id", "place").unionAll(hot).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    hashed = found.filter("hash is not null").repartition("hash").sortWithinPartitions("hash", "doc_id", "place").mapInArrow(_later, "doc_id long, place int")
+    hits = found.filter("hash is null").select("doc_id", "place").unionAll(hashed).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tx.pieces(batches, most=PIECE):
@@ -244,8 +246,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "doc_id", "lo", "seg"])
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """FOUND: hits of the anchors' groups in turn (hash null), and the windows of hot anchors with their hashes."""
+def _merge(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """FOUND: hits of the anchors' groups in turn (hash null), and the windows of hot anchors (more than ``most`` segments)
+    with their hashes."""
     held: list[tuple[int, bytes, int, int]] = []  # whole groups that wait, then the open group
     size = start = 0
     last, hot = None, False
@@ -266,14 +269,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for anchor, doc, lo, seg in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             if anchor != last:
-                if size > MERGE and not hot:
-                    yield merge(held)
-                if size > MERGE or hot:
+                if held and (size > MERGE or hot):
+                    yield hashed(held) if hot else merge(held)
                     held, size = [], 0
                 last, hot, start = anchor, False, len(held)
             held.append((anchor, seg, doc, lo))
             size += len(seg)
-            if hot and len(held) >= 500 or not hot and len(held) - start > HOT:
+            if hot and len(held) >= 500 or not hot and len(held) - start > most:
                 group = held if hot else held[start:]
                 if not hot and start:
                     yield merge(held[:start])

@@ -94,6 +94,27 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_suffix(rows)
 
 
+def test_suffix_dedup_hot_anchors(spark):
+    """Several hot anchors in one partition: the windows of each come out whole, and results equal brute force."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    noise = lambda n: bytes(r.choices(range(97, 123), k=n))
+    rows = [(a, a * 100 + k, 0, noise(120)) for a in (1, 2, 3) for k in range(7)] + [(4, 900, 0, noise(120))] * 2
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "lo", "seg"])
+    out = [x for b in suffix_dedup._merge(iter([batch]), 3) for x in b.to_pylist()]
+    assert Counter(x["doc_id"] for x in out if x["hash"] is not None) == {d: 21 for a, d, *_ in rows if a < 4}
+    assert sorted(x["place"] for x in out if x["hash"] is None) == list(range(21)) and {x["doc_id"] for x in out if x["hash"] is None} == {900}
+
+    passages = ["".join(r.choices("abcdefgh ", k=120)) for _ in range(4)]
+    texts = ["".join(r.choices("ijklmnop ", k=60)) + passages[i % 4] + "".join(r.choices("qrstuvwx ", k=60)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    got = suffix_dedup.dedup(docs, hot=3).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == brute_suffix(list(enumerate(texts)))
+    assert sum(x.n_removed > 0 for x in got) == 56
+
+
 def test_merged_transforms():
     import numpy as np
 

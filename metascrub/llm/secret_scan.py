@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metascrub.llm import text as tx
+
 CHARS = r"A-Za-z0-9_+/.\-"
 TOKEN = rf"(?<![{CHARS}])(?=[A-Za-z_+/.\-]{{0,64}}[0-9])[{CHARS}]{{12,}}"
 NEAR = 40  #: characters of the surroundings that are looked at
@@ -24,6 +26,8 @@ NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "a
 FORMATS = ("^AKIA[A-Z0-9]{16}$", "^gh[pousr]_[A-Za-z0-9]{36}$", "^xox[abprs]-[A-Za-z0-9-]{10,}$", "^glpat-[A-Za-z0-9_-]{20}$")
 HARMLESS = ("commit", "checksum", "digest", "uuid", "example", "placeholder", "revision", "version")
 MARK = "[REDACTED]"
+ROW = ("doc_id", "source", "text")  #: what candidates come from; rows alike in these have the same ones
+FOUND = ["row", "doc_id", "source", "n", "value", "score"]
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -33,12 +37,13 @@ def _split(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, source, n (ordinal in the text, from 0), value, before, after: one row for each candidate. Null, empty and
-    blank texts have none; a null source is the empty path; rows are scanned one by one, repeated ones too."""
-    rows = docs.filter(F.col("text").rlike("[0-9]")).select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
-    rows = _split(rows).select("doc_id", "source", "_values", F.transform("_gaps", lambda g: F.struct(F.right(g, F.lit(NEAR)).alias("r"), F.left(g, F.lit(NEAR)).alias("l"))).alias("_gaps"))
-    rows = rows.select("doc_id", "source", F.posexplode_outer(F.arrays_zip("_values", F.expr("slice(_gaps, 1, size(_values))").alias("_b"), F.expr("slice(_gaps, 2, size(_values))").alias("_a"))).alias("n", "x"))
-    return rows.select("doc_id", "source", "n", F.col("x._values").alias("value"), F.col("x._b.r").alias("before"), F.col("x._a.l").alias("after")).filter("value is not null")
+    """row (a hash of doc_id, source and text), doc_id, source, n (ordinal in the text, from 0), value, before, after: one row
+    for each candidate. Null, empty and blank texts have none; a null source is the empty path; rows are scanned one by one,
+    repeated ones too."""
+    rows = docs.filter(F.col("text").rlike("[0-9]")).select(tx.row_key(*ROW).alias("row"), "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
+    rows = _split(rows).select("row", "doc_id", "source", "_values", F.transform("_gaps", lambda g: F.struct(F.right(g, F.lit(NEAR)).alias("r"), F.left(g, F.lit(NEAR)).alias("l"))).alias("_gaps"))
+    rows = rows.select("row", "doc_id", "source", F.posexplode_outer(F.arrays_zip("_values", F.expr("slice(_gaps, 1, size(_values))").alias("_b"), F.expr("slice(_gaps, 2, size(_values))").alias("_a"))).alias("n", "x"))
+    return rows.select("row", "doc_id", "source", "n", F.col("x._values").alias("value"), F.col("x._b.r").alias("before"), F.col("x._a.l").alias("after")).filter("value is not null")
 
 
 def dictionary(docs: DataFrame, most: int = COMMON) -> list[str]:
@@ -93,12 +98,12 @@ def train(labelled: DataFrame, common: list[str], most: int = 4000, trees: int =
 
 
 def scan(docs: DataFrame, model: PipelineModel | None, common: list[str], least: float = 0.5) -> DataFrame:
-    """doc_id, source, n, value, score: the candidates that the forest takes for secrets; without a forest those of the rules."""
+    """FOUND: the candidates that the forest takes for secrets; without a forest those of the rules."""
     found = candidates(docs)
     if model is None:
-        return found.withColumn("score", weak_labels()).filter(F.col("score") >= least).select("doc_id", "source", "n", "value", "score")
+        return found.withColumn("score", weak_labels()).filter(F.col("score") >= least).select(FOUND)
     scored = model.transform(features(found, common)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
-    return scored.filter(F.col("score") >= least).select("doc_id", "source", "n", "value", "score")
+    return scored.filter(F.col("score") >= least).select(FOUND)
 
 
 def fit(docs: DataFrame) -> tuple[PipelineModel | None, list[str]]:
@@ -108,9 +113,10 @@ def fit(docs: DataFrame) -> tuple[PipelineModel | None, list[str]]:
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs, all columns, with MARK in place of each found value of the row's doc_id, and n_chars, if it is there, anew."""
-    own = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("value").alias("_secrets"))
-    rows = docs.join(own, docs["doc_id"] == own["_doc"], "left").drop("_doc")
+    """docs, all columns, with MARK in place of each value found in the row itself, whatever its doc_id, and n_chars, if it is
+    there, anew. found: of ``scan`` over the same docs."""
+    own = found.groupBy(F.col("row").alias("_row")).agg(F.collect_set("value").alias("_secrets"))
+    rows = docs.withColumn("_row", tx.row_key(*ROW)).join(own, "_row", "left").drop("_row")
     rows = _split(rows.withColumn("_plain", F.col("_secrets").isNull()).withColumn("_whole", F.col("text")).withColumn("text", F.when(~F.col("_plain"), F.col("text"))))
     told = F.concat_ws("", F.transform(F.arrays_zip("_gaps", "_values"), lambda x: F.concat(F.coalesce(x["_gaps"], F.lit("")), F.when(F.array_contains("_secrets", x["_values"]), MARK).otherwise(F.coalesce(x["_values"], F.lit(""))))))
     rows = rows.withColumn("text", F.when(F.col("_plain"), F.col("_whole")).otherwise(told))
@@ -122,4 +128,4 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Every secret in all documents; the forest learns from findings labelled by the rules."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan(docs, *fit(docs))
+    return scan(docs, *fit(docs)).drop("row")

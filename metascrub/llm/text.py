@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 PIECE = 3 << 20  #: bytes of text handled at once, so that a task's arrays stay small
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -45,6 +47,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def row_key(*columns: str) -> Column:
+    """A 64-bit hash of a row's values; a null is not what is left out, so it differs from all other places of one."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all rows, one after the other, and where each row starts (one more at the end)."""
     column = pc.fill_null(column, "") if column.null_count else column

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,29 @@ def test_oracles(spark, name):
     assert not db.sql(f"(select {listed} from want except all select {listed} from got) union all (select {listed} from got except all select {listed} from want)").fetchall()
 
 
+def test_pipeline_rows(spark):
+    """Rows without a doc_id and rows that share one are judged one by one."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    said = lambda k, n=30: " ".join(f"w{k}x{i}" for i in range(n))
+    near = said(1, 60)
+    rows = [(None, said(0)), (None, said(0)), (None, said(2)), (None, None), (5, near), (7, near + " more"), (7, said(3)), (7, said(3)), (7, said(4)), (9, said(4) + ""), (9, None), (9, "")]
+    rows = [(i, t, None, "s", 1) for i, t in rows] + [(11, "", "x", None, 1), (11, "x", "", None, 1), (11, None, "x", "", 1), (12, said(5), "en", "s", 1), (12, said(5), "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    want = [(None, said(0))] * 2 + [(None, said(2)), (None, None), (5, near), (7, said(3)), (7, said(4)), (9, None), (9, ""), (11, ""), (11, "x"), (11, None), (12, said(5))]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(want, key=key)
+
+    import random
+
+    r = random.Random(6)
+    hexed = ["".join(r.choices("0123456789abcdef", k=40)) for _ in range(80)]
+    texts = [f'words token = "{s}" words' if i % 2 else f"commit {s} was made" for i, s in enumerate(hexed)]
+    docs = spark.createDataFrame([((None, 3)[i % 4 < 2], t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, f"commit {hexed[1]} was made", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars int")
+    clean = Counter(x.text for x in corpus_pipeline.secrets(spark, docs, SF).collect())
+    assert clean['words token = "[REDACTED]" words'] == 40 and all(clean[t] == 1 for t in texts[::2]) and clean[f"commit {hexed[1]} was made"] == 1
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")

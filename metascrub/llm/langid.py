@@ -3,10 +3,16 @@
 Features are hashed runs of 1 to 4 bytes of the lower-cased letters of the whole text, with one space between words,
 scaled to length one. Machines are trained by Spark ML on a bounded sample of labelled rows: at most ``per_lang`` of
 each language, those with the least hash of doc_id. A family with one language needs no further machine.
+
+Machines tell learned languages apart; they cannot tell that a text is in none. For that each language has an outlier
+model: how much likelier its runs are than runs of no language at all, for a text and its predicted language the mean
+over the text's runs, and the share of letters. Both have floors below what labelled rows of the sample get, each
+judged by the runs of the half of the sample that it is not in.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -14,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +36,10 @@ FAMILIES = {
 }
 LETTER = np.array([i >= 128 or chr(i).isalpha() for i in range(256)])
 TIMES = np.uint64(0x9E3779B97F4A7C15)
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+ENOUGH = 256  #: letter bytes beyond which a text's mean over its runs is taken to be as sure as can be
+LEAST_ROWS = 20  #: of a language with fewer judged texts nothing is rejected
+MOST_SHARE = 0.5  #: a text with this share of letters is not rejected for the share
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -61,13 +72,79 @@ def has_letter(text: str | None) -> bool:
     return any(c.isalpha() for c in text or "")
 
 
+def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter bytes of each text, and their share of the bytes that are no white space."""
+    data, at = tx.as_bytes(pa.array([t or "" for t in texts], pa.large_string()))
+    upto = lambda marks: np.concatenate(([0], np.cumsum(marks)))[at]
+    n, dark = np.diff(upto(LETTER[data])), np.diff(upto(~SPACE[data]))
+    return n, n / np.maximum(dark, 1)
+
+
+def likelier(mean: np.ndarray) -> np.ndarray:
+    """The log of how much likelier each run is in a language, of which mean shares are given, than by chance."""
+    return np.log(0.9 * mean * DIM + 0.1)
+
+
+def _half(text: str) -> int:
+    return zlib.crc32(text.encode()) & 1
+
+
+def _middle(text: str) -> str:
+    """Eight words from the middle."""
+    w = text.split()
+    return " ".join(w[len(w) // 2 :][:8])
+
+
+def _floor(values: np.ndarray) -> float:
+    """Twice as far below the median as one in a hundred of the values is."""
+    return float(np.median(values) - 2 * (np.median(values) - np.quantile(values, 0.01)))
+
+
+def typical(sums: list, judged: DataFrame) -> dict:
+    """Of each language the outlier model (likelier, middle, floor, floor of the letters' share). sums: (lang, half, summed
+    shares of runs, texts); judged: (lang, text), the sample."""
+    halves = {(lang, half): (total, n) for lang, half, total, n in sums}
+    langs = {lang for lang, _ in halves}
+    both = {k: (sum(halves[k, h][0] for h in (0, 1) if (k, h) in halves), sum(halves[k, h][1] for h in (0, 1) if (k, h) in halves)) for k in langs}
+    tables = judged.sparkSession.sparkContext.broadcast({(k, h): likelier(halves[k, 1 - h][0] / halves[k, 1 - h][1]) for k in langs for h in (0, 1) if (k, 1 - h) in halves})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in tx.pieces(batches, most=1 << 20):
+            lang, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
+            for s in range(0, len(texts), 100):
+                whole, names = texts[s : s + 100], lang[s : s + 100]
+                for some in (whole, [_middle(t) for t in whole]):
+                    x, (n, share) = vectors(some) ** 2, letters(some)
+                    fit = [float(x[k] @ t) if (t := tables.value.get((names[k], _half(whole[k])))) is not None and n[k] else None for k in range(len(some))]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(fit, pa.float64()), pa.array(n, pa.int64()), pa.array(share, pa.float64())], names=["lang", "fit", "n", "share"])
+
+    # at most two short rows for each text of the sample
+    by_lang: dict[str, list] = {}
+    for r in judged.mapInArrow(run, "lang string, fit double, n long, share double").filter("fit is not null").collect():
+        by_lang.setdefault(r["lang"], []).append((r["fit"], r["n"], r["share"]))
+    out = {}
+    for lang in sorted(langs):
+        fit, n, share = (np.array(c, float) for c in zip(*by_lang[lang], strict=True)) if lang in by_lang else (np.empty(0),) * 3
+        table, middle, least, few = likelier(both[lang][0] / both[lang][1]), 0.0, -np.inf, 0.0
+        if len(fit) >= LEAST_ROWS:
+            middle = float(np.median(fit))
+            least, few = _floor(_apart(fit, n, middle)), min(MOST_SHARE, _floor(share))
+        out[lang] = (table, middle, least, few)
+    return out
+
+
+def _apart(fit, n, middle: float):
+    """How far a mean over runs is from the middle, in steps that shorter texts make wider."""
+    return (fit - middle) * np.sqrt(np.minimum(n, ENOUGH))
+
+
 def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, per_lang: int = 600, families: dict[str, str] = FAMILIES, max_iter: int = 15) -> dict:
-    """The model: learned languages by family, and the machines (level, a, b, weights, intercept), of which a
-    positive margin says b. Rows with a null label or text, without a letter, or held out are not learned from."""
+def train(docs: DataFrame, per_lang: int = 600, families: dict[str, str] = FAMILIES, max_iter: int = 15, outliers: bool = False) -> dict:
+    """The model: learned languages by family, the machines (level, a, b, weights, intercept), of which a
+    positive margin says b, and, with outliers, the languages' outlier models. Rows with a null label or text, without a letter, or held out are not learned from."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_lang)
@@ -83,22 +160,26 @@ def train(docs: DataFrame, per_lang: int = 600, families: dict[str, str] = FAMIL
             lang, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
             for s in range(0, len(texts), 100):
                 whole = texts[s : s + 100]
-                few = [" ".join(t.split()[len(t.split()) // 2 :][:8]) for t in whole]  # short texts are to be told apart, too
+                few = [_middle(t) for t in whole]  # short texts are to be told apart, too
                 x = np.concatenate((vectors(whole), vectors(few)))
-                yield pa.RecordBatch.from_arrays([pa.array(lang[s : s + 100] * 2, pa.string()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64()))], names=["lang", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(lang[s : s + 100] * 2, pa.string()), pa.array([_half(t) for t in whole] * 2, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64()))], names=["lang", "half", "x"])
 
     by_family: dict[str, list[str]] = {}
     for lang in sorted(langs):
         by_family.setdefault(families.get(lang, lang), []).append(lang)
-    rows = sample.mapInArrow(featurise, "lang string, x array<double>").select("lang", array_to_vector("x").alias("features")).repartition(8).persist()
+    rows = sample.mapInArrow(featurise, "lang string, half int, x array<double>").select("lang", "half", array_to_vector("x").alias("features")).repartition(8).persist()
     machines = []
     for level, a, b in [("family", *p) for p in combinations(sorted(by_family), 2)] + [("lang", *p) for k in sorted(by_family) for p in combinations(by_family[k], 2)]:
         left, right = (by_family[a], by_family[b]) if level == "family" else ([a], [b])
         part = rows.filter(F.col("lang").isin(left + right)).withColumn("label", F.col("lang").isin(right).cast("double"))
         fit = LinearSVC(maxIter=max_iter, regParam=1e-4, standardization=False).fit(part)
         machines.append((level, a, b, fit.coefficients.toArray(), float(fit.intercept)))
+    model = {"families": by_family, "machines": machines}
+    if outliers:
+        sums = rows.groupBy("lang", "half").agg(Summarizer.metrics("normL2", "count").summary(F.col("features")).alias("s")).select("lang", "half", "s.*").collect()
+        model["typical"] = typical([(r["lang"], r["half"], r["normL2"].toArray() ** 2, r["count"]) for r in sums], sample)
     rows.unpersist()
-    return {"families": by_family, "machines": machines}
+    return model
 
 
 def _vote(names: list[str], margins: dict) -> tuple[str, float]:
@@ -116,40 +197,53 @@ def _vote(names: list[str], margins: dict) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row, or the columns of docs in keep, _lang_pred and _score. A null text, or one without a letter, is ``und`` with score 0, as
+    """doc_id, held_out, lang_pred, score of each row, or the columns of docs in keep, _lang_pred, _score and _fits (whether the text is above
+    the floors of its language's outlier model; true without one). A null text, or one without a letter, is ``und`` with score 0, as
     all are with an empty model. A null doc_id counts as the empty string for held_out. Repeated rows give equal results."""
     machines = model["machines"]
     weights = np.concatenate((np.array([m[3] for m in machines]).reshape(len(machines), DIM), np.zeros((len(machines), 1))), 1)
-    shared = docs.sparkSession.sparkContext.broadcast((model["families"], [m[:3] for m in machines], weights, [m[4] for m in machines]))
+    shared = docs.sparkSession.sparkContext.broadcast((model["families"], [m[:3] for m in machines], weights, [m[4] for m in machines], model.get("typical", {}) if keep else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_family, names, w, bias = shared.value
+        by_family, names, w, bias, usual = shared.value
         for piece in tx.pieces(batches, "_text" if keep else "text", most=1 << 19):
             texts = piece.column(1).to_pylist()
-            langs, scores = [], []
+            langs, scores, fits = [], [], []
+            means = np.zeros((len(usual), len(texts)))
+            n, share = letters(texts) if usual else (None, None)
+            tables = np.array([u[0] for u in usual.values()])
+            place = {k: i for i, k in enumerate(usual)}
             margins = np.zeros((len(names), len(texts)))
             if names:
                 for s in range(0, len(texts), 64):
                     x = vectors(texts[s : s + 64])
                     margins[:, s : s + 64] = w[:, :DIM] @ x.T + np.array(bias)[:, None]
+                    if usual:
+                        means[:, s : s + 64] = tables @ (x**2).T
             for k, t in enumerate(texts):
                 if not by_family or not has_letter(t):
                     langs.append("und")
                     scores.append(0.0)
+                    fits.append(not usual)
                     continue
                 fam, sure = _vote(list(by_family), {(a, b): margins[i, k] for i, (level, a, b) in enumerate(names) if level == "family"})
                 lang, more = _vote(by_family[fam], {(a, b): margins[i, k] for i, (level, a, b) in enumerate(names) if level == "lang" and a in by_family[fam]})
                 langs.append(lang)
                 scores.append(float(sure * more))
+                if lang in usual:
+                    _, middle, least, few = usual[lang]
+                    fits.append(bool(_apart(means[place[lang], k], n[k], middle) >= least and share[k] >= few))
+                else:
+                    fits.append(True)
             told = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             if keep is None:
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), *told], names=["doc_id", "held_out", "lang_pred", "score"])
             else:
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *told], names=[*keep, "_lang_pred", "_score"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *told, pa.array(fits, pa.bool_())], names=[*keep, "_lang_pred", "_score", "_fits"])
 
     if keep is not None:
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-        return docs.select(F.lit(0).alias("_id"), F.col("text").alias("_text"), *keep).mapInArrow(run, f"{schema}, _lang_pred string, _score double")
+        return docs.select(F.lit(0).alias("_id"), F.col("text").alias("_text"), *keep).mapInArrow(run, f"{schema}, _lang_pred string, _score double, _fits boolean")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out")).mapInArrow(run, PREDICTED)
 
 

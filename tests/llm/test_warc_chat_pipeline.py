@@ -75,6 +75,20 @@ def test_oracles(spark, name):
     assert not db.sql(f"(select {listed} from want except all select {listed} from got) union all (select {listed} from got except all select {listed} from want)").fetchall()
 
 
+def test_pipeline_language(spark):
+    """Junk with a few letters and texts in a language that was never learned go; texts of the learned ones stay."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    away = [(-1, "#$% a ^&* (@! b {} ~~ %% ## x && ** ;;"), (-2, "minä olen syönyt kalaa joen rannalla koska sää oli kaunis eikä kukaan tullut häiritsemään meitä koko pitkän päivän aikana"), (-3, "nie wiem jak to zrobić ale przecież wszyscy mówią że trzeba szybko wrócić do domu przed zmierzchem ponieważ później będzie ciemno")]
+    away = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in away], docs.schema)
+    got = [r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(away), SF).collect()]
+    assert not [i for i in got if i < 0] and len(got) >= 0.98 * docs.count()
+    most = docs.filter("lang <> 'es'").unionByName(docs.filter("lang = 'es'").withColumn("lang", F.lit(None).cast("string")))
+    got = Counter(r.doc_id for r in corpus_pipeline.language(spark, most, SF).collect())
+    unseen = [r.doc_id for r in docs.filter("lang = 'es'").collect()]
+    assert sum(got[i] for i in unseen) <= 0.1 * len(unseen) and sum(got.values()) >= 0.98 * (docs.count() - len(unseen))
+
+
 def test_pipeline_rows(spark):
     """Rows without a doc_id and rows that share one are judged one by one."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")

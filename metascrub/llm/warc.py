@@ -4,13 +4,17 @@ Records are composed by built-in functions; a task packs the records it holds in
 a gzip member, as a table (archive, content) that is written through Spark's own commit protocol. The reader takes such
 a table, or the path and content of Spark's ``binaryFile`` source. It checks each record (gzip checksum, version line,
 length, end marks, payload digest). After a failed check it searches for the next place where a whole valid record
-starts - a gzip member or a version line - reads on from there, and logs the bytes between as a quarantined gap.
+starts - a gzip member or a version line - reads on from there, and logs the bytes between as a quarantined gap. Inside
+a member it does the same with the inflated bytes, also of a member that is damaged or cut: records before the fault count.
 """
 
 from __future__ import annotations
 
+import base64
+import contextlib
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +28,7 @@ ARCHIVE_BYTES = 8 << 20
 LEAST_REVISIT = 1000  #: bytes; smaller payloads are always written whole
 MAX_RECORD = 1 << 30  #: a longer declared length is a damaged header
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 STEP = 1 << 16  #: bytes that are unpacked at once
 MEMBER = b"\x1f\x8b\x08"
 READ = "archive string, start long, stop long, kind string, record_type string, record_id string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary, reason string"
@@ -75,11 +80,23 @@ def archives(rows: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
     return rows.mapInArrow(pack, "archive string, content binary")
 
 
+def differs(digest: str, payload: bytes) -> bool | None:
+    """Whether a digest, in hex or base32, is not that of the payload; None if its algorithm is unknown."""
+    name, colon, told = digest.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not colon or name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    own, told = hashlib.new(name, payload).digest(), told.strip()
+    if len(told) == 2 * len(own):
+        return told.lower() != own.hex()
+    return told.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("=")
+
+
 def parse(record: bytes, at: int = 0) -> tuple[int, dict | None, str]:
     """The record that starts at a place: where it ends, and its fields or why it is none."""
     if not record.startswith(VERSIONS, at):
         return 0, None, "no version line"
-    end = record.find(b"\r\n\r\n", at, at + (1 << 20))
+    end = record.find(b"\r\n\r\n", at)
     if end < 0:
         return 0, None, "no end of header"
     fields = {}
@@ -104,14 +121,17 @@ def parse(record: bytes, at: int = 0) -> tuple[int, dict | None, str]:
         size = int(told[0]) if told and told[0].isdigit() else len(payload)
     digest = fields.get("warc-payload-digest", "")
     if fields.get("warc-type") != "revisit":
-        if digest.startswith("sha1:") and digest[5:].lower() != hashlib.sha1(payload).hexdigest():
+        wrong = differs(digest, payload)
+        if wrong:
             return 0, None, "payload digest differs"
+        fields["checked"] = wrong is not None
         size = len(payload)
     return stop + 4, fields | {"payload": payload, "size": size}, ""
 
 
 def read_member(data: bytes, at: int) -> tuple[int, list[dict], str]:
-    """The records of the member, or the plain record, that starts at a place: where it ends, and why it does not count."""
+    """The records of the member, or the plain record, that starts at a place: where it ends, and what was wrong, if anything.
+    Of a damaged member only records whose digest was checked count. A damaged or cut one ends where it starts."""
     if data.startswith(VERSIONS, at):
         stop, record, why = parse(data, at)
         return (stop, [record], "") if record else (at, [], why)
@@ -120,30 +140,44 @@ def read_member(data: bytes, at: int) -> tuple[int, list[dict], str]:
     unpack, view, inside, stop = zlib.decompressobj(31), memoryview(data), [], at
     try:
         while not unpack.eof and stop < len(data):
+            before = unpack.copy()
             inside.append(unpack.decompress(view[stop : stop + STEP]))
             stop = min(stop + STEP, len(data))
     except zlib.error:
-        return at, [], "damaged member"
-    if not unpack.eof:
-        return at, [], "cut member"
+        broken = "damaged member"
+        with contextlib.suppress(zlib.error):  # what comes before the fault
+            for k in range(stop, len(data)):
+                inside.append(before.decompress(view[k : k + 1]))
+    else:
+        broken = "" if unpack.eof else "cut member"
     stop, inside = stop - len(unpack.unused_data), b"".join(inside)
-    found, place = [], 0
+    found, why, place = [], broken, 0
     while place < len(inside):
-        place, record, why = parse(inside, place)
-        if record is None:
-            return at, [], why
-        found.append(record)
-    return (stop, found, "") if found else (at, [], "empty member")
+        end, record, wrong = parse(inside, place)
+        if record is not None:
+            if broken != "damaged member" or record.get("checked"):
+                found.append(record)
+            place = end
+            continue
+        why = why or wrong
+        again = VERSION.search(inside, place + 1)
+        place = again.start() if again else len(inside)
+    if not found:
+        return at, [], why or "empty member"
+    return (at if broken else stop), found, why
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
-    """(start, stop, record, reason) in order of place: records, and gaps (record None) with what was wrong at their start."""
+    """(start, stop, record, reason) in order of place: records, and gaps (record None) with what was wrong at their start.
+    A gap of which records were saved has their places."""
     at = 0
     while at < len(data):
         stop, found, why = read_member(data, at)
-        if found:
+        if stop > at:
             for record in found:
                 yield at, stop, record, ""
+            if why:
+                yield at, stop, None, why
             at = stop
             continue
         start, at = at, at + 1
@@ -154,6 +188,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
                 break
             at += 1
         at = min(at, len(data))
+        for record in found:
+            yield start, at, record, ""
         yield start, at, None, why
 
 

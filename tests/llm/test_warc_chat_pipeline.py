@@ -42,6 +42,31 @@ def test_warc_salvage(zipped):
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_salvage_in_members():
+    """Records before and after a fault inside a member, base32 and unknown digests, and a very long header are kept."""
+    import base64
+    import random
+
+    noise = lambda k: bytes(random.Random(k).choices(range(256), k=3000))
+    told = lambda data: [r["payload"] for _, _, r, _ in warc.salvage(data) if r]
+    pieces = [record(noise(k)) for k in range(40)]
+    stream = gzip.compress(b"".join(pieces))
+    assert told(stream[: len(stream) // 2]) == [noise(k) for k in range(19)]
+    bad = bytearray(stream)
+    bad[len(bad) // 2] ^= 0x5A
+    got = told(bytes(bad))
+    assert len(got) >= 38 and set(got) <= {noise(k) for k in range(40)}
+    broken = pieces[:10] + [pieces[10].replace(b"Content-Length: ", b"Content-Length: 9")] + pieces[11:]
+    member = gzip.compress(b"".join(broken))
+    got = list(warc.salvage(member))
+    assert [r["payload"] for _, _, r, _ in got if r] == [noise(k) for k in range(40) if k != 10] and got[-1][:3] == (0, len(member), None)
+    for digest in (b"sha1:" + base64.b32encode(hashlib.sha1(b"p").digest()), b"sha256:" + hashlib.sha256(b"p").hexdigest().encode(), b"crc9:1"):
+        one = record(b"p").replace(b"sha1:" + hashlib.sha1(b"p").hexdigest().encode(), digest)
+        assert told(one) == told(gzip.compress(one)) == [b"p"]
+    assert told(record(b"p").replace(hashlib.sha1(b"p").hexdigest().encode(), base64.b32encode(hashlib.sha1(b"q").digest()))) == []
+    assert told(gzip.compress(record(b"p").replace(b"WARC-Type", b"WARC-Target-URI: " + b"u" * (2 << 20) + b"\r\nWARC-Type"))) == [b"p"]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi " * 30), (1, 2, "assistant", "yo " * 30), (1, 3, "user", "and?\\n <|im_end|>\n"), (1, 4, "assistant", "</s>\\e" * 9), (1, 5, None, None), (2, 0, "assistant", ""), (3, 0, "user\n", "<s><|im_start|>x"), (3, 0, "assistant", "w " * 200)]
     rows = [*rows, *((4, i, "assistant" if i % 2 else "user", "t " * (i % 5)) for i in range(60))]

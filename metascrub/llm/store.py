@@ -26,3 +26,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/metascrub/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``saved``, in buckets by key: as many as a shuffle has partitions, so that joins by key move the other side only."""
+    spark = df.sparkSession
+    table = f"metascrub_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/metascrub/{table}").saveAsTable(table)
+    return spark.table(table)

@@ -66,10 +66,11 @@ def brute_substring(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup(spark, seed):
+@pytest.mark.parametrize(("seed", "start"), [(1, 13), (2, 25), (2, 6), (1, 50)])
+def test_substring_dedup(spark, seed, start):
+    """With one level and with up to five: 6, 12, 24, 48, 50 words."""
     rows = corpus(seed)
-    got = substring_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    got = substring_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(5), 50, start).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_substring(rows)
 
 
@@ -86,41 +87,77 @@ def brute_suffix(rows):
     return out
 
 
+def test_substring_levels(spark):
+    """The doubling ends where no candidates survive, and at the target."""
+    assert substring_dedup.widths(13, 50) == [13, 26, 50] and substring_dedup.widths(50, 50) == [50] and substring_dedup.widths(1, 4) == [1, 2, 4]
+    with pytest.raises(ValueError, match="start"):
+        substring_dedup.widths(1, 1) and substring_dedup.dedup(spark.createDataFrame([], DOCS), 5, 6)
+    shared = " ".join(f"s{i}" for i in range(30))  # repeats at 13 and 26 words, not at 50
+    rows = [(i, f"{' '.join(f'a{i}x{k}' for k in range(60))} {shared} {' '.join(f'b{i}x{k}' for k in range(60))}") for i in range(6)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_substring(rows) and not any(r.n_removed or r.gone for r in got)
+
+
 @pytest.mark.parametrize("hot", [4096, 3])
-def test_suffix_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    rows = corpus(3) + [(1001, "a" * 700), (1002, "ab" * 200 + "c" * 99), (1003, "xyz" * 60)]
-    got = suffix_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+def test_suffix_dedup(spark, hot):
+    rows = corpus(3) + [(1001, "a" * 700), (1002, "ab" * 200 + "c" * 99), (1003, "xyz" * 60), (1004, "\0\x01" * 120)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(5), hot).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_suffix(rows)
 
 
-def test_suffix_dedup_hot_anchors(spark):
-    """Several hot anchors in one partition: the windows of each come out whole, and results equal brute force."""
-    import pyarrow as pa
-
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_suffix_dedup_hot_anchors(spark, monkeypatch, hot):
+    """Passages in many surroundings go through the merged transforms, of a hot anchor, too; other texts don't."""
     r = random.Random(8)
-    noise = lambda n: bytes(r.choices(range(97, 123), k=n))
-    rows = [(a, a * 100 + k, 0, noise(120)) for a in (1, 2, 3) for k in range(7)] + [(4, 900, 0, noise(120))] * 2
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
-    batch = pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "lo", "seg"])
-    out = [x for b in suffix_dedup._merge(iter([batch]), 3) for x in b.to_pylist()]
-    assert Counter(x["doc_id"] for x in out if x["hash"] is not None) == {d: 21 for a, d, *_ in rows if a < 4}
-    assert sorted(x["place"] for x in out if x["hash"] is None) == list(range(21)) and {x["doc_id"] for x in out if x["hash"] is None} == {900}
-
     passages = ["".join(r.choices("abcdefgh ", k=120)) for _ in range(4)]
     texts = ["".join(r.choices("ijklmnop ", k=60)) + passages[i % 4] + "".join(r.choices("qrstuvwx ", k=60)) for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
-    got = suffix_dedup.dedup(docs, hot=3).collect()
+    got = suffix_dedup.dedup(docs, hot=hot).collect()
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == brute_suffix(list(enumerate(texts)))
     assert sum(x.n_removed > 0 for x in got) == 56
 
 
+def test_suffix_dedup_repeated_rows(spark):
+    """Equal rows of one doc_id are one document: each keeps its bytes, later documents lose theirs."""
+    text = "".join(random.Random(2).choices("abcdef ", k=400))
+    got = suffix_dedup.dedup(spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, None)], DOCS).repartition(3)).collect()
+    assert sorted((x.doc_id or 0, x.n_bytes, x.n_removed) for x in got) == [(0, 0, 0), (0, 400, 0), (1, 400, 0), (1, 400, 0), (2, 400, 400)]
+
+
+def test_merge_by_groups():
+    """Groups of anchors are answered whole, however batches cut them and however little is held."""
+    import pyarrow as pa
+
+    r = random.Random(5)
+    rows = []
+    for a in range(12):
+        base = bytes(r.choices(range(97, 105), k=160))
+        for d in range(5):
+            lo = r.randrange(30)
+            rows.append((a, d, lo, base[lo : lo + 120]))
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+    whole = pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "lo", "seg"])
+    seen, want = {}, Counter()
+    for a, d, lo, seg in rows:
+        for k in range(21):
+            key = (a, seg[k : k + 100])
+            seen.setdefault(key, []).append((d, lo + k))
+    for places in seen.values():
+        want.update(p for p in places if p > min(places))
+    for size in (7, 60):
+        got = Counter()
+        for b in suffix_dedup._merge(iter([whole.slice(k, size) for k in range(0, len(rows), size)])):
+            for x in b.to_pylist():
+                got.update((x["doc_id"], x["lo"] + k) for k in range(x["n"]))
+        assert got == want
+
+
 def test_merged_transforms():
     import numpy as np
 
     segs = [b"banana", b"bandana", b"anan", b"nabanana"]
     make = lambda part: (np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int16) + 1, 0) for s in part]), np.concatenate([np.arange(len(s) + 1, 0, -1) for s in part]))
-    place, block = suffix_dedup.merged_blocks([make(segs[:2]), make(segs[2:])], rounds=3)
+    place, block, common = suffix_dedup.merged_blocks([make(segs[:2]), make(segs[2:])], rounds=3)
     joined = b"".join(s + b"\0" for s in segs)
     by_block = {}
     for p, b in zip(place, block, strict=True):
@@ -130,6 +167,11 @@ def test_merged_transforms():
         if b"\0" not in joined[p : p + 3]:
             want.setdefault(joined[p : p + 3], []).append(p)
     assert sorted(sorted(v) for v in by_block.values()) == sorted(v for v in want.values() if len(v) > 1)
+    # common prefixes: the longest with any other suffix, up to the end of the string and three bytes
+    for p in range(len(joined)):
+        own = joined[p:].split(b"\0")[0][:3]
+        longest = max(k for k in range(len(own) + 1) if k == 0 or sum(joined[q : q + k] == own[:k] for q in range(len(joined))) > 1)
+        assert common[p] == longest
 
 
 def brute_links(rows, n, percent):

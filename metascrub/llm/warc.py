@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metascrub.llm import store
+from metascrub.llm import text as tx
 
 ARCHIVE_BYTES = 8 << 20
 LEAST_REVISIT = 1000  #: bytes; smaller payloads are always written whole
-MAX_RECORD = 1 << 30  #: a longer declared length is a damaged header
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 STEP = 1 << 16  #: bytes that are unpacked at once
@@ -36,22 +36,27 @@ READ = "archive string, start long, stop long, kind string, record_type string,
 
 def records(pages: DataFrame) -> DataFrame:
     """(page_id, record): of pages with equal payloads of LEAST_REVISIT bytes or more the one with the largest page_id is a
-    response, the others are revisits of it. Nulls: html is empty, url is empty; page_id should be neither null nor repeated."""
+    response, the others are revisits of it. Nulls: html is empty, url is empty; a null page_id is less than any, and
+    pages that have none refer to no other page without one. Rows that share the largest page_id are responses, all of them.
+    Extra columns are ignored; no pages give no records. A record's id names the page and a hash of the row, so different
+    rows of one page_id have different ids."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    key = F.lower(F.lpad(F.hex(tx.row_key("page_id", "url", "html")), 16, "0"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), key.alias("key"), url.alias("url"), payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     # payloads that stand twice or more; rows without one of these are not dealt by it
-    twice = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    twice = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest", "size").agg(F.max(F.struct("page_id", "key")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = rows.join(twice, ["digest", "size"], "left")
-    again = F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
+    again = F.col("first.page_id").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    url = F.regexp_replace("url", "[\\x00-\\x20]", "%20")
+    told = F.regexp_replace("url", "[\\x00-\\x20]", "%20")
     http = text("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", F.col("size").cast("string"), "\r\n\r\n")
     body = F.when(again, http.cast("binary")).otherwise(F.concat(http.cast("binary"), F.col("payload")))
-    ident = lambda c: text("<urn:page:", c.cast("string"), ">")
+    ident = lambda page, own: text("<urn:page:", F.coalesce(page.cast("string"), F.lit("")), ":", own, ">")
     head = text(
-        "WARC/1.1\r\nWARC-Type: ", F.when(again, "revisit").otherwise("response"), "\r\nWARC-Record-ID: ", ident(F.col("page_id")), "\r\nWARC-Target-URI: ", url,
+        "WARC/1.1\r\nWARC-Type: ", F.when(again, "revisit").otherwise("response"), "\r\nWARC-Record-ID: ", ident(F.col("page_id"), F.col("key")), "\r\nWARC-Target-URI: ", told,
         "\r\nWARC-Date: 1980-01-01T00:00:00Z\r\nContent-Type: application/http;msgtype=response\r\nWARC-Payload-Digest: sha1:", F.col("digest"),
-        F.when(again, text("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: ", ident(F.col("first")))).otherwise(""),
+        F.when(again, text("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: ", ident(F.col("first.page_id"), F.col("first.key")))).otherwise(""),
         "\r\nContent-Length: ", F.octet_length("_body").cast("string"), "\r\n\r\n")
     return rows.withColumn("_body", body).select("page_id", F.concat(head.cast("binary"), F.col("_body"), F.lit("\r\n\r\n").cast("binary")).alias("record"))
 
@@ -71,7 +76,7 @@ def archives(rows: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
                 if held and size + len(member) > most:
                     yield out()
                     held, name, size = [], None, 0
-                name = page if name is None else name
+                name = f"{page if page is not None else 'x'}-{zlib.crc32(member):08x}" if name is None else name
                 held.append(member)
                 size += len(member)
         if held:
@@ -106,7 +111,7 @@ def parse(record: bytes, at: int = 0) -> tuple[int, dict | None, str]:
             return 0, None, "bad header line"
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     length = fields.get("content-length", "")
-    if not (length.isascii() and length.isdigit() and int(length) <= MAX_RECORD):
+    if not (length.isascii() and length.isdigit() and len(length) < 19):
         return 0, None, "bad length"
     stop = end + 4 + int(length)
     if record[stop : stop + 4] != b"\r\n\r\n":
@@ -170,7 +175,7 @@ def read_member(data: bytes, at: int) -> tuple[int, list[dict], str]:
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     """(start, stop, record, reason) in order of place: records, and gaps (record None) with what was wrong at their start.
     A gap of which records were saved has their places."""
-    at = 0
+    at, places = 0, {MEMBER: -1, b"WARC/1.": -1}  # of each mark the next place that is known
     while at < len(data):
         stop, found, why = read_member(data, at)
         if stop > at:
@@ -182,8 +187,10 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
             continue
         start, at = at, at + 1
         while at < len(data):
-            places = [p for p in (data.find(MEMBER, at), data.find(b"WARC/1.", at)) if p >= 0]
-            at = min(places, default=len(data))
+            for mark, place in places.items():
+                if place < at:
+                    places[mark] = p if (p := data.find(mark, at)) >= 0 else len(data)
+            at = min(places.values())
             if at < len(data) and read_member(data, at)[1]:
                 break
             at += 1
@@ -217,7 +224,7 @@ def read(archived: DataFrame, payloads: bool = False) -> DataFrame:
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     written = store.saved(archives(records(spark.read.parquet(f"{sf_dir}/pages.parquet"))), "warc")
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(-?[0-9]*):[0-9a-f]{16}>$", 1), F.lit("")).cast("long")
     rows = read(written).filter("kind = 'record'")
     return rows.select(page("record_id").alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", F.when(F.col("record_type") == "revisit", page("refers_to")).alias("refers_to"))
 
@@ -225,7 +232,7 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
 ORACLE = """
 with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as payload_digest, strlen(coalesce(html, ''))::bigint as payload_bytes from pages),
 r as (select payload_digest, payload_bytes, max(page_id) as first from p where payload_bytes >= 1000 group by all)
-select page_id, payload_bytes, payload_digest, case when first is not null and first <> page_id then 'revisit' else 'response' end as record_type,
-  case when first <> page_id then first end as refers_to
+select page_id, payload_bytes, payload_digest, case when first is not null and first is distinct from page_id then 'revisit' else 'response' end as record_type,
+  case when first is distinct from page_id then first end as refers_to
 from p left join r using (payload_digest, payload_bytes)
 """

@@ -1,9 +1,10 @@
 """Secret scanning with a random forest that removes false positives; built-in functions and Spark ML alone.
 
-Candidates are runs of 12 or more key characters with a digit in them. Each is described by its length, the
-transitions between classes of its characters, how much of it common words of the corpus cover, the path it stands in
-(the source) and the words next to it. The forest is trained on labelled findings and keeps what it takes for a
-secret. ``weak_labels`` labels findings by strict rules where nobody has labelled any.
+Candidates are private-key blocks, values in quotes that are assigned to a secret's name, whatever signs they are made of,
+such values without quotes if they hold a digit, and all runs of 12 or more key characters with a digit in them. Each is
+described by its length, the transitions between classes of its characters, how much of it common words of the corpus
+cover, the path it stands in (the source) and the words next to it. The forest is trained on labelled findings and keeps
+what it takes for a secret. ``weak_labels`` labels findings by strict rules where nobody has labelled any.
 """
 
 from __future__ import annotations
@@ -18,29 +19,46 @@ from pyspark.sql import functions as F
 from metascrub.llm import text as tx
 
 CHARS = r"A-Za-z0-9_+/.\-"
-TOKEN = rf"(?<![{CHARS}])(?=[A-Za-z_+/.\-]{{0,64}}[0-9])[{CHARS}]{{12,}}"
 NEAR = 40  #: characters of the surroundings that are looked at
 COMMON = 400  #: words of the dictionary
 #: Names before a value that make it a secret, formats that are one by themselves, words of harmless values.
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "credential", "private_key")
-FORMATS = ("^AKIA[A-Z0-9]{16}$", "^gh[pousr]_[A-Za-z0-9]{36}$", "^xox[abprs]-[A-Za-z0-9-]{10,}$", "^glpat-[A-Za-z0-9_-]{20}$")
+FORMATS = ("^AKIA[A-Z0-9]{16}$", "^gh[pousr]_[A-Za-z0-9]{36}$", "^xox[abprs]-[A-Za-z0-9-]{10,}$", "^glpat-[A-Za-z0-9_-]{20}$", "^-----BEGIN [A-Z ]*PRIVATE KEY-----")
 HARMLESS = ("commit", "checksum", "digest", "uuid", "example", "placeholder", "revision", "version")
+#: Right behind an assignment to a secret's name. The looks at the last signs come first, as they are cheap.
+NAMED = rf"""(?<=(?i:{"|".join(NAMES)})["']?\s{{0,3}}[=:]\s{{0,3}}"""
+ASSIGNED = rf"""[=:](?<=(?i:{"|".join(NAMES)})["']?\s{{0,3}}[=:])|-----BEGIN [A-Z ]{{0,40}}PRIVATE"""  #: what TOKEN but RUN needs
+RUN = rf"(?<![{CHARS}])(?=[A-Za-z_+/.\-]*+[0-9])[{CHARS}]{{12,}}(?<![.\-])"
+TOKEN = "|".join([
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]++-(?!----)){0,50}+[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    '(?<=")' + NAMED + r"""")[^"\r\n]{6,}""", "(?<=')" + NAMED + r"""')[^'\r\n]{6,}""",
+    r"(?<=[=:\s])(?<=[=:]\s{0,3})" + NAMED + r""")(?=[^\s"'<>,;]*[0-9])[^\s"'<>,;]{6,}""", RUN,
+])
 MARK = "[REDACTED]"
 ROW = ("doc_id", "source", "text")  #: what candidates come from; rows alike in these have the same ones
 FOUND = ["row", "doc_id", "source", "n", "value", "score"]
 
 
+def _both(text: Column, apply) -> Column:
+    """apply(TOKEN) of texts with an assignment to a secret's name or a key block, apply(RUN) of the others, which is the same and quicker."""
+    return F.when(text.rlike(ASSIGNED), apply(TOKEN)).otherwise(apply(RUN))
+
+
+def has_candidate(text: Column) -> Column:
+    return F.coalesce(_both(text, lambda p: text.rlike(p)), F.lit(False))
+
+
 def _split(docs: DataFrame) -> DataFrame:
     """docs with gaps and values: the text is gaps[0], values[0], gaps[1], ... and a last gap."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"_gaps": F.split(text, TOKEN, -1), "_values": F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1)})
+    return docs.withColumns({"_gaps": _both(text, lambda p: F.split(text, p, -1)), "_values": _both(text, lambda p: F.regexp_extract_all(text, F.lit(f"({p})"), 1))})
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """row (a hash of doc_id, source and text), doc_id, source, n (ordinal in the text, from 0), value, before, after: one row
     for each candidate. Null, empty and blank texts have none; a null source is the empty path; rows are scanned one by one,
     repeated ones too."""
-    rows = docs.filter(F.col("text").rlike("[0-9]")).select(tx.row_key(*ROW).alias("row"), "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
+    rows = docs.filter(has_candidate(F.col("text"))).select(tx.row_key(*ROW).alias("row"), "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
     rows = _split(rows).select("row", "doc_id", "source", "_values", F.transform("_gaps", lambda g: F.struct(F.right(g, F.lit(NEAR)).alias("r"), F.left(g, F.lit(NEAR)).alias("l"))).alias("_gaps"))
     rows = rows.select("row", "doc_id", "source", F.posexplode_outer(F.arrays_zip("_values", F.expr("slice(_gaps, 1, size(_values))").alias("_b"), F.expr("slice(_gaps, 2, size(_values))").alias("_a"))).alias("n", "x"))
     return rows.select("row", "doc_id", "source", "n", F.col("x._values").alias("value"), F.col("x._b.r").alias("before"), F.col("x._a.l").alias("after")).filter("value is not null")
@@ -114,15 +132,20 @@ def fit(docs: DataFrame) -> tuple[PipelineModel | None, list[str]]:
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs, all columns, with MARK in place of each value found in the row itself, whatever its doc_id, and n_chars, if it is
-    there, anew. found: of ``scan`` over the same docs."""
+    there, anew. found: of ``scan`` over the same docs. Rows without a candidate, null and empty texts among them, stay as
+    they are and where they are; extra columns of any names stay."""
     own = found.groupBy(F.col("row").alias("_row")).agg(F.collect_set("value").alias("_secrets"))
-    rows = docs.withColumn("_row", tx.row_key(*ROW)).join(own, "_row", "left").drop("_row")
-    rows = _split(rows.withColumn("_plain", F.col("_secrets").isNull()).withColumn("_whole", F.col("text")).withColumn("text", F.when(~F.col("_plain"), F.col("text"))))
+    maybe = has_candidate(F.col("text"))
+    whole = docs.filter(maybe).select(F.struct(*docs.columns).alias("_whole"), tx.row_key(*ROW).alias("_row"), F.col("text"))
+    rows = _split(whole.join(own, "_row", "left").withColumn("text", F.when(F.col("_secrets").isNotNull(), F.col("text"))))
     told = F.concat_ws("", F.transform(F.arrays_zip("_gaps", "_values"), lambda x: F.concat(F.coalesce(x["_gaps"], F.lit("")), F.when(F.array_contains("_secrets", x["_values"]), MARK).otherwise(F.coalesce(x["_values"], F.lit(""))))))
-    rows = rows.withColumn("text", F.when(F.col("_plain"), F.col("_whole")).otherwise(told))
+    rows = rows.select("_whole", "_secrets", F.when(F.col("_secrets").isNotNull(), told).alias("_told"))
+    plain = {c: F.col("_whole").getField(c) for c in docs.columns}
+    anew = {"text": F.col("_told").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_plain"), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(docs.columns)
+        anew["n_chars"] = F.char_length("_told").cast(docs.schema["n_chars"].dataType)
+    rows = rows.select(*[F.when(F.col("_secrets").isNull(), plain[c]).otherwise(anew.get(c, plain[c])).alias(c) for c in docs.columns])
+    return docs.filter(~maybe).unionByName(rows)
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:

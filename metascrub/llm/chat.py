@@ -5,6 +5,10 @@ control string (of this template and of other common ones) a backslash and its l
 them and reading back is exact. Prefix sums of turn tokens over a conversation choose windows of whole turns; each
 window after the first repeats the system turn and as many of the turns before it as fit into the history budget. The
 loss mask covers the texts of assistant turns, but never a repeated one, so each target counts once.
+
+The sums are taken over ranges of turns first. They deal a conversation into blocks of some windows' tokens; a window
+begins anew with each block, and a block gets the turns before it that may be its first window's history. So no task
+and no row holds more of a conversation than one block, however long it is.
 """
 
 from __future__ import annotations
@@ -36,37 +40,60 @@ def tokens(piece: Column) -> Column:
     return F.regexp_count(piece, F.lit(r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]")).cast("long")
 
 
-def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
-    """conv_id, window, formatted, lead (leading turns that are repeats), loss (array of start and length in code points
-    of formatted), n_tokens, over_budget.
+RANGE = 256  #: turns whose sums are taken together
+BLOCK = 16  #: windows' tokens of one block
 
-    Turns go by turn, then role and text; null roles and texts are empty; equal rows are turns of their own. A null
-    conv_id is a conversation like others. The first turn is the system turn if its role is ``system``. A turn larger than
-    the room of a window has one of its own, marked over_budget. Extra columns are ignored; no rows give no windows."""
-    rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
+    """conv_id, window (the ordinal of its first own turn, from 1), formatted, lead (leading turns that are repeats), loss (array of
+    start and length in code points of formatted), n_tokens, over_budget.
+
+    Turns go by turn, then role and text; a null turn comes first; null roles and texts are empty; equal rows are turns of
+    their own. A null conv_id is a conversation like others. The first turn is the system turn if its role is ``system``.
+    A turn larger than the room of a window has one of its own, marked over_budget. Extra columns are ignored; no rows
+    give no windows."""
+    none = F.lit("").cast("string")
+    rows = conversations.select("conv_id", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), none).alias("c_key"), F.col("turn"), F.coalesce(F.col("role").cast("string"), none).alias("role"), F.coalesce(F.col("text").cast("string"), none).alias("text"))
     head = F.concat(F.lit(START), escape(F.col("role"), True), F.lit("\n"))
     rows = rows.withColumns({"head": F.char_length(head), "body": escape(F.col("text"))}).withColumn("piece", F.concat(head, F.col("body"), F.lit(END + "\n")))
-    rows = rows.withColumns({"k": tokens(F.col("piece")), "c": F.char_length("piece"), "target": F.when(F.col("role") == "assistant", F.char_length("body"))})
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    # prefix sums of tokens (p) and of characters (q), each with the turn itself
-    rows = rows.select("conv_id", F.struct(F.row_number().over(order).alias("at"), F.sum("k").over(upto).alias("p"), F.sum("c").over(upto).cast("long").alias("q"), "k", "c", "head", "target", (F.col("role") == "system").alias("sys"), "piece").alias("t"))
-    conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    conv = conv.withColumn("s", F.expr("if(t[0].sys, 1, 0)"))  # turns of the system
-    conv = conv.withColumn("room", F.expr(f"greatest(1L, {budget - history} - if(s = 1, t[0].k, 0L))"))
-    # first turns of windows (from 0): the system turn stays with the first one
-    starts = """aggregate(slice(t, s + 1, size(t)), named_struct('base', if(s = 1, t[0].p, 0L), 'starts', array(0)),
-        (a, x) -> if(x.p - a.base <= room or x.at - 1 = s, a, named_struct('base', x.p - x.k, 'starts', concat(a.starts, array(x.at - 1)))), a -> a.starts)"""
-    conv = conv.withColumn("starts", F.expr(starts))
-    win = conv.select("conv_id", "t", "s", F.posexplode("starts").alias("window", "lo"), "starts")
-    win = win.withColumn("hi", F.expr("coalesce(get(starts, window + 1), size(t))")).drop("starts")
+    rows = rows.withColumns({"k": tokens(F.col("piece")), "c": F.char_length("piece").cast("long"), "target": F.when(F.col("role") == "assistant", F.char_length("body"))})
+    # ordinals and prefix sums of tokens (p) and characters (q), each with the turn itself: in ranges, then over ranges
+    rows = rows.withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-(1 << 62))))
+    inside = Window.partitionBy("c_key", "range").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy("c_key", "range").agg(F.count("*").alias("n"), F.sum("k").alias("p"), F.sum("c").alias("q"))
+    before = Window.partitionBy("c_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("c_key", "range", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in "npq"])
+    rows = rows.withColumns({"n_in": F.row_number().over(inside), "p_in": F.sum("k").over(upto), "q_in": F.sum("c").over(upto)}).join(sums, ["c_key", "range"])
+    rows = rows.withColumns({"at": F.col("n_in") + F.col("n_before"), "p": F.col("p_in") + F.col("p_before"), "q": F.col("q_in") + F.col("q_before")})
+    rows = rows.withColumn("sys", (F.col("at") == 1) & (F.col("role") == "system"))
+    system = rows.filter("sys").select("c_key", F.struct("piece", "k", "c").alias("s"))  # a row for each conversation at most
+    # a turn is in the block where it starts, and told to the next one if it may be history there
+    size = BLOCK * max(1, budget - history)
+    block = F.floor((F.col("p") - F.col("k")) / size)
+    later = ~F.col("sys") & (F.col("p") - F.col("k") >= (block + 1) * size - history)
+    at = F.explode(F.array_compact(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.when(later, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))))))
+    rows = rows.select("*", at.alias("b")).select("conv_id", "c_key", "b.block", F.struct("at", "p", "q", "k", "c", "head", "target", "sys", "b.own", "piece").alias("t"))
+    blocks = rows.groupBy("conv_id", "c_key", "block").agg(F.sort_array(F.collect_list("t")).alias("t")).filter(F.exists("t", lambda x: x["own"]))
+    blocks = blocks.join(system, "c_key", "left")
+    blocks = blocks.withColumn("o", F.expr("size(filter(t, x -> not x.own))"))  # turns that are told only
+    blocks = blocks.withColumns({"first": F.expr("o + if(t[o].sys, 1, 0)"), "room": F.expr(f"greatest(1L, {budget - history} - coalesce(s.k, 0L))")})
+    # first turns of windows, as places in t: the system turn stays with the first one
+    starts = """aggregate(if(size(t) > first, sequence(first, size(t) - 1), array()), named_struct('base', if(size(t) > first, t[first].p - t[first].k, 0L), 'starts', array(o)),
+        (a, i) -> if(t[i].p - a.base <= room or i = first, a, named_struct('base', t[i].p - t[i].k, 'starts', concat(a.starts, array(i)))), a -> a.starts)"""
+    blocks = blocks.withColumn("starts", F.expr(starts))
+    win = "transform(starts, (lo, i) -> named_struct('lo', lo, 'hi', coalesce(get(starts, i + 1), size(t)), 'again', t[lo].at > 1))"
     # history: the turns before lo whose tokens fit, from the prefix sums
-    win = win.withColumn("from", F.expr(f"if(lo = 0, 0, coalesce(get(filter(slice(t, s + 1, lo - s), x -> t[lo - 1].p - x.p + x.k <= {history}), 0).at - 1, lo))"))
-    win = win.withColumn("sys", F.expr("if(lo > 0 and s = 1, slice(t, 1, 1), slice(t, 1, 0))")).withColumn("own", F.expr("slice(t, from + 1, hi - from)"))
-    win = win.withColumn("shift", F.expr("if(size(sys) = 1, sys[0].c, 0) - (own[0].q - own[0].c)"))
-    loss = "transform(filter(own, x -> x.target is not null and x.at > lo), x -> named_struct('start', x.q - x.c + x.head + shift, 'length', x.target))"
-    n = "if(size(sys) = 1, sys[0].k, 0L) + element_at(own, -1).p - own[0].p + own[0].k"
-    return win.select("conv_id", "window", F.expr("concat_ws('', transform(concat(sys, own), x -> x.piece))").alias("formatted"), F.expr("size(sys) + lo - from").alias("lead"), F.expr(loss).alias("loss"), F.expr(n).alias("n_tokens"), (F.expr(n) > budget).alias("over_budget"))
+    near = f"filter(if(w.again and w.lo > 0, sequence(w.lo - 1, 0, -1), array()), j -> not t[j].sys and t[w.lo].p - t[w.lo].k - t[j].p + t[j].k <= {history})"
+    win = f"transform({win}, w -> named_struct('lo', w.lo, 'hi', w.hi, 'from', coalesce(array_min({near}), w.lo), 'sys', if(w.again and s is not null, 1, 0)))"
+    own = "slice(t, w.from + 1, w.hi - w.from)"
+    shift = "if(w.sys = 1, s.c, 0L) - t[w.from].q + t[w.from].c"
+    loss = f"transform(filter(slice(t, w.lo + 1, w.hi - w.lo), x -> x.target is not null), x -> named_struct('start', x.q - x.c + x.head + {shift}, 'length', x.target))"
+    n = "if(w.sys = 1, s.k, 0L) + t[w.hi - 1].p - t[w.from].p + t[w.from].k"
+    text = f"concat(if(w.sys = 1, s.piece, ''), concat_ws('', transform({own}, x -> x.piece)))"
+    done = f"transform({win}, w -> named_struct('window', t[w.lo].at, 'formatted', {text}, 'lead', w.sys + w.lo - w.from, 'loss', {loss}, 'n_tokens', {n}))"
+    out = blocks.select("conv_id", F.explode(F.expr(done)).alias("w")).select("conv_id", "w.*")
+    return out.withColumn("over_budget", F.col("n_tokens") > budget)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

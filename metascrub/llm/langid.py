@@ -1,8 +1,10 @@
 """Hierarchical language identification: the family first, then one-versus-one linear support vector machines.
 
 Features are hashed runs of 1 to 4 bytes of the lower-cased letters of the whole text, with one space between words,
-scaled to length one. Machines are trained by Spark ML on a bounded sample of labelled rows: at most ``per_lang`` of
-each language, those with the least hash of doc_id. A family with one language needs no further machine.
+scaled to length one. The family is told by one multinomial model over all families. The languages of a family are told
+apart by machines, one for each two of them, of which several are fitted at once. All are trained by Spark ML on a bounded
+sample of labelled rows: at most ``per_lang`` of each language, those with the least hash of doc_id. A family with one
+language needs no further machine. Every label value is learned.
 
 Machines tell learned languages apart; they cannot tell that a text is in none. For that each language has an outlier
 model: how much likelier its runs are than runs of no language at all, for a text and its predicted language the mean
@@ -14,11 +16,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from metascrub.llm import text as tx
 
 DIM = 4096
-MAX_LANGS = 200  #: of a label column with more values the most frequent are learned
+AT_ONCE = 8  #: machines that are fitted side by side
 #: Families of closely related languages. A language that is not here is its own family.
 FAMILIES = {
     "de": "germanic", "en": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "af": "germanic",
@@ -51,11 +54,14 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] |= letter[:-1]  # one space after each word
     b = np.where(letter, data, 32)[keep].astype(np.uint64)
     start = np.concatenate(([0], np.cumsum(keep)))[at]
+    left = np.repeat(start[1:], np.diff(start)) - np.arange(len(b))  # bytes to the end of the text
     out, run = [], np.zeros(len(b), np.uint64)
     for k in range(1, 5):
         run = run[: len(b) - k + 1] * np.uint64(257) + b[k - 1 :] + np.uint64(1) if len(b) >= k else run[:0]
         h = ((run + np.uint64(k)) * TIMES) >> np.uint64(64 - 12)
-        out.append(np.concatenate((h, np.full(len(b) - len(h), DIM, np.uint64))))  # runs into the next text are few and alike for all
+        h = np.concatenate((h, np.full(len(b) - len(h), DIM, np.uint64)))
+        h[left < k] = DIM
+        out.append(h)
     return np.stack(out, 1).ravel().astype(np.int32), start * 4
 
 
@@ -142,18 +148,22 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def sample_of(known: DataFrame, per_lang: int) -> DataFrame:
+    """(lang, text) of at most ``per_lang`` rows of each language, those with the least hash of doc_id. Counts tell first which
+    hashes can be among them, so that no task ranks all rows of a language."""
+    rows = known.select("lang", "text", "doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / (1 << 31)).alias("h"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    few = rows.join(counts, "lang").filter(F.col("h") * F.col("n") < 2 * per_lang + 200)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    return few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).select("lang", "text")
+
+
 def train(docs: DataFrame, per_lang: int = 600, families: dict[str, str] = FAMILIES, max_iter: int = 15, outliers: bool = False) -> dict:
-    """The model: learned languages by family, the machines (level, a, b, weights, intercept), of which a
-    positive margin says b, and, with outliers, the languages' outlier models. Rows with a null label or text, without a letter, or held out are not learned from."""
+    """The model: learned languages by family, the family model (names, weights, intercepts), the machines (a, b, weights,
+    intercept), of which a positive margin says b, and, with outliers, the languages' outlier models. Rows with a null label
+    or text, without a letter, or held out are not learned from; repeated rows count as often as they come."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_lang)
-    langs = [r["lang"] for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not langs:
-        return {"families": {}, "machines": []}
-    # at most per_lang * MAX_LANGS ids are sent to all tasks
-    ids = picked.filter(F.col("lang").isin(langs)).select("doc_id").distinct()
-    sample = known.filter(F.col("lang").isin(langs)).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    sample = sample_of(known, per_lang)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tx.pieces(batches, most=1 << 20):
@@ -164,17 +174,29 @@ def train(docs: DataFrame, per_lang: int = 600, families: dict[str, str] = FAMIL
                 x = np.concatenate((vectors(whole), vectors(few)))
                 yield pa.RecordBatch.from_arrays([pa.array(lang[s : s + 100] * 2, pa.string()), pa.array([_half(t) for t in whole] * 2, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64()))], names=["lang", "half", "x"])
 
+    rows = sample.mapInArrow(featurise, "lang string, half int, x array<double>").select("lang", "half", array_to_vector("x").alias("features")).repartition(8).persist()
     by_family: dict[str, list[str]] = {}
-    for lang in sorted(langs):
+    for lang in sorted(r["lang"] for r in rows.select("lang").distinct().collect()):
         by_family.setdefault(families.get(lang, lang), []).append(lang)
-    rows = sample.mapInArrow(featurise, "lang string, half int, x array<double>").select("lang", "half", array_to_vector("x").alias("features")).repartition(8).persist()
-    machines = []
-    for level, a, b in [("family", *p) for p in combinations(sorted(by_family), 2)] + [("lang", *p) for k in sorted(by_family) for p in combinations(by_family[k], 2)]:
-        left, right = (by_family[a], by_family[b]) if level == "family" else ([a], [b])
-        part = rows.filter(F.col("lang").isin(left + right)).withColumn("label", F.col("lang").isin(right).cast("double"))
+    names = sorted(by_family)
+    of = {lang: float(k) for k, name in enumerate(names) for lang in by_family[name]}
+
+    def family() -> tuple:
+        if len(names) < 2:
+            return names, np.zeros((len(names), DIM)), np.zeros(len(names))
+        label = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("lang"))
+        fit = LogisticRegression(maxIter=2 * max_iter, regParam=1e-4, standardization=False, family="multinomial").fit(rows.withColumn("label", label))
+        return names, fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()
+
+    def machine(pair: tuple[str, str]) -> tuple:
+        part = rows.filter(F.col("lang").isin(*pair)).withColumn("label", (F.col("lang") == pair[1]).cast("double"))
         fit = LinearSVC(maxIter=max_iter, regParam=1e-4, standardization=False).fit(part)
-        machines.append((level, a, b, fit.coefficients.toArray(), float(fit.intercept)))
-    model = {"families": by_family, "machines": machines}
+        return (*pair, fit.coefficients.toArray(), float(fit.intercept))
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        first = pool.submit(family)
+        machines = list(pool.map(machine, [p for k in names for p in combinations(by_family[k], 2)]))
+    model = {"families": by_family, "family": first.result(), "machines": machines}
     if outliers:
         sums = rows.groupBy("lang", "half").agg(Summarizer.metrics("normL2", "count").summary(F.col("features")).alias("s")).select("lang", "half", "s.*").collect()
         model["typical"] = typical([(r["lang"], r["half"], r["normL2"].toArray() ** 2, r["count"]) for r in sums], sample)
@@ -196,55 +218,60 @@ def _vote(names: list[str], margins: dict) -> tuple[str, float]:
     return best, 1 / (1 + np.exp(-2 * np.clip(sure, -20, 20)))
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row, or the columns of docs in keep, _lang_pred, _score and _fits (whether the text is above
-    the floors of its language's outlier model; true without one). A null text, or one without a letter, is ``und`` with score 0, as
-    all are with an empty model. A null doc_id counts as the empty string for held_out. Repeated rows give equal results."""
+def predict(docs: DataFrame, model: dict, whole: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row; or, with whole, row (a struct of all columns of docs), lang_pred, score and
+    fits (whether the text is above the floors of its language's outlier model; true without one). A null text, or one
+    without a letter, is ``und`` with score 0, as all are with an empty model. A null doc_id counts as the empty string for
+    held_out. Repeated rows give equal results; columns may have any names."""
     machines = model["machines"]
-    weights = np.concatenate((np.array([m[3] for m in machines]).reshape(len(machines), DIM), np.zeros((len(machines), 1))), 1)
-    shared = docs.sparkSession.sparkContext.broadcast((model["families"], [m[:3] for m in machines], weights, [m[4] for m in machines], model.get("typical", {}) if keep else {}))
+    families, family_w, family_b = model["family"]
+    w = np.concatenate((family_w.reshape(len(families), DIM), np.array([m[2] for m in machines]).reshape(len(machines), DIM)))
+    bias = np.concatenate((family_b, [m[3] for m in machines]))
+    shared = docs.sparkSession.sparkContext.broadcast((model["families"], families, [m[:2] for m in machines], w, bias, model.get("typical", {}) if whole else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_family, names, w, bias, usual = shared.value
-        for piece in tx.pieces(batches, "_text" if keep else "text", most=1 << 19):
+        by_family, families, pairs, w, bias, usual = shared.value
+        tables = np.array([u[0] for u in usual.values()])
+        place = {k: i for i, k in enumerate(usual)}
+        for piece in tx.pieces(batches, most=1 << 19):
             texts = piece.column(1).to_pylist()
             langs, scores, fits = [], [], []
-            means = np.zeros((len(usual), len(texts)))
+            means, margins = np.zeros((len(usual), len(texts))), np.zeros((len(w), len(texts)))
             n, share = letters(texts) if usual else (None, None)
-            tables = np.array([u[0] for u in usual.values()])
-            place = {k: i for i, k in enumerate(usual)}
-            margins = np.zeros((len(names), len(texts)))
-            if names:
+            if families:
                 for s in range(0, len(texts), 64):
                     x = vectors(texts[s : s + 64])
-                    margins[:, s : s + 64] = w[:, :DIM] @ x.T + np.array(bias)[:, None]
+                    margins[:, s : s + 64] = w @ x.T + bias[:, None]
                     if usual:
                         means[:, s : s + 64] = tables @ (x**2).T
             for k, t in enumerate(texts):
-                if not by_family or not has_letter(t):
+                if not families or not has_letter(t):
                     langs.append("und")
                     scores.append(0.0)
                     fits.append(not usual)
                     continue
-                fam, sure = _vote(list(by_family), {(a, b): margins[i, k] for i, (level, a, b) in enumerate(names) if level == "family"})
-                lang, more = _vote(by_family[fam], {(a, b): margins[i, k] for i, (level, a, b) in enumerate(names) if level == "lang" and a in by_family[fam]})
+                own = margins[: len(families), k]
+                fam = families[int(np.argmax(own))]
+                sure = 1 / np.exp(own - own.max()).sum()
+                lang, more = _vote(by_family[fam], {p: margins[len(families) + i, k] for i, p in enumerate(pairs) if p[0] in by_family[fam]})
                 langs.append(lang)
-                scores.append(float(sure * more))
+                scores.append(round(float(sure * more), 9))
                 if lang in usual:
                     _, middle, least, few = usual[lang]
                     fits.append(bool(_apart(means[place[lang], k], n[k], middle) >= least and share[k] >= few))
                 else:
                     fits.append(True)
             told = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            if keep is None:
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), *told], names=["doc_id", "held_out", "lang_pred", "score"])
+            if whole:
+                yield pa.RecordBatch.from_arrays([piece.column(0), *told, pa.array(fits, pa.bool_())], names=["row", "lang_pred", "score", "fits"])
             else:
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *told, pa.array(fits, pa.bool_())], names=[*keep, "_lang_pred", "_score", "_fits"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), *told], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    if keep is not None:
-        schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-        return docs.select(F.lit(0).alias("_id"), F.col("text").alias("_text"), *keep).mapInArrow(run, f"{schema}, _lang_pred string, _score double, _fits boolean")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out")).mapInArrow(run, PREDICTED)
+    text = F.col("text").cast("string").alias("text")
+    if whole:
+        rows = docs.select(F.struct(*docs.columns).alias("row"), text)
+        return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, fits boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, held_out().alias("held_out")).mapInArrow(run, PREDICTED)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

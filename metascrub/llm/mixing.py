@@ -76,6 +76,7 @@ def mix(docs: DataFrame, share: tuple[int, int] = SHARE, seed: int = SEED, max_e
     rows = store.saved(rows.filter("n_tokens > 0"), "mixing")
     leaves = budgets(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), share, max_epochs, domain_weights, lang_weights)
     leaves = leaves.select(*LEVELS, F.expr("cast(got div tokens as int)").alias("epochs"), F.expr("got % tokens").alias("rest"))
+    leaves = store.saved(leaves, "mixing-leaves")  # of a written table Spark knows the size, and sends it to all tasks only if it is small
     key = lambda epoch: F.md5(F.concat_ws("|", F.lit(str(seed)), epoch, F.col("doc_id")).cast("binary"))
     out = rows.join(leaves, list(LEVELS))
     whole = out.filter("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).withColumn("shuffle_key", key(F.col("epoch")))

@@ -12,13 +12,52 @@ from metascrub.llm import chat, queries, warc
 SF = "/root/testdata/sf0.001"
 
 
+PAGES = "page_id long, url string, html string, digest string, size int"
+
+
+def by_page(rows):
+    return {int(r.record_id.split(":")[2]): r for r in rows}
+
+
 def test_warc_round_trip(spark):
     big = "x" * 1500
-    pages = spark.createDataFrame([(1, "u", big), (2, "u\n v", big), (3, None, None), (4, "w", "é"), (5, "w", "é"), (6, "z", big), (7, "q", "WARC/1.1\r\n\r\n")], "page_id long, url string, html string")
-    got = {r.record_id: r for r in warc.read(warc.archives(warc.records(pages)), payloads=True).collect()}
-    assert len(got) == 7 and all(r.kind == "record" for r in got.values())
-    assert [got[f"<urn:page:{i}>"].record_type for i in range(1, 8)] == ["revisit", "revisit", "response", "response", "response", "response", "response"]
-    assert got["<urn:page:1>"].refers_to == "<urn:page:6>" and got["<urn:page:1>"].payload_bytes == 1500 and bytes(got["<urn:page:4>"].payload) == "é".encode()
+    pages = [(1, "u", big), (2, "u\n v", big), (3, None, None), (4, "w", "é"), (5, "w", "é"), (6, "z", big), (7, "q", "WARC/1.1\r\n\r\n"), (8, "long", "ab é " * 400_000)]
+    pages = spark.createDataFrame([(*p, "own", 1) for p in pages], PAGES)
+    got = warc.read(warc.archives(warc.records(pages)), payloads=True).collect()
+    assert all(r.kind == "record" for r in got) and len({r.record_id for r in got}) == 8
+    got = by_page(got)
+    assert [got[i].record_type for i in range(1, 9)] == ["revisit", "revisit", "response", "response", "response", "response", "response", "response"]
+    assert got[1].refers_to == got[6].record_id and got[1].payload_bytes == 1500 and bytes(got[4].payload) == "é".encode()
+    assert bytes(got[8].payload) == ("ab é " * 400_000).encode()
+    assert warc.read(warc.archives(warc.records(pages.limit(0)))).count() == 0
+
+
+def test_warc_odd_rows(spark):
+    """Null and repeated page ids lose no row, and different rows have different record ids."""
+    big, other = "x" * 1500, "y" * 1500
+    pages = [(None, "a", big), (None, "b", big), (1, "a", big), (1, "b", big), (None, "c", other), (None, "d", other), (2, "e", None), (2, "e", None), (0, "a", big)]
+    got = warc.read(warc.archives(warc.records(spark.createDataFrame([(*p, None, 0) for p in pages], PAGES).repartition(3)))).collect()
+    assert len(got) == len(pages) and all(r.kind == "record" for r in got) and len({r.record_id for r in got}) == len(pages) - 1
+    kinds = Counter((r.record_id.split(":")[2], r.record_type) for r in got)
+    assert kinds == Counter({("", "revisit"): 2, ("1", "response"): 2, ("", "response"): 2, ("2", "response"): 2, ("0", "revisit"): 1})
+    ids = {r.record_id for r in got}
+    assert all(r.refers_to in ids and ":1:" in r.refers_to for r in got if r.record_type == "revisit")
+
+
+def test_warc_damage_in_proportion():
+    """Damage all over a big archive is passed in proportion to its size."""
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        data = bytearray(b"".join(record(b"p%d" % i) for i in range(n)))
+        for at in range(9, len(data), 500):
+            data[at] ^= 0xFF
+        start = time.time()
+        saved = sum(r is not None for _, _, r, _ in warc.salvage(bytes(data)))
+        took.append(time.time() - start)
+        assert saved > n / 3
+    assert took[1] < 12 * took[0] + 1
 
 
 def record(payload):
@@ -85,8 +124,52 @@ def test_chat(spark):
     assert chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
-def test_oracles(spark, name):
+def brute_chat(rows):
+    by, out = {}, {}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    for c, turns in by.items():
+        turns.sort()
+        said = "".join(x for *_, role, x in turns if role == "assistant")
+        out[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
+    return out
+
+
+def test_chat_query(spark):
+    """op5 as registered against brute force over the whole table."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+    got = queries.QUERIES["op5_chat_formatting"](spark, SF).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute_chat(rows)
+    assert all(r.formatted_chars > r.loss_chars for r in got)
+
+
+def test_chat_odd_rows(spark, monkeypatch):
+    """A null conv_id, null and equal turns, repeated rows, clashing columns, a very long text, and conversations of many blocks."""
+    import random
+
+    monkeypatch.setattr(chat, "RANGE", 4)
+    monkeypatch.setattr(chat, "BLOCK", 2)
+    r = random.Random(3)
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (1, None, "assistant", "null turn"), (1, 0, "user", "x"), (1, 0, "user", "x"), (1, 0, "assistant", "y" * 300_000), (2, 5, None, None)]
+    rows += [(3, i, "system" if i == 0 else "assistant" if i % 2 else "user", "k" if i == 0 else "w " * r.randrange(6)) for i in range(300)]
+    rows += [(4, -i, "assistant", "v " * (200 if i % 7 == 0 else 3)) for i in range(100)] + [(5, 0, "system", "only")]
+    docs = spark.createDataFrame([(*x, "p", 1, 2) for x in rows], "conv_id long, turn long, role string, text string, piece string, at int, block int").repartition(4)
+    out = chat.windows(docs, budget=70, history=25).collect()
+    back, said = {}, {}
+    for w in sorted(chat.read_back(spark.createDataFrame(out, chat.windows(docs).schema)).collect(), key=lambda w: (w.conv_id or 0, w.window)):
+        back.setdefault(w.conv_id, []).extend((t.role, t.text) for t in w.turns)
+        said[w.conv_id] = said.get(w.conv_id, "") + "".join(w.targets)
+    for c, turns in back.items():
+        own = sorted((t is not None, t or 0, role or "", text or "") for i, t, role, text in rows if i == c)
+        assert turns == [x[2:] for x in own] and said[c] == "".join(x for *_, role, x in own if role == "assistant")
+    assert set(back) == {None, 1, 2, 3, 4, 5}
+    long = [w for w in out if w.conv_id == 3]
+    assert len(long) > 30 and all(w.formatted.startswith("<|im_start|>system") for w in long) and sum(w.lead > 1 for w in long) > len(long) / 2
+    assert all(w.n_tokens <= 70 or w.over_budget for w in out)
+
+
+def same(spark, name, sql):
     import os
 
     import duckdb
@@ -95,9 +178,27 @@ def test_oracles(spark, name):
     for f in os.listdir(SF):
         db.sql(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
     db.register("got", queries.QUERIES[name](spark, SF).toArrow())
-    db.sql(f"create temp table want as {queries.ORACLES[name]}")
+    db.sql(f"create temp table want as {sql}")
     listed = ", ".join(sorted(c[0] for c in db.sql("describe got").fetchall()))
-    assert not db.sql(f"(select {listed} from want except all select {listed} from got) union all (select {listed} from got except all select {listed} from want)").fetchall()
+    return not db.sql(f"(select {listed} from want except all select {listed} from got) union all (select {listed} from got except all select {listed} from want)").fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, name):
+    assert same(spark, name, queries.ORACLES[name])
+
+
+def test_queries_on_texts(spark):
+    """op3, op7, op8 as registered against brute force over the whole table."""
+    from test_text_ops import brute_links, brute_substring, brute_suffix
+
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    run = lambda name: {r.doc_id: tuple(r)[1:] for r in queries.QUERIES[name](spark, SF).collect()}
+    assert run("op8_substring_dedup") == {k: v for k, v in brute_substring(rows).items()}
+    assert run("op7_suffix_array_dedup") == brute_suffix(rows)
+    got = run("op3_ngram_jaccard_join")
+    sizes = {i: v[:2] for i, v in brute_links([(i, t) for i, t in rows], 3, 90).items()}
+    assert {i: v[:2] for i, v in got.items()} == sizes
 
 
 def test_pipeline_language(spark):

@@ -149,12 +149,15 @@ def held_out() -> F.Column:
 
 
 def sample_of(known: DataFrame, per_lang: int) -> DataFrame:
-    """(lang, text) of at most ``per_lang`` rows of each language, those with the least hash of doc_id. Counts tell first which
-    hashes can be among them, so that no task ranks all rows of a language."""
-    rows = known.select("lang", "text", "doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / (1 << 31)).alias("h"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    few = rows.join(counts, "lang").filter(F.col("h") * F.col("n") < 2 * per_lang + 200)
+    """(lang, text) of at most ``per_lang`` rows of each language, those with the least hash of doc_id. Counts by language (as many
+    as the model has languages) tell first which hashes can be among them, so only about twice that many rows are moved."""
+    most = {r["lang"]: (2 * per_lang + 200) / r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not most:
+        return known.select("lang", "text")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / (1 << 31)
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in most.items() for x in pair]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    few = known.select("lang", "text", "doc_id", h.alias("h")).filter(F.col("h") < least)
     return few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).select("lang", "text")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from metascrub.llm import text as tx
 
 DIM = 4096
-AT_ONCE = 8  #: machines that are fitted side by side
+AT_ONCE = 4  #: machines that are fitted side by side
 #: Families of closely related languages. A language that is not here is its own family.
 FAMILIES = {
     "de": "germanic", "en": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "af": "germanic",
@@ -196,10 +196,10 @@ def train(docs: DataFrame, per_lang: int = 600, families: dict[str, str] = FAMIL
         fit = LinearSVC(maxIter=max_iter, regParam=1e-4, standardization=False).fit(part)
         return (*pair, fit.coefficients.toArray(), float(fit.intercept))
 
+    first = family()
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        first = pool.submit(family)
         machines = list(pool.map(machine, [p for k in names for p in combinations(by_family[k], 2)]))
-    model = {"families": by_family, "family": first.result(), "machines": machines}
+    model = {"families": by_family, "family": first, "machines": machines}
     if outliers:
         sums = rows.groupBy("lang", "half").agg(Summarizer.metrics("normL2", "count").summary(F.col("features")).alias("s")).select("lang", "half", "s.*").collect()
         model["typical"] = typical([(r["lang"], r["half"], r["normL2"].toArray() ** 2, r["count"]) for r in sums], sample)

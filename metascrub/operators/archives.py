@@ -14,12 +14,13 @@ EPOCH = (1980, 1, 1, 0, 0, 0)
 
 
 def entries(content: bytes, max_entries: int = MAX_ENTRIES, max_entry: int = MAX_ENTRY, max_total: int = MAX_TOTAL) -> Iterator[tuple[int, str, bytes | None, str | None]]:
-    """(number, name, bytes, verdict) of each entry in order; a verdict ends the archive. Inflates by blocks and stops at the limits."""
+    """(number, name, bytes, verdict) of each entry in order, numbers from 0; a verdict ends the archive. Inflates by blocks and stops at the limits."""
+    k = -1
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             infos, total = z.infolist(), 0
             if not infos or len(infos) > max_entries:
-                yield -1, "", None, "no entries" if not infos else "too many entries"
+                yield 0, "", None, "no entries" if not infos else "too many entries"
                 return
             for k, info in enumerate(infos):
                 if info.flag_bits & 1:
@@ -35,7 +36,7 @@ def entries(content: bytes, max_entries: int = MAX_ENTRIES, max_entry: int = MAX
                         blocks.append(block)
                 yield k, info.filename, b"".join(blocks), None
     except Exception:  # whatever a hostile archive does
-        yield -1, "", None, "not a valid archive"
+        yield k + 1, "", None, "not a valid archive"
 
 
 def pack(parts: list[tuple[str, bytes]]) -> bytes:

@@ -15,14 +15,14 @@ from documents"""
 SVG = """select doc_id, concat('<?xml version="1.0"?>',
   case when doc_id % 4 = 0 then '<?xml-stylesheet href="a.css"?>' else '' end, '<svg>',
   case when doc_id % 2 = 0 then concat('<metadata><dc:creator>', source, '</dc:creator></metadata>') else '' end,
-  '<!-- ', substr(replace(text, '--', ''), 1, 20), ' -->',
+  '<!-- ', replace(text, '--', ''), ' -->',
   case when doc_id % 5 = 0 then concat('<dc:title>', lang, '</dc:title>') else '' end,
   case when doc_id % 7 = 0 then '<image href="data:image/png;base64,AAAA"/>' else '' end,
   case when doc_id % 3 = 0 then '<script>x()</script>' else '' end, '<circle r="', doc_id % 9, '"/></svg>') as svg
 from documents"""
 
 #: Text of a document that is safe inside markup.
-BODY = "replace(replace(replace(replace(substr(text, 1, 40), '<', ''), '>', ''), '\"', ''), chr(10), ' ')"
+BODY = "replace(replace(replace(replace(text, '<', ''), '>', ''), '\"', ''), chr(10), ' ')"
 
 PART_NAMES = [
     "docProps/core.xml", "docProps/app.xml", "docProps/custom.xml", "word/comments.xml", "word/commentAuthors.xml", "word/commentsExtended.xml",
@@ -48,14 +48,15 @@ OOXML_DATA = f"""case part_seq
   when 18 then concat('<w:document><w:p w:rsidR="00A1" w:rsidRPr="0B"><w:ins w:id="1" w:author="', source, '" w:date="2020-01-01"><w:t>', {BODY}, '</w:t></w:ins><w:commentRangeStart w:id="0"/><w:commentRangeEnd w:id="0"/><w:commentReference w:id="0"/></w:p>', case when doc_id % 2 = 0 then '<w:rsids><w:rsid w:val="00"/></w:rsids>' else '' end, '</w:document>')
   when 19 then concat('<Types><Override PartName="/word/vbaProject.bin"/><Override PartName="/customXml/item1.xml"/><Override PartName="/ppt/notesSlides/n', doc_id % 3, '.xml"/><override PartName="/word/comments.xml"/><Override PartName="/xl/externalLinks/e1.xml"/><Override ContentType="a.digsig"/><Override ContentType="xml-signature"/><Override PartName="/word/document.xml"/></Types>')
   when 20 then concat('<Relationships><Relationship Target="vbaProject.bin"/><Relationship Target="../customXml/item1.xml"/><Relationship Target="comments.xml"/><Relationship Target="notesSlide', doc_id % 3, '.xml"/><Relationship Target="commentAuthors.xml"/><Relationship Target="externalLink1.xml"/><Relationship Type="digital-signature"/><Relationship Target="_xmlsignatures/o"/><Relationship Target="styles.xml"/></Relationships>')
-  else concat('<x>', {BODY}, '</x>') end"""
+  when 22 then concat('<w:styles w:rsidR="1F">', {BODY}, '</w:styles>')
+  else concat('<x>', source, '</x>') end"""
 
 ODF_DATA = f"""case part_seq
   when 0 then 'application/vnd.oasis.opendocument.text'
   when 1 then concat('<office:meta><dc:creator>', source, '</dc:creator><meta:initial-creator>', lang, '</meta:initial-creator>', case when doc_id % 2 = 0 then '<dc:title>t</dc:title><meta:document-statistic a="1"/>' else '' end, '</office:meta>')
   when 2 then concat('<text:changed-region a="1"><dc:creator>', source, '</dc:creator></text:changed-region><text:change-start dc:creator="', source, '"/><text:change-start dc:date="2020"/><text:change dc:creator="b"/><text:change dc:date="2021"/>', {BODY}, '<text:change-end a="1"/>', case when doc_id % 3 = 0 then '<text:annotation><dc:creator>x</dc:creator></text:annotation>' else '' end)
   when 3 then concat('<config:config-item config:name="Author">', source, '</config:config-item><config:config-item config:name="Zoom">1</config:config-item><config:config-item config:name="Company">', lang, '</config:config-item>')
-  else concat('<x>', {BODY}, '</x>') end"""
+  else concat('<x>', source, '</x>') end"""
 
 #: (path with / between, key, value) of one PDF; actions are nodes with an /S child.
 PDF_NODES = [

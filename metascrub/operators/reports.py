@@ -41,12 +41,53 @@ def saving(results: DataFrame) -> DataFrame:
     return results.withColumn("saved", saved).withColumn("pct", F.when(F.col("src_size") == 0, F.lit(0.0)).otherwise(saved * 100.0 / F.col("src_size")))
 
 
-def name_outputs(files: DataFrame, taken: DataFrame, suffix: str = "_clean", out_dir: str | None = None, subfolder: bool = False, prefix: int = 24) -> DataFrame:
+def _common(a: Column, b: Column) -> Column:
+    """Characters that two texts have in common at their start."""
+    least = F.least(F.char_length(a), F.char_length(b))
+    first = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))))
+    return F.coalesce(first - 1, least)
+
+
+def ranked(rows: DataFrame, key: list[str], order: str, name: str, prefix: int = 3) -> DataFrame:
+    """rows with their number from 0 in each key, by order (a text). Ranges come first: what texts of a key have in common is left
+    out, the next ``prefix`` characters tell the range; counts of the ranges, then numbers inside each."""
+    ends = rows.groupBy(*key).agg(F.min(order).alias("_a"), F.max(order).alias("_b"))
+    ends = ends.select(*key, _common(F.col("_a"), F.col("_b")).alias("_same"))
+    rows = rows.join(ends, key).withColumn("_range", F.substr(F.col(order), F.col("_same") + 1, F.lit(prefix))).drop("_same")
+    sums = rows.groupBy(*key, "_range").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_c")
+    inside = F.row_number().over(Window.partitionBy(*key, "_range").orderBy(order)).cast("long")
+    return rows.withColumn("_in", inside - 1).join(sums, [*key, "_range"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_before", "_in")
+
+
+def _numbers_before(places: DataFrame, taken: DataFrame, key: list[str], step: int = 1 << 16) -> DataFrame:
+    """places (key, _k, ...) with _free, the k-th number from 0 that taken (key, _n) does not have. Taken numbers are sorted; the
+    i-th of them, n, has n - i free ones below it and moves every place from the (n - i)-th on. Both are dealt by ranges of
+    ``step`` places, with counts of the ranges before."""
+    cell = taken.withColumn("_cell", F.floor(F.col("_n") / step))
+    counts = cell.groupBy(*key, "_cell").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_upto", F.coalesce(before, F.lit(0))).drop("_c")
+    rank = F.row_number().over(Window.partitionBy(*key, "_cell").orderBy("_n")) - 1
+    moved = cell.withColumn("_i", rank).join(counts, [*key, "_cell"]).select(*key, (F.col("_n") - F.col("_i") - F.col("_upto")).alias("_k"))
+    more = [c for c in places.columns if c not in key and c != "_k"]
+    events = places.select(*key, "_k", F.lit(1).alias("_is"), F.struct(*more).alias("_row")).unionByName(moved.select(*key, "_k", F.lit(0).alias("_is"), F.lit(None).cast(places.select(F.struct(*more).alias("r")).schema["r"].dataType).alias("_row")))
+    events = events.withColumn("_cell", F.floor(F.col("_k") / step))
+    sums = events.filter("_is = 0").groupBy(*key, "_cell").agg(F.count("*").alias("_c"))
+    cells = events.select(*key, "_cell").distinct().join(sums, [*key, "_cell"], "left")
+    cells = cells.withColumn("_upto", F.coalesce(F.sum("_c").over(Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    here = F.count(F.when(F.col("_is") == 0, 1)).over(Window.partitionBy(*key, "_cell").orderBy("_k", "_is").rowsBetween(Window.unboundedPreceding, 0))
+    done = events.withColumn("_here", here).join(cells, [*key, "_cell"]).filter("_is = 1")
+    return done.select(*key, "_row.*", (F.col("_k") + F.col("_here") + F.col("_upto")).alias("_free"))
+
+
+def name_outputs(files: DataFrame, taken: DataFrame, suffix: str = "_clean", out_dir: str | None = None, subfolder: bool = False) -> DataFrame:
     """files (path, status) with dst: folder/stem + suffix + ext, or with _1, _2, ... the next number that neither an
     existing name (taken: path) nor a file before it (by path) has. Rows that are neither ok nor clean use no number up.
 
-    A hot name (``image.jpg`` of all folders into one) is numbered by ranges of paths that agree in their first ``prefix``
-    characters: counts of the ranges first, then numbers inside each, so no task sorts a whole group."""
+    A hot name (``image.jpg`` of all folders into one) is numbered by ranges of paths, and its free numbers are found by
+    ranges of numbers, so no task sorts a whole group and no row carries the numbers that are taken."""
     where = F.lit(out_dir) if out_dir is not None else paths.folder(F.col("path"))
     where = F.concat(where, F.lit("/Clean")) if subfolder else where
     df = files.withColumns({"_dir": where, "_stem": F.concat(paths.stem(F.col("path")), F.lit(suffix)), "_ext": paths.ext(F.col("path"))})
@@ -58,20 +99,10 @@ def name_outputs(files: DataFrame, taken: DataFrame, suffix: str = "_clean", out
     plain = names.join(used.select("_t"), F.concat("_head", "_ext") == F.col("_t"), "left_semi").select(*key, F.lit(0).cast("long").alias("_n"))
     before_number = F.left("_t", F.char_length("_t") - F.char_length("_e") - F.char_length(F.col("_n").cast("string")) - 1)
     numbered = names.join(used.filter("_n is not null").select(before_number.alias("_head"), F.col("_e").alias("_ext"), "_n"), ["_head", "_ext"]).select(*key, "_n")
-    blocked = plain.unionByName(numbered).groupBy(*key).agg(F.array_sort(F.collect_set("_n")).alias("_blocked"))
-    good = df.filter(F.col("status").isin("ok", "clean"))
-    # counts of the ranges of paths first, then numbers inside each range
-    good = good.withColumn("_range", F.left("path", F.lit(prefix)))
-    sums = good.groupBy(*key, "_range").agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_c")
-    inside = F.row_number().over(Window.partitionBy(*key, "_range").orderBy("path"))
-    good = good.withColumn("_k", inside - 1).join(sums, [*key, "_range"]).withColumn("_k", F.col("_k") + F.col("_before")).drop("_range", "_before")
-    good = good.join(blocked, key, "left")
-    # the k-th free number: k plus the blocked ones that are not above it
-    free = F.expr("aggregate(coalesce(_blocked, array()), cast(_k as bigint), (a, b) -> if(b <= a, a + 1, a))")
+    good = ranked(df.filter(F.col("status").isin("ok", "clean")), key, "path", "_k")
+    good = _numbers_before(good, plain.unionByName(numbered).distinct(), key)
     rest = df.filter(~F.coalesce(F.col("status").isin("ok", "clean"), F.lit(False))).withColumn("_free", F.lit(0).cast("long"))
-    every = good.withColumn("_free", free).drop("_k", "_blocked").unionByName(rest)
+    every = good.unionByName(rest)
     dst = F.concat(head, F.when(F.col("_free") == 0, "").otherwise(F.concat(F.lit("_"), F.col("_free").cast("string"))), F.col("_ext"))
     return every.withColumn("dst", dst).drop(*key, "_free")
 

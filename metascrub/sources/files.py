@@ -41,6 +41,9 @@ def write_outputs(outputs: DataFrame, folder: str) -> None:
     outputs.select("path", "dst", "content").write.mode("errorifexists").parquet(folder)
 
 
-def write_report(lines: DataFrame, folder: str) -> None:
-    """The text report: one small file, as the lines are metadata only."""
-    lines.orderBy("section", "seq", "n").select("line").coalesce(1).write.mode("errorifexists").text(folder)
+def write_report(lines: DataFrame, folder: str, one_file: bool = False, most: int = 1_000_000) -> None:
+    """The text report in sorted parts; as one file only if it has ``most`` lines at most, else an error, as one task writes it."""
+    if one_file and lines.count() > most:
+        raise ValueError(f"a report of one file has {most} lines at most")
+    ordered = lines.orderBy("section", "seq", "n").select("line")
+    (ordered.coalesce(1) if one_file else ordered).write.mode("errorifexists").text(folder)

@@ -13,6 +13,7 @@ BAD_SUFFIX = r'[/\\:*?"<>|\x00-\x1F]'
 
 def summary(status: Column, removed: Column, error: Column) -> Column:
     text = F.array_join(removed, ", ")
+    #: The texts of statuses.
     return (F.when(status == "ok", F.coalesce(F.nullif(text, F.lit("")), F.lit("metadata removed"))).when(status == "clean", "no metadata found")
             .when(status == "skipped", "unsupported file type").otherwise(F.coalesce(F.nullif(error, F.lit("")), F.lit("failed"))))
 

@@ -21,7 +21,7 @@ WEBP_FLAGS = {"EXIF": 0x08, "XMP ": 0x10, "ICCP": 0x02}
 #: Tags of a TIFF structure that name a person, device, place or time; bytes of a value by type.
 IDENTITY_TAGS = {271, 272, 305, 306, 315, 33432, 34855, 36867, 36868, 42036, 42037, 37377, 37378, 37380, 37382, 37383, 37385}
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
-#: Report texts in order, by format; a category without one is not told.
+#: Report texts in order, by format; a category without one is not told.
 TOLD = {
     "jpeg": [("exif", "EXIF metadata"), ("gps", "GPS location ({})"), ("xmp", "XMP metadata"), ("icc", "ICC color profile"), ("comment", "embedded comment"), ("photoshop", "Photoshop metadata (layers/paths/IPTC)"), ("other", "{} other embedded block(s)")],
     "png": [("text", "{} text chunk(s)"), ("exif", "EXIF metadata"), ("gps", "GPS location ({})"), ("time", "modification timestamp"), ("icc", "ICC color profile"), ("other", "{} unknown chunk(s)")],

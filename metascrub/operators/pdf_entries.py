@@ -42,3 +42,14 @@ def drop_subtrees(entries: DataFrame, removed: DataFrame, keys: list[str]) -> Da
     ancestors = entries.withColumn("_above", F.explode(F.expr("transform(sequence(1, size(split(node, '/'))), k -> array_join(slice(split(node, '/'), 1, k), '/'))")))
     hit = ancestors.join(removed.select(*keys, F.col("node").alias("_above")).distinct(), [*keys, "_above"], "left_semi").select(*keys, "node").distinct()
     return entries.join(hit, [*keys, "node"], "left_anti")
+
+
+def docinfo(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, removed): the document-info keys in order of seq, as the report tells them."""
+    rows = entries.filter("parent = 'Info'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "key"))).alias("_k"))
+    return rows.select(*keys, F.concat(F.lit("document info ("), F.array_join(F.transform("_k", lambda x: x["key"]), ", "), F.lit(")")).alias("removed"))
+
+
+def zeroed_ids(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, new_value): file identifiers of the trailer, and the zeros that replace them."""
+    return entries.filter("parent = 'Trailer' and key = '/ID'").select(*keys, "node", F.repeat(F.lit("00"), 16).alias("new_value"))

@@ -107,12 +107,45 @@ def name_outputs(files: DataFrame, taken: DataFrame, suffix: str = "_clean", out
     return every.withColumn("dst", dst).drop(*key, "_free")
 
 
+def match_results(results: DataFrame, items: DataFrame) -> DataFrame:
+    """Results with what their queued item says, by path; results of no item are left out."""
+    return results.join(items, "path")
+
+
+def new_paths(files: DataFrame, queued: DataFrame) -> DataFrame:
+    """Distinct paths that are not in the queue."""
+    return files.select("path").dropDuplicates(["path"]).join(queued.select("path"), "path", "left_anti")
+
+
+def match_sizes(sources: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(path, src_size, out_size) where the original (path, dst, src_size) and its copy (dst, out_size) are both there."""
+    return sources.join(outputs, "dst").select("path", "src_size", "out_size")
+
+
+def progress(results: DataFrame) -> DataFrame:
+    """How many are done and how many are not, a null status among these."""
+    done = F.coalesce(F.col("status").isin("ok", "clean"), F.lit(False))
+    return results.agg(F.count_if(done).alias("done"), F.count_if(~done).alias("pending"))
+
+
+def unfinished(results: DataFrame) -> DataFrame:
+    """What stays in the queue when finished items are cleared."""
+    return results.filter(~F.coalesce(F.col("status").isin("ok", "clean"), F.lit(False)))
+
+
+def summary_line(results: DataFrame) -> DataFrame:
+    """(all, line): the number of results, and counts by status in order of its name, zeros left out."""
+    counts = results.groupBy("status").agg(F.count("*").alias("k"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("status", "k"))), lambda x: F.concat(x["status"], F.lit(": "), x["k"].cast("string")))
+    return counts.agg(F.sum("k").alias("all"), F.array_join(told, "  ").alias("line"))
+
+
 def report_lines(results: DataFrame, title: str = "metascrub sanitization report") -> DataFrame:
     """(section, seq, line) of the plain-text report; write them in this order."""
     base = paths.base(F.col("path"))
     block = F.array(F.concat(F.lit("  "), base), F.concat(F.lit("      status : "), F.col("status")), F.concat(F.lit("      result : "), F.coalesce("details", F.lit("—"))), F.lit(""))
     body = results.select(F.lit(1).alias("section"), F.col("path").alias("seq"), F.posexplode(block).alias("n", "line"))
-    total = results.groupBy("status").agg(F.count("*").alias("k")).agg(F.sum("k").alias("all"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "k"))), lambda x: F.concat(x["status"], F.lit(": "), x["k"].cast("string"))), "  ").alias("s"))
+    total = summary_line(results).withColumnRenamed("line", "s")
     foot = total.select(F.lit(2).alias("section"), F.lit("").alias("seq"), F.posexplode(F.array(F.lit("-" * 62), F.concat(F.lit("Total files: "), F.coalesce("all", F.lit(0)).cast("string"), F.lit("   ("), F.col("s"), F.lit(")")), F.lit("Originals were never modified."))).alias("n", "line"))
     head = results.sparkSession.createDataFrame([(0, "", 0, title), (0, "", 1, "=" * 62), (0, "", 2, "")], "section int, seq string, n int, line string")
     return head.unionByName(body).unionByName(foot)

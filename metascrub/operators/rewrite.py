@@ -12,6 +12,7 @@ MARKUP = {
     "scripts": r"(?s)<script[^>]*>.*?</script>",
     "editor": r"(?s)<(?:inkscape|sodipodi|illustrator|adobe|dc|cc)[^>]*>.*?</(?:inkscape|sodipodi|illustrator|adobe|dc|cc)[^>]*>",
 }
+#: Patterns of instructions, embedded images, Word and relation parts, OpenDocument parts and property fields.
 PI = r"<\?[^>]*\?>"
 EMBEDDED = r'<image[^>]*(?:xlink:href|href)\s*=\s*"data:image/[^"]*"[^>]*>'
 RSID, RSIDS = r'\s+w:rsid\w*="[0-9A-Fa-f]*"', r"(?s)<w:rsids[^>]*>.*?</w:rsids>"
@@ -72,6 +73,7 @@ def scrub_markup(df: DataFrame, column: str) -> DataFrame:
     was removed; then the text is as before). A null text stays null, with status clean."""
     df = strip(df, column, {k: [v] for k, v in MARKUP.items()})
     df = drop_instructions(df, column).withColumn("n_embedded", count(F.col(column), EMBEDDED))
+    #: Report texts, in order.
     told = lambda n, text: F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(text)))
     removed = F.array_compact(F.array(F.when(F.col("n_metadata") > 0, "metadata block"), told("n_comments", " comment(s)"), F.when(F.col("n_scripts") > 0, "script block(s)"), told("n_editor", " editor metadata block(s)"), told("n_pi", " processing instruction(s)"), told("n_embedded", " embedded image(s) present (metadata not scrubbed)")))
     return df.withColumn("removed", removed).withColumn("status", F.when(F.size("removed") > 0, "ok").otherwise("clean"))

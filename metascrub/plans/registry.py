@@ -555,15 +555,14 @@ query("pdf_actions", _ACTION_SQL)(lambda spark, sf: pdf_entries.actions(_pdf(spa
 
 @query("pdf_docinfo", f"select doc_id, 'document info (' || string_agg(key, ', ' order by seq) || ')' as removed from {PDF} where parent = 'Info' group by doc_id")
 def pdf_docinfo(spark, sf):
-    rows = _pdf(spark, sf).filter("parent = 'Info'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "key"))).alias("k"))
-    return rows.select("doc_id", F.concat(F.lit("document info ("), F.array_join(F.transform("k", lambda x: x["key"]), ", "), F.lit(")")).alias("removed"))
+    return pdf_entries.docinfo(_pdf(spark, sf), ["doc_id"])
 
 
 @query("pdf_outline_id", f"select doc_id, node, case when parent = 'Trailer' then repeat('00', 16) end as new_value from {PDF} where (parent = 'Root/Outlines/First' and key = '/NM') or (parent = 'Trailer' and key = '/ID')")
 def pdf_outline_id(spark, sf):
     rows = _pdf(spark, sf)
     gone = pdf_entries.removals(rows, ["doc_id"]).filter("category = 'outline'").select("doc_id", "node", F.lit(None).cast("string").alias("new_value"))
-    return gone.unionByName(rows.filter("parent = 'Trailer' and key = '/ID'").select("doc_id", "node", F.repeat(F.lit("00"), 16).alias("new_value")))
+    return gone.unionByName(pdf_entries.zeroed_ids(rows, ["doc_id"]))
 
 
 _GONE_SQL = f"""select doc_id, node from {PDF} where parent = 'Info' or key in ('/Metadata', '/PieceInfo') or (parent = 'Root/AcroForm/Fields/0' and key in ('/V', '/DV', '/TU', '/TM'))
@@ -581,19 +580,19 @@ def pdf_subtree_drop(spark, sf):
 @query("join_results", f"select r.path, r.status, i.details from {D_RESULTS} r join (select path, 'd' || doc_id as details from {D_RESULTS} where doc_id % 3 <> 0) i on r.path = i.path")
 def join_results(spark, sf):
     r = _results(spark, sf)
-    return r.select("path", "status").join(r.filter("doc_id % 3 <> 0").select("path", F.concat(F.lit("d"), "doc_id").alias("details")), "path")
+    return reports.match_results(r.select("path", "status"), r.filter("doc_id % 3 <> 0").select("path", F.concat(F.lit("d"), "doc_id").alias("details")))
 
 
 @query("dedup_paths", f"select distinct path from {D_FILES} where path not in (select path from {D_FILES} where doc_id % 5 = 0)")
 def dedup_paths(spark, sf):
     f = _files(spark, sf).select("doc_id", "path")
-    return f.select("path").dropDuplicates(["path"]).join(f.filter("doc_id % 5 = 0").select("path"), "path", "left_anti")
+    return reports.new_paths(f, f.filter("doc_id % 5 = 0"))
 
 
 @query("join_sizes", f"select a.path, a.src_size, b.out_size from {D_RESULTS} a join (select dst, out_size from {D_RESULTS} where status in ('ok', 'clean')) b on a.dst = b.dst")
 def join_sizes(spark, sf):
     r = _results(spark, sf)
-    return r.select("path", "dst", "src_size").join(r.filter("status in ('ok', 'clean')").select("dst", "out_size"), "dst").select("path", "src_size", "out_size")
+    return reports.match_sizes(r.select("path", "dst", "src_size"), r.filter("status in ('ok', 'clean')").select("dst", "out_size"))
 
 
 _FOUND = f"select doc_id, category, 1 as hits, 'd' || part_seq % 4 as text, part_seq as ord from ({_rules_sql(packages.OOXML, OOXML)}) where category is not null"
@@ -647,8 +646,7 @@ def agg_first_gps(spark, sf):
 
 @query("agg_progress", f"select count(*) filter (where status in ('ok', 'clean')) as done, count(*) filter (where status not in ('ok', 'clean')) as pending from {D_RESULTS}")
 def agg_progress(spark, sf):
-    done = F.col("status").isin("ok", "clean")
-    return _results(spark, sf).agg(F.count_if(done).alias("done"), F.count_if(~done).alias("pending"))
+    return reports.progress(_results(spark, sf))
 
 
 _NAMED = f"(select distinct on (path) doc_id, path, base, ext from {D_PATHS} order by path, doc_id)"
@@ -668,8 +666,7 @@ def name_outputs(spark, sf):
 
 @query("report_summary_line", f"select string_agg(status || ': ' || n, '  ' order by status) as line from (select status, count(*) as n from {D_RESULTS} group by status)")
 def report_summary_line(spark, sf):
-    rows = _results(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "n"))), lambda x: F.concat(x["status"], F.lit(": "), x["n"].cast("string"))), "  ").alias("line"))
+    return reports.summary_line(_results(spark, sf)).select("line")
 
 
 @query("sink_report_text", f"""select section, seq, n, line from (
@@ -755,4 +752,4 @@ def reclean_queue(spark, sf):
 
 @query("queue_clear_done", f"select path, status from {D_RESULTS} where status not in ('ok', 'clean')")
 def queue_clear_done(spark, sf):
-    return _results(spark, sf).filter(~F.col("status").isin("ok", "clean")).select("path", "status")
+    return reports.unfinished(_results(spark, sf)).select("path", "status")

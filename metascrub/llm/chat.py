@@ -64,18 +64,21 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) ->
     sums = rows.groupBy("c_key", "range").agg(F.count("*").alias("n"), F.sum("k").alias("p"), F.sum("c").alias("q"))
     before = Window.partitionBy("c_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("c_key", "range", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in "npq"])
+    # the system turn, a row for each conversation at most, goes to all its ranges
+    least = rows.groupBy("c_key").agg(F.min(F.struct("turn", "role", F.when(F.col("role") == "system", F.struct("text", "piece", "k", "c")).alias("s"))).alias("least"))
+    system = least.filter("least.role = 'system'").select("c_key", F.struct("least.s.piece", "least.s.k", "least.s.c").alias("s"))
+    sums = sums.join(system, "c_key", "left")
     rows = rows.withColumns({"n_in": F.row_number().over(inside), "p_in": F.sum("k").over(upto), "q_in": F.sum("c").over(upto)}).join(sums, ["c_key", "range"])
     rows = rows.withColumns({"at": F.col("n_in") + F.col("n_before"), "p": F.col("p_in") + F.col("p_before"), "q": F.col("q_in") + F.col("q_before")})
     rows = rows.withColumn("sys", (F.col("at") == 1) & (F.col("role") == "system"))
-    system = rows.filter("sys").select("c_key", F.struct("piece", "k", "c").alias("s"))  # a row for each conversation at most
     # a turn is in the block where it starts, and told to the next one if it may be history there
     size = BLOCK * max(1, budget - history)
     block = F.floor((F.col("p") - F.col("k")) / size)
+    rows = rows.withColumn("opens", ~block.eqNullSafe(F.lag(block).over(inside)))  # the first turn of a block in a range brings the system turn
     later = ~F.col("sys") & (F.col("p") - F.col("k") >= (block + 1) * size - history)
     at = F.explode(F.array_compact(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.when(later, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))))))
-    rows = rows.select("*", at.alias("b")).select("conv_id", "c_key", "b.block", F.struct("at", "p", "q", "k", "c", "head", "target", "sys", "b.own", "piece").alias("t"))
-    blocks = rows.groupBy("conv_id", "c_key", "block").agg(F.sort_array(F.collect_list("t")).alias("t")).filter(F.exists("t", lambda x: x["own"]))
-    blocks = blocks.join(system, "c_key", "left")
+    rows = rows.select("*", at.alias("b")).select("conv_id", "c_key", "b.block", F.when(F.col("b.own") & F.col("opens"), F.col("s")).alias("s"), F.struct("at", "p", "q", "k", "c", "head", "target", "sys", "b.own", "piece").alias("t"))
+    blocks = rows.groupBy("conv_id", "c_key", "block").agg(F.sort_array(F.collect_list("t")).alias("t"), F.first("s", ignorenulls=True).alias("s")).filter(F.exists("t", lambda x: x["own"]))
     blocks = blocks.withColumn("o", F.expr("size(filter(t, x -> not x.own))"))  # turns that are told only
     blocks = blocks.withColumns({"first": F.expr("o + if(t[o].sys, 1, 0)"), "room": F.expr(f"greatest(1L, {budget - history} - coalesce(s.k, 0L))")})
     # first turns of windows, as places in t: the system turn stays with the first one

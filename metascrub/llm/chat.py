@@ -29,6 +29,11 @@ def escape(text: Column, line: bool = False) -> Column:
     return text
 
 
+def turn_text(role: Column, text: Column) -> Column:
+    """A turn as it is written."""
+    return F.concat(F.lit(START), escape(role, True), F.lit("\n"), escape(text), F.lit(END + "\n"))
+
+
 def unescape(text: Column) -> Column:
     for k, v in (CONTROL | {"n": "\n"}).items():
         text = F.replace(text, F.lit("\\" + k), F.lit(v))
@@ -65,8 +70,9 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) ->
     before = Window.partitionBy("c_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("c_key", "range", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in "npq"])
     # the system turn, a row for each conversation at most, goes to all its ranges
-    least = rows.groupBy("c_key").agg(F.min(F.struct("turn", "role", F.when(F.col("role") == "system", F.struct("text", "piece", "k", "c")).alias("s"))).alias("least"))
-    system = least.filter("least.role = 'system'").select("c_key", F.struct("least.s.piece", "least.s.k", "least.s.c").alias("s"))
+    least = rows.groupBy("c_key").agg(F.min(F.struct("turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text"))).alias("least"))
+    system = least.filter("least.role = 'system'").select("c_key", turn_text(F.col("least.role"), F.col("least.text")).alias("piece"))
+    system = system.select("c_key", F.struct("piece", tokens(F.col("piece")).alias("k"), F.char_length("piece").cast("long").alias("c")).alias("s"))
     sums = sums.join(system, "c_key", "left")
     rows = rows.withColumns({"n_in": F.row_number().over(inside), "p_in": F.sum("k").over(upto), "q_in": F.sum("c").over(upto)}).join(sums, ["c_key", "range"])
     rows = rows.withColumns({"at": F.col("n_in") + F.col("n_before"), "p": F.col("p_in") + F.col("p_before"), "q": F.col("q_in") + F.col("q_before")})

@@ -294,6 +294,6 @@ def redact(docs: DataFrame) -> DataFrame:
 def op13_pii(spark, sf_dir: str) -> DataFrame:
     """Counts and digest of the plain spans of every document, and all spans."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    n = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
     told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *n, F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))

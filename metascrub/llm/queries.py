@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from metascrub.llm import chat, decontam, jaccard, langid, mixing, pii, quality, secret_scan, substring_dedup, suffix_dedup, trie, warc
+from metascrub.llm import chat, decontam, jaccard, langid, mixing, pii, quality, repair, secret_scan, substring_dedup, suffix_dedup, trie, warc
 
 QUERIES = {
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op11_structure_repair": repair.op11_structure_repair,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_pii": pii.op13_pii,
 }

@@ -37,7 +37,7 @@ def steps(base: int, n: int, first: int = 0) -> np.ndarray:
     """base to the powers first, first + 1, ..., n of them."""
     out = np.full(n, np.uint64(base))
     if n:
-        out[0] = pow(base, first, WORD)
+        out[0] = pow(base, int(first), WORD)
     return np.multiply.accumulate(out)
 
 

@@ -83,6 +83,16 @@ def test_odd_rows(spark):
     assert trie.trie(df.limit(0)).count() == 0 and trie.trie(df.filter("conv_id is null")).count() == 0
 
 
+def test_batches(spark):
+    """A conversation that goes on over Arrow batches."""
+    rows = [(100, t, "user", f"{t}") for t in range(40)] + [(101, t, "user", f"{t}") for t in range(30)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert told(trie.trie(spark.createDataFrame(rows, ROWS))) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_slots():
     r = np.random.default_rng(1)
     keys = r.integers(0, 1 << 63, (5000, 2)).astype(np.uint64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import warnings
 import zipfile
 from collections.abc import Iterator
 
@@ -13,8 +14,9 @@ MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, STEP = 20_000, 512 << 20, 1 << 30, 1 << 20
 EPOCH = (1980, 1, 1, 0, 0, 0)
 
 
-def entries(content: bytes, max_entries: int = MAX_ENTRIES, max_entry: int = MAX_ENTRY, max_total: int = MAX_TOTAL) -> Iterator[tuple[int, str, bytes | None, str | None]]:
-    """(number, name, bytes, verdict) of each entry in order, numbers from 0; a verdict ends the archive. Inflates by blocks and stops at the limits."""
+def entries(content: bytes, max_entries: int = MAX_ENTRIES, max_entry: int = MAX_ENTRY, max_total: int = MAX_TOTAL, by_name: bool = False) -> Iterator[tuple[int, str, bytes | None, str | None]]:
+    """(number, name, bytes, verdict) of each entry in order, numbers from 0; a verdict ends the archive. Inflates by blocks and stops at
+    the limits. by_name: of entries with one name each gets the bytes of the last."""
     k = -1
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -27,7 +29,7 @@ def entries(content: bytes, max_entries: int = MAX_ENTRIES, max_entry: int = MAX
                     yield k, info.filename, None, "encrypted"
                     return
                 blocks, size = [], 0
-                with z.open(info) as f:
+                with z.open(info.filename if by_name else info) as f:
                     while block := f.read(STEP):
                         size, total = size + len(block), total + len(block)
                         if size > max_entry or total > max_total:
@@ -40,16 +42,32 @@ def entries(content: bytes, max_entries: int = MAX_ENTRIES, max_entry: int = MAX
 
 
 def pack(parts: list[tuple[str, bytes]]) -> bytes:
-    """A zip of the parts in order: folders left out, fixed time, no attributes."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in parts:
-            if not name.endswith("/"):
-                info = zipfile.ZipInfo(name, EPOCH)
-                info.create_system, info.external_attr, info.compress_type = 0, 0, zipfile.ZIP_DEFLATED
-                z.writestr(info, data)
-                info.external_attr = 0  # writing sets a mode; the directory at the end is written from here
-    return out.getvalue()
+    """A zip of the parts in order."""
+    packer = Packer()
+    for name, data in parts:
+        packer.add(name, data)
+    return packer.done()
+
+
+class Packer:
+    """A zip that is written entry by entry: folders left out, fixed time, no attributes."""
+
+    def __init__(self):
+        self.out = io.BytesIO()
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
+
+    def add(self, name: str, data: bytes) -> None:
+        if not name.endswith("/"):
+            info = zipfile.ZipInfo(name, EPOCH)
+            info.create_system, info.external_attr, info.compress_type = 0, 0, zipfile.ZIP_DEFLATED
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore", UserWarning)  # entries of one name
+                self.zip.writestr(info, data)
+            info.external_attr = 0  # writing sets a mode; the directory at the end is written from here
+
+    def done(self) -> bytes:
+        self.zip.close()
+        return self.out.getvalue()
 
 
 def unzip_parts(files: DataFrame, key: str, **limits: int) -> DataFrame:

@@ -1,9 +1,10 @@
 """Cleaning whole files: bytes in, bytes and a report out.
 
-Packages go through one chain without a shuffle: the archive helper yields parts in order, rules and patterns are built-in
-functions over the rows of parts, and the packing helper takes rows that follow each other until the archive ends. An
-archive is at most 1 GiB by contract, so the parts of one fit a task. XML is rewritten as ISO-8859-1 text, which keeps
-every byte.
+All formats go through one chain without a shuffle, and files are read once: a helper splits each file into parts (entries
+of an archive, pieces of an image, the text of an SVG), rules and patterns are built-in functions over the rows of parts,
+and a helper packs rows that follow each other until the file ends. Options are columns, so each file can have its own.
+What was found comes out with the copies, in the order of the parts. An archive is at most 1 GiB by contract. XML is
+rewritten as ISO-8859-1 text, which keeps every byte.
 """
 
 from __future__ import annotations
@@ -61,81 +62,249 @@ def told_fields(what: str, fields: Column) -> Column:
     return F.when(F.size(fields) > 0, F.concat(F.lit(f"{what} ("), F.array_join(fields, ", "), F.lit(")")))
 
 
-def rewritten(parts: DataFrame, kind: str, options: Options = Options()) -> DataFrame:
-    """parts (part_name, data) with action, told (a text of the report, or null), counts (a map by category) and the new data."""
-    df = packages.dispatch(parts, packages.OOXML if kind == "office" else packages.ODF, options.remove_scripts)
-    low = F.lower("part_name")
-    df = df.withColumn("_raw", F.col("data")).withColumn("data", F.when(F.col("action") == "rewrite", lossless(F.col("data"))))
-    if kind == "office":
-        df = packages.rewrite_ooxml(df, options.remove_scripts)
-        core = told_fields("document properties", rw.fields(readable(F.col("_raw")), rw.CORE_FIELD))
-        app = told_fields("app properties", rw.fields(readable(F.col("_raw")), rw.APP_FIELD))
-        told = F.when(low == "docprops/core.xml", core).when(low == "docprops/app.xml", app).when(low == "docprops/custom.xml", F.lit("custom properties")).when(F.col("category").isin(*INLINE), F.col("category"))
-        counts = {"rsid": "n_rsid", "track changes": "n_track_changes", "comment ranges": "n_comment_ranges"}
-    else:
-        df = packages.rewrite_odf(df)
-        told = F.when(low == "meta.xml", told_fields("document metadata", rw.odf_fields(readable(F.col("_raw")))))
-        counts = {"changes": "n_changes", "annotations": "n_annotations", "settings": "n_settings"}
-    dropped = F.when((F.col("action") == "drop") & ~F.col("category").isin(*INLINE, "unreported"), F.create_map("category", F.lit(1)))
-    found = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.coalesce(F.col(c), F.lit(0)).cast("int"))])
-    new = F.when(F.col("action") == "template", F.encode(packages.templated(F.col("part_name"), F.lit("")), "UTF-8")).when(F.col("action") == "rewrite", F.encode("new_data", "ISO-8859-1")).otherwise(F.col("_raw"))
-    return df.select(*[c for c in parts.columns if c != "data"], "action", told.alias("told"), F.coalesce(dropped, found).alias("counts"), new.alias("data"))
-
-
-def _packed(parts: DataFrame, key: str, strip_icc: bool) -> DataFrame:
-    """(key, new_content, inline, counts, error) of archives whose parts follow each other; nothing is shuffled."""
-    kind = parts.schema[key].dataType.simpleString()
+#: Rules by kind of file; ``clean_files`` takes others.
+RULES = {"office": packages.OOXML, "odf": packages.ODF, "image": images.RULES}
+#: What a part row carries; the key of its file stands before.
+PART = "kind string, strip_icc boolean, remove_scripts boolean, part_seq int, part_name string, format string, piece string, starts boolean, good boolean, data binary, verdict string"
+PART_TYPES = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.binary(), pa.string()]
+SPLIT_BYTES = 16 << 20
+
+
+def _split(files: DataFrame, key: str, **limits: int) -> DataFrame:
+    """(key, PART) of files (key, kind, strip_icc, remove_scripts, content): rows of a file follow each other, numbered from 0. Images, also
+    in archives where a name says so, are rows of their pieces."""
+    own = files.schema[key].dataType.simpleString()
+
+    def parts(kind: str, content: bytes) -> Iterator[tuple]:
+        if kind in ("office", "odf"):
+            for _, name, data, verdict in archives.entries(content, by_name=True, **limits):
+                form = images.family(data or b"") if name.lower().endswith(IMAGE_NAMES) else None
+                if form:
+                    yield from ((name, form, *p, verdict) for p in _told(images.pieces(data, form)))
+                else:
+                    yield name, None, None, False, True, data, verdict
+        elif kind == "image":
+            form = images.family(content)
+            if form is None:
+                yield "", None, None, False, True, None, "not a valid image"
+            else:
+                yield from (("", form, *p, None) for p in _told(images.pieces(content, form)))
+        else:
+            yield "", None, None, False, True, content if kind == "svg" else None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rows = None, []  # the archive that is open
+        names = [key, *(c.split()[0] for c in PART.split(", "))]
+        for batch in batches:
+            rows, take, size = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                same = batch.select(range(4)).take(pa.array(take, pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*same.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PART_TYPES, strict=True))], names=names)  # noqa: B023
+
+            for k, kind in enumerate(batch.column(1).to_pylist()):
+                seq = 0
+                source = parts(kind, batch.column(4)[k].as_py() or b"")
+                while True:
+                    try:
+                        row = next(source, None)
+                    except Exception as e:  # whatever a hostile file does
+                        row, source = ("", None, None, False, False, None, f"could not be processed ({type(e).__name__})"), iter(())
+                    if row is None:
+                        break
+                    rows.append((seq, *row))
+                    take.append(k)
+                    seq, size = seq + 1, size + len(row[5] or b"")
+                    if size > SPLIT_BYTES:
+                        yield out()
+                        rows, take, size = [], [], 0
+            if rows:
+                yield out()
+
+    return files.select(key, "kind", "strip_icc", "remove_scripts", "content").mapInArrow(run, f"`{key}` {own}, {PART}")
+
+
+#: Ends of names of images in archives.
+IMAGE_NAMES = (".jpg", ".jpeg", ".jpe", ".jfif", ".png", ".webp")
+
+
+def _told(found: Iterator[images.Piece]) -> Iterator[tuple]:
+    """The fields of pieces; starts marks the first of an image."""
+    return ((p.kind, k == 0, p.good, p.data) for k, p in enumerate(found))
+
+
+def rewritten(parts: DataFrame, rules: dict = RULES, kinds: tuple[str, ...] = ("office", "odf", "svg", "image")) -> DataFrame:
+    """parts with action, category (of an image's piece, where it goes), told (texts of the report), counts (by category), error and
+    the new data. kinds: those of the files that may come; the others' patterns are left out of the plan."""
+    kind, scripts, name, raw, action = F.col("kind"), F.col("remove_scripts"), F.col("part_name"), F.col("_raw"), F.col("action")
+    df = parts.withColumns({"low": F.lower(name), "_raw": F.col("data"), "head": images.head(F.col("data"), F.col("format"))})
+    archive = [k for k in ("office", "odf") if k in kinds]
+    by_kind = lambda pick, rest: " ".join(f"when '{k}' then {packages.first(rules[k], pick, rest, 'remove_scripts')}" for k in archive)
+    df = df.withColumns({"action": F.expr(f"case kind {by_kind('action', repr('keep'))} when 'image' then 'strip' when 'svg' then 'rewrite' else 'none' end"), "rule": F.expr(f"case kind {by_kind('category', 'null')} when '' then '' end")})
+    goes = F.when(action == "strip", F.expr(images.rule(rules["image"])))
+    df = df.withColumn("category", goes).withColumn("category", F.when((F.col("category") != "icc") | F.col("strip_icc"), F.col("category")))
+    none, low, error = F.array().cast("array<string>"), F.col("low"), F.col("verdict")
+    told, found, by_rewrite = none, {}, raw
+    # chains of patterns, each over its own rows; a null passes them
+    text = lambda k: F.when((kind == k) & (action == "rewrite"), lossless(raw))
+    if "office" in kinds:
+        df = packages.rewrite_ooxml(df.withColumn("data", text("office")), scripts).withColumnRenamed("new_data", "_office")
+        core = told_fields("document properties", rw.fields(readable(raw), rw.CORE_FIELD))
+        app = told_fields("app properties", rw.fields(readable(raw), rw.APP_FIELD))
+        one = F.when(low == "docprops/core.xml", core).when(low == "docprops/app.xml", app).when(low == "docprops/custom.xml", F.lit("custom properties")).when(F.col("rule").isin(*INLINE), F.col("rule"))
+        told = F.when(kind == "office", F.array_compact(F.array(one))).otherwise(told)
+        found |= {"rsid": "n_rsid", "track changes": "n_track_changes", "comment ranges": "n_comment_ranges"}
+        by_rewrite = F.when(kind == "office", F.encode("_office", "ISO-8859-1")).otherwise(by_rewrite)
+    if "odf" in kinds:
+        df = packages.rewrite_odf(df.withColumn("data", text("odf"))).withColumnRenamed("new_data", "_odf")
+        one = F.when(low == "meta.xml", told_fields("document metadata", rw.odf_fields(readable(raw))))
+        told = F.when(kind == "odf", F.array_compact(F.array(one))).otherwise(told)
+        found |= {"changes": "n_changes", "annotations": "n_annotations", "settings": "n_settings"}
+        by_rewrite = F.when(kind == "odf", F.encode("_odf", "ISO-8859-1")).otherwise(by_rewrite)
+    if "svg" in kinds:
+        good = F.coalesce(images.signature(raw, "svg"), F.lit(False))
+        df = rw.scrub_markup(df.withColumn("_svg", F.when(kind == "svg", F.when(good, lossless(raw)))), "_svg")
+        told = F.when((kind == "svg") & good, F.col("removed")).otherwise(told)
+        by_rewrite = F.when((kind == "svg") & (F.size("removed") > 0), F.encode("_svg", "ISO-8859-1")).otherwise(by_rewrite)
+        error = F.coalesce(error, F.when((kind == "svg") & ~good, F.lit("not a valid SVG file")))
+    counts = F.create_map().cast("map<string,int>")
+    if found:
+        each = F.create_map(*[x for k, c in found.items() for x in (F.lit(k), F.coalesce(F.col(c), F.lit(0)).cast("int"))])
+        counts = F.when(action == "rewrite", F.map_filter(each, lambda _, v: v > 0)).otherwise(counts)
+    if archive:
+        first = F.col("piece").isNull() | F.col("starts")
+        counts = F.coalesce(F.when((action == "drop") & first & ~F.col("rule").isin(*INLINE, "unreported"), F.create_map("rule", F.lit(1))), counts)
+        unsafe, refused = packages.unsafe_name(name), F.lit(None).cast("string")
+        for k, v in REFUSED.items():
+            refused = F.when(unsafe == k, f"document contains {v}").otherwise(refused)
+        error = F.coalesce(error, F.when(kind.isin("office", "odf"), refused))
+    new = F.when(action == "template", F.encode(packages.templated(name, F.lit("")), "UTF-8")).when(action == "rewrite", by_rewrite).when(action == "drop", F.lit(None)).otherwise(raw)
+    return df.select(*[c for c in parts.columns if c not in ("data", "verdict")], "action", "category", told.alias("told"), counts.alias("counts"), error.alias("error"), new.alias("data"))
+
+
+FOUND = "format string, new_content binary, inline array<string>, counts map<string,int>, place string, kinds array<string>, good boolean, error string"
+
+
+def _packed(parts: DataFrame, key: str) -> DataFrame:
+    """(key, kind, FOUND) of files whose parts follow each other. Entries are written into the copy as they come."""
+    own = parts.schema[key].dataType.simpleString()
+
+    class Copy:
+        """The copy that is being made."""
+
+        def __init__(self, row: dict, at: pa.Array):
+            self.at, self.kind, self.format = at, row["kind"], row["format"]
+            self.inline, self.counts, self.place, self.error, self.good = [], {}, None, None, True
+            self.kinds: dict[str, None] = {}
+            self.zip, self.data = archives.Packer() if self.kind in ("office", "odf") else None, None
+            self.pieces, self.gone, self.name, self.last = [], set(), None, -1
+
+        def add(self, r: dict) -> None:
+            self.last = r["part_seq"]
+            self.error = self.error or r["error"]
+            if self.error:
+                self.zip = None
+                return
+            if self.name is not None and (r["piece"] is None or r["starts"]):
+                self._image()
+            self.inline += [t for t in r["told"] if t not in self.inline]
+            for k, n in r["counts"]:
+                self.counts[k] = self.counts.get(k, 0) + n
+            if r["piece"] is None:
+                self._entry(r["part_name"], r["action"], r["data"])
+                return
+            self.name, self.action, self.own_format = r["part_name"], r["action"], r["format"]
+            if r["category"] is None:
+                if r["action"] != "drop":
+                    self.pieces.append((r["piece"], r["data"], r["good"]))
+            else:
+                self.gone.add(r["piece"])
+                if self.kind == "image":
+                    self.counts[r["category"]] = self.counts.get(r["category"], 0) + 1
+                if r["category"] == "exif" and self.place is None and r["format"] != "webp":
+                    found = images.gps(r["data"][4:] if r["format"] == "jpeg" else r["data"][8:-4])
+                    self.place = found and images.gps_text(found)
+
+        def _image(self) -> None:
+            """The pieces that were open are one image."""
+            data = images.joined(self.own_format, [(k, d) for k, d, _ in self.pieces], self.gone)
+            if self.kind == "image":
+                whole = [(k, g) for k, _, g in self.pieces if k != "gap" or not self.gone]
+                self.good, self.kinds = all(g for _, g in whole), dict.fromkeys(k for k, _ in whole if k != "gap")
+                self.data = data
+            else:
+                self.counts["images"] = self.counts.get("images", 0) + bool(self.gone)
+                self._entry(self.name, self.action, data)
+            self.pieces, self.gone, self.name = [], set(), None
+
+        def _entry(self, name: str, action: str, data: bytes | None) -> None:
+            if self.zip is None:
+                self.data = data
+            elif action != "drop":
+                self.zip.add(name, data or b"")
+
+        def done(self) -> tuple:
+            if self.name is not None and not self.error:
+                self._image()
+            content = None if self.error else self.zip.done() if self.zip else self.data
+            return self.kind, self.format, content, self.inline, list(self.counts.items()), self.place, list(self.kinds), self.good, self.error
+
+    types = [pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.map_(pa.string(), pa.int32()), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string()]
+    names = [key, "kind", *(c.split()[0] for c in FOUND.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, made, size = None, [], 0
 
         def out() -> pa.RecordBatch:
-            inline, counts, kept, last = [], {}, [], {}
-            error = next((r["error"] for r in rows if r["error"]), None)
-            for r in rows if not error else []:
-                if r["told"] and r["told"] not in inline:
-                    inline.append(r["told"])
-                for k, n in r["counts"]:
-                    counts[k] = counts.get(k, 0) + n
-                data = r["data"]
-                if r["action"] == "strip":
-                    data, removed = images.clean(data, strip_icc)
-                    counts["images"] = counts.get("images", 0) + bool(removed)
-                if r["action"] != "drop":
-                    kept.append(r["part_name"])
-                    last[r["part_name"]] = data  # of entries with one name every copy gets the bytes of the last
-            content = None if error else archives.pack([(n, last[n] or b"") for n in kept])
-            columns = [own, pa.array([content], pa.binary()), pa.array([inline], pa.list_(pa.string())), pa.array([list(counts.items())], pa.map_(pa.string(), pa.int32())), pa.array([error], pa.string())]
-            return pa.RecordBatch.from_arrays(columns, names=[key, "new_content", "inline", "counts", "error"])
+            at = pa.concat_arrays([a for a, _ in made])
+            return pa.RecordBatch.from_arrays([at, *(pa.array(c, t) for c, t in zip(zip(*(d for _, d in made)), types))], names=names)
 
         for batch in batches:
-            for k, row in enumerate(batch.to_pylist()):
-                if rows and row["part_seq"] <= rows[-1]["part_seq"]:  # numbers begin anew with each archive
-                    yield out()
-                    rows = []
-                if not rows:
-                    own = batch.column(key).slice(k, 1)
-                rows.append(row)
-        if rows:
+            names_in = [c for c in batch.schema.names if c != key]
+            for k, values in enumerate(zip(*(batch.column(c).to_pylist() for c in names_in))):
+                row = dict(zip(names_in, values))
+                if now is None or row["part_seq"] <= now.last:  # numbers begin anew with each file
+                    if now is not None:
+                        made.append((now.at, now.done()))
+                        size += len(made[-1][1][2] or b"") + 1000
+                        if size > SPLIT_BYTES:
+                            yield out()
+                            made, size = [], 0
+                    now = Copy(row, batch.column(key).slice(k, 1))
+                now.add(row)
+        if now is not None:
+            made.append((now.at, now.done()))
+        if made:
             yield out()
 
-    return parts.mapInArrow(run, f"`{key}` {kind}, new_content binary, inline array<string>, counts map<string,int>, error string")
+    return parts.mapInArrow(run, f"`{key}` {own}, kind string, {FOUND}")
+
+
+def _cleaned(files: DataFrame, key: str, rules: dict = RULES, kinds: tuple[str, ...] = ("office", "odf", "svg", "image"), **limits: int) -> DataFrame:
+    """(key, DONE, place) of files (key, kind, strip_icc, remove_scripts, content) of these kinds, or of none of them."""
+    done = _packed(rewritten(_split(files, key, **limits), rules, kinds), key)
+    removed = F.col("inline")
+    for kind, listed in COUNTERS.items():
+        if kind not in kinds:
+            continue
+        counted = F.array_compact(F.array(*[_counted(F.coalesce(F.element_at("counts", c), F.lit(0)), *texts) for c, *texts in listed]))
+        removed = F.when(F.col("kind") == kind, F.concat("inline", counted)).otherwise(removed)
+    removed = F.when(F.col("kind") == "image", images.told(F.col("format"), F.col("counts"), F.col("place"))).otherwise(removed)
+    corrupt = F.when((F.col("kind") == "image") & ~images.sound(F.col("format"), F.col("kinds"), F.col("good")), F.lit("corrupt image"))
+    done = done.withColumn("error", F.coalesce("error", corrupt))
+    fine = F.col("error").isNull()
+    done = done.withColumns({"removed": F.when(fine, removed).otherwise(F.array().cast("array<string>")), "new_content": F.when(fine, F.col("new_content")), "place": F.when(fine, F.col("place"))})
+    status = F.when(~fine, "error").when(F.size("removed") > 0, "ok").otherwise("clean")
+    return done.select(key, "new_content", "removed", status.alias("status"), "error", "place", "kind")
+
+
+def _typed(files: DataFrame, key: str, kind: Column | str, options: Options) -> DataFrame:
+    return files.select(key, (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), F.lit(options.strip_icc).alias("strip_icc"), F.lit(options.remove_scripts).alias("remove_scripts"), "content")
 
 
 def clean_packages(files: DataFrame, kind: str, options: Options = Options(), key: str = "path", **limits: int) -> DataFrame:
     """(key, DONE) of office or odf archives in (key, content). An archive over a limit, with an unsafe entry name, encrypted, or
     that is none is an error row without bytes."""
-    parts = archives.unzip_parts(files, key, **limits)
-    unsafe, refused = packages.unsafe_name(F.col("part_name")), F.lit(None).cast("string")
-    for k, v in REFUSED.items():
-        refused = F.when(unsafe == k, f"document contains {v}").otherwise(refused)
-    parts = parts.withColumn("error", F.coalesce("verdict", F.when(F.col("part_seq") >= 0, refused))).drop("verdict")
-    done = _packed(rewritten(parts, kind, options), key, options.strip_icc)
-    removed = F.concat(F.coalesce("inline", F.array().cast("array<string>")), F.array_compact(F.array(*[_counted(F.coalesce(F.element_at("counts", c), F.lit(0)), *texts) for c, *texts in COUNTERS[kind]])))
-    removed = F.when(F.col("error").isNull(), removed).otherwise(F.array().cast("array<string>"))
-    done = done.withColumn("removed", removed)
-    status = F.when(F.col("error").isNotNull(), "error").when(F.size("removed") > 0, "ok").otherwise("clean")
-    return done.select(key, "new_content", "removed", status.alias("status"), "error")
+    return _cleaned(_typed(files, key, kind, options), key, kinds=(kind,), **limits).drop("place", "kind")
 
 
 def _counted(n: Column, *texts: str) -> Column:
@@ -144,35 +313,56 @@ def _counted(n: Column, *texts: str) -> Column:
 
 
 def clean_svg(files: DataFrame, key: str = "path") -> DataFrame:
-    """(key, DONE) of SVG files in (key, content); other bytes than those removed stay as they are."""
+    """(key, DONE) of SVG files in (key, content), by built-in functions alone; other bytes than those removed stay as they are."""
     good = F.coalesce(images.signature(F.col("content"), "svg"), F.lit(False))
     df = rw.scrub_markup(files.select(key, "content", F.when(good, lossless(F.col("content"))).alias("_t")), "_t")
     new = F.when(F.size("removed") > 0, F.encode("_t", "ISO-8859-1")).otherwise(F.col("content"))
     return df.select(key, F.when(good, new).alias("new_content"), "removed", F.when(good, F.col("status")).otherwise("error").alias("status"), F.when(~good, "not a valid SVG file").alias("error"))
 
 
+def strip_images(files: DataFrame, options: Options = Options(), key: str = "doc_id", rules: dict = RULES) -> DataFrame:
+    """(key, DONE, place) of JPEG, PNG and WebP files in (key, content), whatever their names are; place is the first GPS position. A
+    file that is no sound image is an error row with a general message and no bytes; one bad file stops no other."""
+    return _cleaned(_typed(files, key, "image", options), key, rules, ("image",)).drop("kind")
+
+
+def _named_error(error: Column, path: Column) -> Column:
+    """The error of a file of another kind names what its extension says."""
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in {".png": "PNG", ".webp": "WebP"}.items() for x in pair]), F.lower(paths.ext(path)))
+    return F.when(error == "not a valid image", F.concat(F.lit("not a valid "), F.coalesce(name, F.lit("JPEG")), F.lit(" file"))).otherwise(error)
+
+
 def clean_images(files: DataFrame, options: Options = Options(), key: str = "path") -> DataFrame:
-    """(key, DONE) of JPEG, PNG and WebP files in (key, content); the error of a file of another kind names what its extension says."""
-    name = F.element_at(F.create_map(*[F.lit(x) for pair in {".png": "PNG", ".webp": "WebP"}.items() for x in pair]), F.lower(paths.ext(F.col(key).cast("string"))))
-    done = images.strip_images(files.select(key, "content"), options.strip_icc)
-    return done.withColumn("error", F.when(F.col("error") == "not a valid image", F.concat(F.lit("not a valid "), F.coalesce(name, F.lit("JPEG")), F.lit(" file"))).otherwise(F.col("error")))
+    """(key, DONE) of JPEG, PNG and WebP files in (key, content)."""
+    return strip_images(files, options, key).withColumn("error", _named_error(F.col("error"), F.col(key).cast("string"))).drop("place")
 
 
-def clean_files(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """(path, new_content, removed, notes, status, error, out_size) of each file in (path, content).
+def clean_files(files: DataFrame, options: Options = Options(), rules: dict = RULES) -> DataFrame:
+    """(path, new_content, removed, notes, status, error, place, out_size) of each file in (path, content), in one pass: files are read once,
+    and each family's rules and patterns see its own parts only. place is the first GPS position in an image.
 
-    The extension tells what a file is. Formats that need a codec or a parser, and unsupported ones, are skipped; a file over the
-    size limit, a null content, and what is not what its extension says are error rows without bytes. One bad file stops no
-    other; repeated paths are cleaned each; extra columns are ignored; no files give no rows. Nothing is shuffled."""
+    A struct column ``options`` with some of strip_icc and remove_scripts gives a file its own; a null field or none stands for
+    ``options``. A column ``read_error`` (see ``sources.files.read``) tells what could not be read. The extension tells what a
+    file is. Formats that need a codec or a parser, and unsupported ones, are skipped; a file over the size limit, a null
+    content, and what is not what its extension says are error rows without bytes. One bad file stops no other; repeated
+    paths are cleaned each; other columns are ignored; no files give no rows. Nothing is shuffled."""
     low, size = F.lower(paths.ext(F.col("path"))), F.coalesce(F.octet_length("content"), F.lit(0))
-    kind = F.when(size > fs.MAX_BYTES, "large").when(low == ".svg", "svg").when(low.isin(".png", ".webp", *JPEG), "image")
+    unread = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
+    large = F.when(size > fs.MAX_BYTES, F.concat(F.lit("file too large: "), paths.base(F.col("path"))))
+    error = F.coalesce(unread, large)
+    kind = F.when(error.isNotNull(), "error").when(low == ".svg", "svg").when(low.isin(".png", ".webp", *JPEG), "image")
     kind = kind.when(low.isin(*paths.FORMATS["office"]), "office").when(low.isin(*paths.FORMATS["odf"]), "odf").otherwise("other")
-    of = lambda k: files.select("path", "content").filter(kind == k)
-    done = clean_svg(of("svg")).unionByName(clean_images(of("image"), options)).unionByName(clean_packages(of("office"), "office", options)).unionByName(clean_packages(of("odf"), "odf", options))
-    error = F.when(kind == "large", F.concat(F.lit("file too large: "), paths.base(F.col("path")))).otherwise(F.coalesce(paths.unsupported(F.col("path")), F.concat(low, F.lit(" needs a codec or a parser"))))
-    rest = files.filter(kind.isin("large", "other")).select("path", F.lit(None).cast("binary").alias("new_content"), F.array().cast("array<string>").alias("removed"), F.when(kind == "large", "error").otherwise("skipped").alias("status"), error.alias("error"))
-    notes = F.when(F.col("status") == "clean", F.array(F.lit("no metadata found"))).otherwise(F.array().cast("array<string>"))
-    return done.unionByName(rest).withColumns({"notes": notes, "out_size": F.octet_length("new_content").cast("long")})
+    given = files.schema["options"].dataType.fieldNames() if "options" in files.columns else []
+    own = lambda name: F.coalesce(F.col(f"options.{name}"), F.lit(getattr(options, name))) if name in given else F.lit(getattr(options, name))
+    told = F.struct("path", F.when(kind == "error", error).alias("error"))
+    typed = files.select(told.alias("file"), kind.alias("kind"), own("strip_icc").alias("strip_icc"), own("remove_scripts").alias("remove_scripts"), "content")
+    done = _cleaned(typed, "file", rules)
+    path, kind = F.col("file.path"), F.col("kind")
+    skipped = F.coalesce(paths.unsupported(path), F.concat(F.lower(paths.ext(path)), F.lit(" needs a codec or a parser")))
+    error = F.when(kind == "error", F.col("file.error")).when(kind == "other", skipped).otherwise(_named_error(F.col("error"), path))
+    status = F.when(kind == "error", "error").when(kind == "other", "skipped").otherwise(F.col("status"))
+    notes = F.when(status == "clean", F.array(F.lit("no metadata found"))).otherwise(F.array().cast("array<string>"))
+    return done.select(path.alias("path"), "new_content", "removed", notes.alias("notes"), status.alias("status"), error.alias("error"), "place", F.octet_length("new_content").cast("long").alias("out_size"))
 
 
 #: Extensions of JPEG files.

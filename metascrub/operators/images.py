@@ -1,5 +1,5 @@
-"""Lossless cleaning of JPEG, PNG and WebP: a container is split into parts, a rule table names the parts that go, the
-rest is joined again. One Arrow batch of files goes in, one of results comes out; nothing is shuffled."""
+"""JPEG, PNG and WebP containers as rows of pieces: a helper splits a file, an ordered rule table in SQL names the pieces that go,
+and a helper joins those that stay. Nothing is shuffled."""
 
 from __future__ import annotations
 
@@ -9,13 +9,14 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metascrub.operators.packages import Rule
+
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
-#: Ancillary PNG chunks that stay, and what the others are reported as.
-PNG_KEEP = {"tRNS", "gAMA", "cHRM", "sRGB", "bKGD", "hIST", "sPLT", "sBIT", "pHYs"}
-PNG_DROP = {"tEXt": "text", "zTXt": "text", "iTXt": "text", "eXIf": "exif", "tIME": "time"}
+#: Ancillary PNG chunks that stay.
+PNG_KEEP = ("tRNS", "gAMA", "cHRM", "sRGB", "bKGD", "hIST", "sPLT", "sBIT", "pHYs")
 #: VP8X flag bits of dropped WebP chunks.
 WEBP_FLAGS = {"EXIF": 0x08, "XMP ": 0x10, "ICCP": 0x02}
 #: Tags of a TIFF structure that name a person, device, place or time; bytes of a value by type.
@@ -29,6 +30,20 @@ TOLD = {
 }
 
 
+#: The rules by format, in order. test: SQL over piece, its name, and head, its first 40 payload bytes as text.
+RULES = {
+    "jpeg": [
+        Rule("piece in ('scan', 'tail', '01', 'EE') or piece between 'C0' and 'DF'", "keep", "picture"), Rule("piece = 'E0' and left(head, 5) = concat('JFIF', char(0))", "keep", "picture"), Rule("piece = 'E1' and left(head, 6) = concat('Exif', char(0), char(0))", "drop", "exif"),
+        Rule("piece = 'E1' and left(head, 29) = concat('http://ns.adobe.com/xap/1.0/', char(0))", "drop", "xmp"), Rule("piece = 'E2' and left(head, 12) = concat('ICC_PROFILE', char(0))", "drop", "icc"), Rule("piece = 'FE'", "drop", "comment"), Rule("piece = 'ED'", "drop", "photoshop"), Rule("true", "drop", "other"),
+    ],
+    "png": [
+        Rule(f"piece in ('signature', 'tail', 'IEND', {', '.join(map(repr, PNG_KEEP))})", "keep", "picture"), Rule("piece = 'iCCP'", "drop", "icc"), Rule("piece in ('tEXt', 'zTXt', 'iTXt')", "drop", "text"), Rule("piece = 'eXIf'", "drop", "exif"),
+        Rule("piece = 'tIME'", "drop", "time"), Rule("left(piece, 1) between 'a' and 'z'", "drop", "other"),
+    ],
+    "webp": [Rule("piece = 'EXIF'", "drop", "exif"), Rule("piece = 'XMP '", "drop", "xmp"), Rule("piece = 'ICCP'", "drop", "icc")],
+}
+
+
 class Part(NamedTuple):
     """A stretch of the file: its kind, its bytes, and where its payload starts and stops."""
 
@@ -39,6 +54,14 @@ class Part(NamedTuple):
     end: int
 
 
+class Piece(NamedTuple):
+    """What the splitter gives: pieces hold all bytes of a file; what no part holds is ``gap``. good: whole, as far as it tells."""
+
+    kind: str
+    data: bytes
+    good: bool
+
+
 def jpeg_parts(data: bytes) -> Iterator[Part]:
     """Segments of a JPEG; kind is the marker in hex, ``scan`` from the first scan to its end mark, ``tail`` what does not parse."""
     at, n = 2, len(data)
@@ -98,31 +121,35 @@ def webp_parts(data: bytes) -> Iterator[Part]:
         at = end + (end - at) % 2
 
 
-def jpeg_rule(part: Part, data: bytes) -> str | None:
-    """The category of a part that can go, or None for what always stays."""
-    if part.kind in ("scan", "tail", "01") or "C0" <= part.kind <= "DF" or part.kind == "EE":
-        return None
-    head = data[part.inner : part.inner + 29]
-    if part.kind == "E0":
-        return None if head.startswith(b"JFIF\0") else "other"
-    if part.kind == "E1":
-        return "exif" if head.startswith(b"Exif\0\0") else "xmp" if head.startswith(b"http://ns.adobe.com/xap/1.0/\0") else "other"
-    if part.kind == "E2":
-        return "icc" if head.startswith(b"ICC_PROFILE\0") else "other"
-    return {"FE": "comment", "ED": "photoshop"}.get(part.kind, "other")
-
-
-def png_rule(part: Part, data: bytes) -> str | None:
-    if part.kind in ("signature", "tail", "IEND") or part.kind in PNG_KEEP:
-        return None
-    return "icc" if part.kind == "iCCP" else PNG_DROP.get(part.kind, "other" if part.kind[0].islower() else None)
+FORMATS = {"jpeg": jpeg_parts, "png": png_parts, "webp": webp_parts}
 
 
-def webp_rule(part: Part, data: bytes) -> str | None:
-    return {"EXIF": "exif", "XMP ": "xmp", "ICCP": "icc"}.get(part.kind)
+def pieces(data: bytes, form: str) -> Iterator[Piece]:
+    at = 0
+    for p in FORMATS[form](data):
+        if p.start > at:
+            yield Piece("gap", data[at : p.start], form != "webp" or at > 0 or int.from_bytes(data[4:8], "little") + 8 <= len(data) + 1)
+        whole = form != "png" or p.kind in ("signature", "tail") or zlib.crc32(data[p.start + 4 : p.end]) == int.from_bytes(data[p.end : p.stop], "big")
+        yield Piece(p.kind, data[p.start : p.stop], whole)
+        at = p.stop
+    if at < len(data):
+        yield Piece("gap", data[at:], True)
 
 
-FORMATS = {"jpeg": (jpeg_parts, jpeg_rule), "png": (png_parts, png_rule), "webp": (webp_parts, webp_rule)}
+def joined(form: str, kept: list[tuple[str, bytes]], dropped: set[str]) -> bytes:
+    """The file of the pieces that stay; without dropped ones it is what it was, else gaps go, and WebP gets its sizes and flags."""
+    if not dropped:
+        return b"".join(d for _, d in kept)
+    kept = [(k, d) for k, d in kept if k != "gap"]
+    if form != "webp":
+        return b"".join(d for _, d in kept)
+    body = []
+    for kind, data in kept:
+        if kind == "VP8X" and len(data) > 8:
+            data = data[:8] + bytes([data[8] & ~sum(WEBP_FLAGS.get(k, 0) for k in dropped)]) + data[9:]
+        body += [data, b"\0" * (len(data) % 2)]
+    all_ = b"".join(body)
+    return b"RIFF" + struct.pack("<I", 4 + len(all_)) + b"WEBP" + all_
 
 
 def family(data: bytes) -> str | None:
@@ -182,60 +209,40 @@ def gps_text(g: dict) -> str:
     return ", ".join(f"{int(g[k][0])}°{int(g[k][1])}'{g[k][2]:.0f}\"{g[k + '_ref']}" for k in ("lat", "lon"))
 
 
-def sound(data: bytes) -> bool:
-    """The structure that a decoder needs: JPEG up to frame and scan, PNG from IHDR to IEND with checksums, WebP with its size and an image."""
-    kind = family(data)
-    if kind == "jpeg":
-        kinds = [p.kind for p in jpeg_parts(data)]
-        return "tail" not in kinds and "scan" in kinds and any("C0" <= k <= "CF" and k not in ("C4", "C8", "CC") for k in kinds)
-    if kind == "png":
-        parts = list(png_parts(data))[1:]
-        good = all(zlib.crc32(data[p.start + 4 : p.end]) == int.from_bytes(data[p.end : p.stop], "big") for p in parts if p.kind != "tail")
-        return bool(parts) and good and parts[0].kind == "IHDR" and parts[-1].kind == "IEND" and "IDAT" in [p.kind for p in parts]
-    if kind == "webp":
-        return int.from_bytes(data[4:8], "little") + 8 <= len(data) + 1 and any(p.kind in ("VP8 ", "VP8L", "VP8X", "ANMF") for p in webp_parts(data))
-    return False
-
-
-def clean(data: bytes, strip_icc: bool = False) -> tuple[bytes, list[str]]:
-    """The file without its metadata and what was removed, in report order; the same bytes if there was none."""
-    kind = family(data)
-    if kind is None:
-        return data, []
-    split, rule = FORMATS[kind]
-    counts: dict[str, int] = {}
-    place, kept = None, []
-    dropped = set()
-    for part in split(data):
-        category = rule(part, data)
-        if category is None or category == "icc" and not strip_icc:
-            kept.append(part)
-            continue
-        counts[category] = counts.get(category, 0) + 1
-        dropped.add(part.kind)
-        if category == "exif" and place is None and kind != "webp":
-            place = gps(data[part.inner : part.end])
-    told = []
-    for category, text in TOLD[kind]:
-        value = (gps_text(place) if place else None) if category == "gps" else counts.get(category)
-        if value:
-            told.append(text.format(value))
-    if not told:
-        return data, []
-    if kind != "webp":
-        return b"".join(data[p.start : p.stop] for p in kept), told
-    body = []
-    for p in kept:
-        inner = data[p.inner : p.end]
-        if p.kind == "VP8X" and inner:
-            inner = bytes([inner[0] & ~sum(WEBP_FLAGS[k] for k in dropped)]) + inner[1:]
-        body += [p.kind.encode("latin-1"), struct.pack("<I", len(inner)), inner, b"\0" * (len(inner) % 2)]
-    joined = b"".join(body)
-    return b"RIFF" + struct.pack("<I", 4 + len(joined)) + b"WEBP" + joined, told
+def sound(form: Column, kinds: Column, good: Column) -> Column:
+    """The structure that a decoder needs, from the distinct kinds of pieces in order: JPEG a frame and a scan and nothing that does not
+    parse, PNG from IHDR to IEND with checksums, WebP its size and an image."""
+    has = lambda k: F.array_contains(kinds, k)
+    jpeg = ~has("tail") & has("scan") & F.exists(kinds, lambda k: k.between("C0", "CF") & ~k.isin("C4", "C8", "CC"))
+    png = good & (F.get(kinds, F.lit(1)) == "IHDR") & has("IDAT") & has("IEND") & ~has("tail")
+    return F.coalesce(F.when(form == "jpeg", jpeg).when(form == "png", png).when(form == "webp", good & F.exists(kinds, lambda k: k.isin("VP8 ", "VP8L", "VP8X", "ANMF"))), F.lit(False))
 
 
-CLEANED = "new_content binary, removed array<string>, status string, error string"
-PARTS = "part_seq int, part_kind string, start long, n_bytes long, category string"
+def rule(rules: dict[str, list[Rule]], form: str = "format", pick: str = "category") -> str:
+    """SQL for the category of a piece that goes by the first rule that holds, else null; over format, piece and head."""
+    by_format = lambda f: "case when piece = 'gap' then null " + " ".join(f"when {r.test} then " + (f"'{getattr(r, pick)}'" if r.action == "drop" else "null") for r in rules[f]) + " end"
+    return f"case {form} " + " ".join(f"when '{f}' then {by_format(f)}" for f in rules) + " end"
+
+
+def head(data: Column, form: Column) -> Column:
+    """The first 40 payload bytes of a piece as text of one character each."""
+    return F.decode(F.substring(F.coalesce(data, F.lit(b"")), F.when(form == "jpeg", 5).otherwise(9), F.lit(40)), "ISO-8859-1")
+
+
+def told(form: Column, counts: Column, place: Column) -> Column:
+    """Report texts in order."""
+    out = F.array().cast("array<string>")
+    for name, texts in TOLD.items():
+        each = []
+        for category, text in texts:
+            value = place if category == "gps" else F.nullif(F.coalesce(F.element_at(counts, category), F.lit(0)), F.lit(0)).cast("string")
+            before, *after = text.split("{}")
+            each.append(F.when(value.isNotNull(), F.concat(F.lit(before), value, F.lit(after[0])) if after else F.lit(text)))
+        out = F.when(form == name, F.array_compact(F.array(*each))).otherwise(out)
+    return out
+
+
+PARTS = "part_seq int, part_kind string, start long, n_bytes long, head binary"
 
 
 def _each(files: DataFrame, schema: str, types: list[pa.DataType], answer) -> DataFrame:
@@ -257,36 +264,17 @@ def _each(files: DataFrame, schema: str, types: list[pa.DataType], answer) -> Da
     return files.select(*keep, "content").mapInArrow(run, f"{head}, {schema}")
 
 
-def strip_images(files: DataFrame, strip_icc: bool = False) -> DataFrame:
-    """files with new_content, removed, status and error instead of content. A file that is no sound image is an error row
-    with a general message and no bytes; one bad file stops no other. A null content is an error, too."""
-
-    def answer(content: bytes | None):
-        try:
-            kind = family(content or b"")
-            if kind is None:
-                return [(None, [], "error", "not a valid image")]
-            new, removed = clean(content, strip_icc)
-            if not sound(new):
-                return [(None, [], "error", "corrupt image")]
-            return [(new, removed, "ok" if removed else "clean", None)]
-        except Exception as e:  # whatever a hostile file does
-            return [(None, [], "error", f"could not be processed ({type(e).__name__})")]
-
-    return _each(files, CLEANED, [pa.binary(), pa.list_(pa.string()), pa.string(), pa.string()], answer)
-
-
-def explode_parts(files: DataFrame) -> DataFrame:
+def explode_parts(files: DataFrame, rules: dict[str, list[Rule]] = RULES) -> DataFrame:
     """A row for each part of each image, with the category of those that can go."""
 
     def answer(content: bytes | None):
-        kind = family(content or b"")
-        if kind:
-            split, rule = FORMATS[kind]
-            for k, p in enumerate(split(content)):
-                yield k, p.kind, p.start, p.stop - p.start, rule(p, content)
+        form = family(content or b"")
+        for k, p in enumerate(FORMATS[form](content) if form else ()):
+            yield form, k, p.kind, p.start, p.stop - p.start, content[p.inner : p.end][:40]
 
-    return _each(files, PARTS, [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()], answer)
+    found = _each(files, f"format string, {PARTS}", [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary()], answer)
+    found = found.withColumns({"piece": F.col("part_kind"), "head": F.decode("head", "ISO-8859-1")}).withColumn("category", F.expr(rule(rules)))
+    return found.drop("format", "piece", "head")
 
 
 def gps_of(blobs: DataFrame) -> DataFrame:

@@ -50,8 +50,13 @@ TEMPLATES = {
 def dispatch(parts: DataFrame, rules: list[Rule], remove_scripts: bool = True, name: str = "part_name") -> DataFrame:
     """parts with action (keep where no rule holds) and category of the first rule that holds."""
     rules = [r for r in rules if remove_scripts or r.category != "macros"]
-    case = lambda pick, rest: "case " + " ".join(f"when {r.test} then '{pick(r)}'" for r in rules) + f" else {rest} end"
-    return parts.withColumn("low", F.lower(name)).withColumn("action", F.expr(case(lambda r: r.action, "'keep'"))).withColumn("category", F.expr(case(lambda r: r.category, "null"))).drop("low")
+    return parts.withColumn("low", F.lower(name)).withColumn("action", F.expr(first(rules, "action", "'keep'"))).withColumn("category", F.expr(first(rules, "category", "null"))).drop("low")
+
+
+def first(rules: list[Rule], pick: str, rest: str, macros: str = "true") -> str:
+    """SQL for a field of the first rule that holds; rules on macros hold where ``macros`` does."""
+    test = lambda r: r.test if macros == "true" or r.category != "macros" else f"({r.test}) and {macros}"
+    return "case " + " ".join(f"when {test(r)} then '{getattr(r, pick)}'" for r in rules) + f" else {rest} end"
 
 
 def first_match(parts: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
@@ -65,7 +70,7 @@ def first_match(parts: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame
     return found.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k", "prefix", "priority").withColumn("action", F.coalesce("action", F.lit("keep")))
 
 
-def rewrite_ooxml(parts: DataFrame, remove_scripts: bool = True) -> DataFrame:
+def rewrite_ooxml(parts: DataFrame, remove_scripts: bool | Column = True) -> DataFrame:
     """parts with new_data and n_rsid, n_track_changes, n_comment_ranges: the cumulative rewrites of XML and relation parts."""
     low = F.lower(F.col("part_name"))
     xml, types, rels = low.endswith(".xml"), low == "[content_types].xml", low.endswith(".rels")
@@ -76,7 +81,7 @@ def rewrite_ooxml(parts: DataFrame, remove_scripts: bool = True) -> DataFrame:
     df = df.withColumn("new_data", F.when(xml, rw.drop(rw.drop(F.col("new_data"), rw.AUTHOR), rw.DATE)).otherwise(F.col("new_data")))
     df = df.withColumn("n_comment_ranges", F.when(xml, rw.count(F.col("new_data"), rw.COMMENT_RANGE)).otherwise(0))
     df = df.withColumn("new_data", F.when(xml, rw.drop(F.col("new_data"), rw.COMMENT_RANGE)).otherwise(F.col("new_data")))
-    for where, pattern in (((types | rels) & F.lit(remove_scripts), rw.VBA_REF), (types | rels, rw.CUSTOMXML_REF), (rels, rw.RELS_REF), (types, rw.TYPES_REF)):
+    for where, pattern in (((types | rels) & (remove_scripts if isinstance(remove_scripts, Column) else F.lit(remove_scripts)), rw.VBA_REF), (types | rels, rw.CUSTOMXML_REF), (rels, rw.RELS_REF), (types, rw.TYPES_REF)):
         df = df.withColumn("new_data", F.when(where, rw.drop(F.col("new_data"), pattern)).otherwise(F.col("new_data")))
     return df
 

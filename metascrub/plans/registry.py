@@ -441,8 +441,8 @@ def _image(make, status_clean: bool = False):
 
     def run(spark, sf):
         text = F.col("text")
-        made = _docs(spark, sf).select("doc_id", make(text, True).alias("content"), F.md5(make(text, False)).alias("expected"))
-        return images.strip_images(made).select("doc_id", F.md5("new_content").alias("digest"), F.array_join("removed", ", ").alias("removed"), "status", (F.md5("new_content") == F.col("expected")).alias("as_expected"))
+        made = _docs(spark, sf).select(F.struct("doc_id", F.md5(make(text, False)).alias("expected")).alias("doc"), make(text, True).alias("content"))
+        return clean.strip_images(made, key="doc").select("doc.doc_id", F.md5("new_content").alias("digest"), F.array_join("removed", ", ").alias("removed"), "status", (F.md5("new_content") == F.col("doc.expected")).alias("as_expected"))
 
     return run
 
@@ -459,27 +459,27 @@ query("webp_strip", f"select doc_id, md5({D_WEBP}) as digest, 'EXIF metadata, XM
 def png_strip(spark, sf):
     """DuckDB has no checksum of chunks: the bytes are compared with those that Spark composes."""
     text = F.col("text")
-    made = _docs(spark, sf).select("doc_id", _png(text, True).alias("content"), F.md5(_png(text, False)).alias("expected"))
-    return images.strip_images(made).select("doc_id", F.octet_length("new_content").cast("long").alias("n_bytes"), F.array_join("removed", ", ").alias("removed"), "status", (F.md5("new_content") == F.col("expected")).alias("as_expected"))
+    made = _docs(spark, sf).select(F.struct("doc_id", F.md5(_png(text, False)).alias("expected")).alias("doc"), _png(text, True).alias("content"))
+    return clean.strip_images(made, key="doc").select("doc.doc_id", F.octet_length("new_content").cast("long").alias("n_bytes"), F.array_join("removed", ", ").alias("removed"), "status", (F.md5("new_content") == F.col("doc.expected")).alias("as_expected"))
 
 
 @query("status_clean_identical", f"select doc_id, md5({D_JPEG}) as digest, 'clean' as status from documents")
 def status_clean_identical(spark, sf):
     made = _docs(spark, sf).select("doc_id", _jpeg(F.col("text"), False).alias("content"))
-    return images.strip_images(made).select("doc_id", F.md5("new_content").alias("digest"), "status")
+    return clean.strip_images(made).select("doc_id", F.md5("new_content").alias("digest"), "status")
 
 
 @query("check_structure", f"select doc_id, case when doc_id % 2 = 0 then 'ok' else 'error' end as status, case when doc_id % 2 = 1 then 'corrupt image' end as error from documents")
 def check_structure(spark, sf):
     whole = _jpeg(F.col("text"), True)
     made = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 2 == 0, whole).otherwise(F.substring(whole, 1, 40)).alias("content"))
-    return images.strip_images(made).select("doc_id", "status", "error")
+    return clean.strip_images(made).select("doc_id", "status", "error")
 
 
 @query("bad_file_isolated", "select doc_id, case doc_id % 3 when 0 then 'ok' else 'error' end as status, case doc_id % 3 when 1 then 'not a valid image' when 2 then 'not a valid image' end as error from documents")
 def bad_file_isolated(spark, sf):
     content = F.when(F.col("doc_id") % 3 == 0, _jpeg(F.col("text"), True)).when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-8"))
-    return images.strip_images(_docs(spark, sf).select("doc_id", content.alias("content"))).select("doc_id", "status", "error")
+    return clean.strip_images(_docs(spark, sf).select("doc_id", content.alias("content"))).select("doc_id", "status", "error")
 
 
 _EACH = "generate_series(1, ceil(octet_length(encode(text)) / 60000.0)::bigint)"
@@ -533,7 +533,7 @@ def tiff_identity_audit(spark, sf):
 @query("ooxml_media", f"select doc_id, md5({D_JPEG}) as digest, 1 as n from documents")
 def ooxml_media(spark, sf):
     parts = _docs(spark, sf).select("doc_id", F.lit("word/media/b.jpg").alias("part_name"), _jpeg(F.col("text"), True).alias("content"))
-    return images.strip_images(packages.dispatch(parts, packages.OOXML).filter("action = 'strip'")).select("doc_id", F.md5("new_content").alias("digest"), (F.size("removed") > 0).cast("int").alias("n"))
+    return clean.strip_images(packages.dispatch(parts, packages.OOXML).filter("action = 'strip'")).select("doc_id", F.md5("new_content").alias("digest"), (F.size("removed") > 0).cast("int").alias("n"))
 
 
 # --- PDF entries

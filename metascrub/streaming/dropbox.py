@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from metascrub.operators import images, rewrite
+from metascrub.operators import clean, rewrite
 
 
 def arrivals(spark: SparkSession, folder: str, schema: StructType | None = None, kind: str = "binaryFile", per_trigger: int = 1000) -> DataFrame:
@@ -17,7 +17,7 @@ def arrivals(spark: SparkSession, folder: str, schema: StructType | None = None,
 
 
 def clean_images(stream: DataFrame) -> DataFrame:
-    return images.strip_images(stream.select("path", "content"))
+    return clean.strip_images(stream, key="path")
 
 
 def scrub(stream: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from metascrub.operators import archives, images, reports
+from metascrub.operators import archives, clean, images, reports
 from metascrub.sources import files
 
 SEG = lambda mark, body: bytes.fromhex(mark) + struct.pack(">H", len(body) + 2) + body
@@ -38,28 +38,46 @@ def test_hostile_exif(blob):
     assert images.gps(blob) is None
 
 
-def test_jpeg():
+def stripped(spark, *contents, strip_icc=False):
+    """(bytes, removed, error) of each content."""
+    df = spark.createDataFrame([(k, None if c is None else bytearray(c)) for k, c in enumerate(contents)], "doc_id int, content binary")
+    return [(r.new_content and bytes(r.new_content), r.removed, r.error) for r in sorted(clean.strip_images(df, clean.Options(strip_icc=strip_icc)).collect())]
+
+
+def test_jpeg(spark):
     icc = SEG("FFE2", b"ICC_PROFILE\0x")
     full = PLAIN[:2] + SEG("FFE1", b"Exif\0\0" + gps_blob("MM")) + SEG("FFE1", b"http://ns.adobe.com/xap/1.0/\0x") + SEG("FFFE", b"c") + SEG("FFED", b"Photoshop 3.0\0") + SEG("FFEE", b"Adobe") + icc + PLAIN[2:]
-    new, removed = images.clean(full)
-    assert new == PLAIN[:2] + SEG("FFEE", b"Adobe") + icc + PLAIN[2:] and images.sound(new)
+    fill = full[:2] + b"\xff" + full[2:]
+    [(new, removed, _), same] = stripped(spark, full, fill)
+    assert new == PLAIN[:2] + SEG("FFEE", b"Adobe") + icc + PLAIN[2:] and same == (new, removed, None)
     assert removed == ["EXIF metadata", "GPS location (31°57'0\"S, 115°51'2\"E)", "XMP metadata", "embedded comment", "Photoshop metadata (layers/paths/IPTC)"]
-    assert images.clean(new) == (new, [])
-    assert images.clean(new, strip_icc=True) == (new.replace(icc, b""), ["ICC color profile"])
-    assert images.clean(PLAIN + b"after")[0] == PLAIN + b"after"
-    assert not images.sound(PLAIN[:20])
+    filled = PLAIN[:2] + b"\xff\xff" + PLAIN[2:]
+    assert stripped(spark, new, PLAIN + b"after", PLAIN[:20], filled) == [(new, [], None), (PLAIN + b"after", [], None), (None, [], "corrupt image"), (filled, [], None)]
+    assert stripped(spark, new, strip_icc=True) == [(new.replace(icc, b""), ["ICC color profile"], None)]
 
 
-def test_png_and_webp():
+def test_png_and_webp(spark):
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     plain = [images.PNG_SIGNATURE, chunk(b"IHDR", b"\0" * 13), chunk(b"IDAT", b"x"), chunk(b"IEND", b"")]
     full = b"".join([*plain[:2], chunk(b"tEXt", b"Author"), chunk(b"eXIf", gps_blob("II")), plain[2], plain[3]]) + b"after"
-    new, removed = images.clean(full)
-    assert new == b"".join(plain) and removed[0] == "1 text chunk(s)" and removed[2].startswith("GPS") and images.sound(new)
-    assert not images.sound(new.replace(b"IDATx", b"IDATy"))
+    whole = b"".join(plain)
+    [(new, removed, _), bad, cut] = stripped(spark, full, whole.replace(b"IDATx", b"IDATy"), whole[:20])
+    assert new == whole and removed[0] == "1 text chunk(s)" and removed[2].startswith("GPS")
+    assert bad == cut == (None, [], "corrupt image")
     piece = lambda kind, body: kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
     webp = lambda *p: b"RIFF" + struct.pack("<I", 4 + sum(map(len, p))) + b"WEBP" + b"".join(p)
-    assert images.clean(webp(piece(b"VP8X", b"\x18" + b"\0" * 9), piece(b"VP8 ", b"abc"), piece(b"EXIF", b"e"), piece(b"XMP ", b"x"))) == (webp(piece(b"VP8X", b"\0" * 10), piece(b"VP8 ", b"abc")), ["EXIF metadata", "XMP metadata"])
+    plain = webp(piece(b"VP8X", b"\0" * 10), piece(b"VP8 ", b"abc"))
+    dirty = webp(piece(b"VP8X", b"\x18" + b"\0" * 9), piece(b"VP8 ", b"abc"), piece(b"EXIF", b"e"), piece(b"XMP ", b"x"))
+    assert stripped(spark, dirty, plain, plain[:-9], None) == [(plain, ["EXIF metadata", "XMP metadata"], None), (plain, [], None), (None, [], "corrupt image"), (None, [], "not a valid image")]
+
+
+def test_own_rules(spark):
+    """Rules are data: another table keeps comments and drops the picture's Adobe segment."""
+    own = {**images.RULES, "jpeg": [images.Rule("piece = 'FE'", "keep", "picture"), images.Rule("piece = 'EE'", "drop", "other"), *images.RULES["jpeg"]]}
+    full = PLAIN[:2] + SEG("FFFE", b"c") + SEG("FFEE", b"Adobe") + PLAIN[2:]
+    df = spark.createDataFrame([(1, bytearray(full))], "doc_id int, content binary")
+    got = clean.strip_images(df, rules={**clean.RULES, "image": own}).first()
+    assert bytes(got.new_content) == PLAIN[:2] + SEG("FFFE", b"c") + PLAIN[2:] and got.removed == ["1 other embedded block(s)"]
 
 
 def test_archives(spark):
@@ -97,7 +115,7 @@ def test_discover_and_sinks(spark, tmp_path):
     (tmp_path / "in/sub/two.jpg").write_bytes(PLAIN)
     found = files.discover(spark, str(tmp_path / "in"), content=True)
     assert found.count() == 2
-    outputs = images.strip_images(found).selectExpr("path", "path as dst", "new_content as content")
+    outputs = clean.strip_images(found, key="path").selectExpr("path", "path as dst", "new_content as content")
     files.write_outputs(outputs, str(tmp_path / "out"))
     assert [bytes(r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [PLAIN] * 2
     files.write_report(reports.report_lines(spark.createDataFrame([("a/x.png", "ok", None)], "path string, status string, details string")), str(tmp_path / "report"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Marks of statuses.
 STATUS_LABEL = {"ok": "✓", "clean": "✓", "skipped": "–", "error": "✗"}
 #: Option defaults; a suffix loses these characters and control characters.
 DEFAULTS = {"suffix": "_clean", "subfolder": False, "strip_icc": False, "keep_attachments": False, "remove_scripts": True, "topmost": False}
@@ -51,3 +52,8 @@ def option(json: Column, key: str) -> Column:
     text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
     text = F.when(F.char_length(text) <= 64, text)
     return F.coalesce(F.nullif(F.regexp_replace(text, BAD_SUFFIX, ""), F.lit("")), F.lit(default))
+
+
+def options(json: Column) -> Column:
+    """The options of a JSON object as a struct, which rules read file by file (see ``operators.clean.clean_files``)."""
+    return F.struct(*[option(json, k).alias(k) for k in DEFAULTS])

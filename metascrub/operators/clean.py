@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metascrub.functions import paths
+from metascrub.functions import paths, texts
 from metascrub.operators import archives, images, packages
 from metascrub.operators import rewrite as rw
 from metascrub.sources import files as fs
@@ -65,8 +65,8 @@ def told_fields(what: str, fields: Column) -> Column:
 #: Rules by kind of file; ``clean_files`` takes others.
 RULES = {"office": packages.OOXML, "odf": packages.ODF, "image": images.RULES}
 #: What a part row carries; the key of its file stands before.
-PART = "kind string, strip_icc boolean, remove_scripts boolean, part_seq int, part_name string, format string, piece string, starts boolean, good boolean, data binary, verdict string"
-PART_TYPES = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.binary(), pa.string()]
+PART = "kind string, strip_icc boolean, remove_scripts boolean, part_seq int, entry int, part_name string, format string, piece string, starts boolean, good boolean, data binary, verdict string"
+PART_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.binary(), pa.string()]
 SPLIT_BYTES = 16 << 20
 
 
@@ -77,20 +77,20 @@ def _split(files: DataFrame, key: str, **limits: int) -> DataFrame:
 
     def parts(kind: str, content: bytes) -> Iterator[tuple]:
         if kind in ("office", "odf"):
-            for _, name, data, verdict in archives.entries(content, by_name=True, **limits):
+            for k, name, data, verdict in archives.entries(content, by_name=True, **limits):
                 form = images.family(data or b"") if name.lower().endswith(IMAGE_NAMES) else None
                 if form:
-                    yield from ((name, form, *p, verdict) for p in _told(images.pieces(data, form)))
+                    yield from ((k, name, form, *p, verdict) for p in _told(images.pieces(data, form)))
                 else:
-                    yield name, None, None, False, True, data, verdict
+                    yield k, name, None, None, False, True, data, verdict
         elif kind == "image":
             form = images.family(content)
             if form is None:
-                yield "", None, None, False, True, None, "not a valid image"
+                yield 0, "", None, None, False, True, None, "not a valid image"
             else:
-                yield from (("", form, *p, None) for p in _told(images.pieces(content, form)))
+                yield from ((0, "", form, *p, None) for p in _told(images.pieces(content, form)))
         else:
-            yield "", None, None, False, True, content if kind == "svg" else None, None
+            yield 0, "", None, None, False, True, content if kind == "svg" else None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [key, *(c.split()[0] for c in PART.split(", "))]
@@ -108,12 +108,12 @@ def _split(files: DataFrame, key: str, **limits: int) -> DataFrame:
                     try:
                         row = next(source, None)
                     except Exception as e:  # whatever a hostile file does
-                        row, source = ("", None, None, False, False, None, f"could not be processed ({type(e).__name__})"), iter(())
+                        row, source = (0, "", None, None, False, False, None, f"could not be processed ({type(e).__name__})"), iter(())
                     if row is None:
                         break
                     rows.append((seq, *row))
                     take.append(k)
-                    seq, size = seq + 1, size + len(row[5] or b"")
+                    seq, size = seq + 1, size + len(row[6] or b"")
                     if size > SPLIT_BYTES:
                         yield out()
                         rows, take, size = [], [], 0
@@ -220,7 +220,7 @@ def _packed(parts: DataFrame, key: str) -> DataFrame:
                 self.gone.add(r["piece"])
                 if self.kind == "image":
                     self.counts[r["category"]] = self.counts.get(r["category"], 0) + 1
-                if r["category"] == "exif" and self.place is None and r["format"] != "webp":
+                if self.kind == "image" and r["category"] == "exif" and self.place is None and r["format"] != "webp":
                     found = images.gps(r["data"][4:] if r["format"] == "jpeg" else r["data"][8:-4])
                     self.place = found and images.gps_text(found)
 
@@ -279,16 +279,20 @@ def _packed(parts: DataFrame, key: str) -> DataFrame:
     return parts.mapInArrow(run, f"`{key}` {own}, kind string, {FOUND}")
 
 
+def _removed(kinds: tuple[str, ...]) -> Column:
+    """The report's texts in order, from kind, format, inline, counts and place."""
+    removed = F.col("inline")
+    for kind, listed in COUNTERS.items():
+        if kind in kinds:
+            counted = F.array_compact(F.array(*[_counted(F.coalesce(F.element_at("counts", c), F.lit(0)), *told) for c, *told in listed]))
+            removed = F.when(F.col("kind") == kind, F.concat("inline", counted)).otherwise(removed)
+    return F.when(F.col("kind") == "image", images.told(F.col("format"), F.col("counts"), F.col("place"))).otherwise(removed)
+
+
 def _cleaned(files: DataFrame, key: str, rules: dict = RULES, kinds: tuple[str, ...] = ("office", "odf", "svg", "image"), **limits: int) -> DataFrame:
     """(key, DONE, place) of files (key, kind, strip_icc, remove_scripts, content) of these kinds, or of none of them."""
     done = _packed(rewritten(_split(files, key, **limits), rules, kinds), key)
-    removed = F.col("inline")
-    for kind, listed in COUNTERS.items():
-        if kind not in kinds:
-            continue
-        counted = F.array_compact(F.array(*[_counted(F.coalesce(F.element_at("counts", c), F.lit(0)), *texts) for c, *texts in listed]))
-        removed = F.when(F.col("kind") == kind, F.concat("inline", counted)).otherwise(removed)
-    removed = F.when(F.col("kind") == "image", images.told(F.col("format"), F.col("counts"), F.col("place"))).otherwise(removed)
+    removed = _removed(kinds)
     corrupt = F.when((F.col("kind") == "image") & ~images.sound(F.col("format"), F.col("kinds"), F.col("good")), F.lit("corrupt image"))
     done = done.withColumn("error", F.coalesce("error", corrupt))
     fine = F.col("error").isNull()
@@ -337,26 +341,28 @@ def clean_images(files: DataFrame, options: Options = Options(), key: str = "pat
     return strip_images(files, options, key).withColumn("error", _named_error(F.col("error"), F.col(key).cast("string"))).drop("place")
 
 
+def _routed(files: DataFrame, options: Options) -> DataFrame:
+    """files (file: path and error; kind, strip_icc, remove_scripts, content), told by their paths and sizes."""
+    low, size = F.lower(paths.ext(F.col("path"))), F.coalesce(F.octet_length("content"), F.lit(0))
+    unread = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
+    error = F.coalesce(unread, F.when(size > fs.MAX_BYTES, F.concat(F.lit("file too large: "), paths.base(F.col("path")))))
+    kind = F.when(error.isNotNull(), "error").when(low == ".svg", "svg").when(low.isin(".png", ".webp", *JPEG), "image")
+    kind = kind.when(low.isin(*paths.FORMATS["office"]), "office").when(low.isin(*paths.FORMATS["odf"]), "odf").otherwise("other")
+    given = files.schema["options"].dataType.fieldNames() if "options" in files.columns else []
+    own = lambda name: (F.coalesce(F.col(f"options.{name}"), F.lit(getattr(options, name))) if name in given else F.lit(getattr(options, name))).alias(name)
+    return files.select(F.struct("path", error.alias("error")).alias("file"), kind.alias("kind"), own("strip_icc"), own("remove_scripts"), "content")
+
+
 def clean_files(files: DataFrame, options: Options = Options(), rules: dict = RULES) -> DataFrame:
     """(path, new_content, removed, notes, status, error, place, out_size) of each file in (path, content), in one pass: files are read once,
     and each family's rules and patterns see its own parts only. place is the first GPS position in an image.
 
     A struct column ``options`` with some of strip_icc and remove_scripts gives a file its own; a null field or none stands for
-    ``options``. A column ``read_error`` (see ``sources.files.read``) tells what could not be read. The extension tells what a
+    ``options``. A column ``read_error`` (the error of ``sources.files.read``) tells what could not be read. The extension tells what a
     file is. Formats that need a codec or a parser, and unsupported ones, are skipped; a file over the size limit, a null
     content, and what is not what its extension says are error rows without bytes. One bad file stops no other; repeated
     paths are cleaned each; other columns are ignored; no files give no rows. Nothing is shuffled."""
-    low, size = F.lower(paths.ext(F.col("path"))), F.coalesce(F.octet_length("content"), F.lit(0))
-    unread = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
-    large = F.when(size > fs.MAX_BYTES, F.concat(F.lit("file too large: "), paths.base(F.col("path"))))
-    error = F.coalesce(unread, large)
-    kind = F.when(error.isNotNull(), "error").when(low == ".svg", "svg").when(low.isin(".png", ".webp", *JPEG), "image")
-    kind = kind.when(low.isin(*paths.FORMATS["office"]), "office").when(low.isin(*paths.FORMATS["odf"]), "odf").otherwise("other")
-    given = files.schema["options"].dataType.fieldNames() if "options" in files.columns else []
-    own = lambda name: F.coalesce(F.col(f"options.{name}"), F.lit(getattr(options, name))) if name in given else F.lit(getattr(options, name))
-    told = F.struct("path", F.when(kind == "error", error).alias("error"))
-    typed = files.select(told.alias("file"), kind.alias("kind"), own("strip_icc").alias("strip_icc"), own("remove_scripts").alias("remove_scripts"), "content")
-    done = _cleaned(typed, "file", rules)
+    done = _cleaned(_routed(files, options), "file", rules)
     path, kind = F.col("file.path"), F.col("kind")
     skipped = F.coalesce(paths.unsupported(path), F.concat(F.lower(paths.ext(path)), F.lit(" needs a codec or a parser")))
     error = F.when(kind == "error", F.col("file.error")).when(kind == "other", skipped).otherwise(_named_error(F.col("error"), path))
@@ -365,5 +371,33 @@ def clean_files(files: DataFrame, options: Options = Options(), rules: dict = RU
     return done.select(path.alias("path"), "new_content", "removed", notes.alias("notes"), status.alias("status"), error.alias("error"), "place", F.octet_length("new_content").cast("long").alias("out_size"))
 
 
+def findings(files: DataFrame, options: Options = Options(), rules: dict = RULES) -> DataFrame:
+    """(path, kind, format, ord, entry, part_name, category, hits, text, nth, position) of what goes from files (path, content): a row for each finding
+    in a part, in order by ord and nth. text: what the report tells of it as it stands; position: the GPS position in an Exif piece.
+    Bytes are not packed again, and only Exif pieces go on to the helper that reads them. Files with an error are not left out."""
+    parts = rewritten(_split(_routed(files, options), "file"), rules)
+    row = lambda category, hits, text, nth=F.lit(0): F.struct(category.alias("category"), hits.cast("int").alias("hits"), text.cast("string").alias("text"), nth.cast("int").alias("nth"))
+    told = F.transform("told", lambda t, i: row(F.lit("told"), F.lit(1), t, i))
+    counted = F.transform(F.map_entries("counts"), lambda e: row(e["key"], e["value"], F.lit(None)))
+    piece = F.when(F.col("category").isNotNull(), F.array(row(F.col("category"), F.lit(1), F.lit(None)))).otherwise(F.array().cast("array<struct<category:string,hits:int,text:string,nth:int>>"))
+    exif = F.when((F.col("category") == "exif") & (F.col("format") != "webp"), F.substring("data", F.when(F.col("format") == "jpeg", 5).otherwise(9), F.octet_length("data")))
+    found = parts.select(F.col("file.path").alias("path"), "kind", "format", F.col("part_seq").alias("ord"), "entry", "part_name", exif.alias("content"), F.explode(F.concat(told, counted, piece)).alias("x")).select("*", "x.*").drop("x")
+    found = images.gps_of(found).withColumn("position", texts.gps_text(F.col("lat"), F.col("lat_ref"), F.col("lon"), F.col("lon_ref")))
+    return found.drop("lat", "lat_ref", "lon", "lon_ref", "identity")
+
+
+def removed_lists(found: DataFrame) -> DataFrame:
+    """(path, removed, place) from findings, for each path with one: texts that stand in parts once each, in order; then counts by category,
+    an image in an archive as one, whatever it lost; and the first position."""
+    key, nested = ["path", "kind"], F.col("format").isNotNull() & (F.col("kind") != "image")
+    category, one = F.when(nested, F.lit("images")).otherwise(F.col("category")), F.when(nested, F.col("entry"))
+    each = found.groupBy(*key, category.alias("category"), "text", one.alias("one")).agg(F.min(F.struct("ord", "nth")).alias("ord"), F.sum("hits").alias("n"), F.max(F.when(F.col("kind") == "image", F.col("format"))).alias("format"), F.min(F.when(F.col("position").isNotNull(), F.struct("ord", "position"))).alias("at"))
+    each = each.groupBy(*key, "category", "text").agg(F.min("ord").alias("ord"), F.sum(F.when(F.col("one").isNotNull(), 1).otherwise(F.col("n"))).cast("int").alias("n"), F.max("format").alias("format"), F.min("at").alias("at"))
+    inline = F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text")))), lambda x: x["text"])
+    counts = F.map_from_entries(F.collect_list(F.when(F.col("text").isNull(), F.struct("category", "n"))))
+    rows = each.groupBy(*key).agg(inline.alias("inline"), counts.alias("counts"), F.max("format").alias("format"), F.min("at")["position"].alias("place"))
+    return rows.select("path", _removed(("office", "odf", "svg", "image")).alias("removed"), F.when(F.col("kind") == "image", F.col("place")).alias("place"))
+
+
 #: Extensions of JPEG files.
 JPEG = (".jpg", ".jpeg", ".jpe", ".jfif")

@@ -499,16 +499,19 @@ def check_signature(spark, sf):
 
 
 def _exif(spark, sf) -> DataFrame:
-    """Big-endian TIFF structures: maker, GPS directory with latitude and longitude from doc_id."""
+    return _docs(spark, sf).select("doc_id", _tiff(F.col("doc_id")).alias("content"))
+
+
+def _tiff(d: F.Column) -> F.Column:
+    """Big-endian TIFF structures: maker, GPS directory with latitude and longitude from d."""
     n = lambda c: F.lpad(F.hex(c), 8, "0")
     one = lambda c: F.concat(n(c.cast("long")), F.lit("00000001"))
-    d = F.col("doc_id")
     head = F.lit("4D4D002A00000008" + "0002" + "010F000200000002" + "41000000" + "8825000400000001" + "00000026" + "00000000")
     where = F.lit("0004" + "0001000200000002" + "53000000" + "0002000500000003" + "0000005C" + "0003000200000002" + "45000000" + "0004000500000003" + "00000074" + "00000000")
     pad = F.lit("")
     lat = F.concat(one(d % 90), one(d % 60), n(d % 120), F.lit("00000002"))
     lon = F.concat(one(d % 180), one(d % 59), n(d % 118), F.lit("00000002"))
-    return _docs(spark, sf).select("doc_id", F.unhex(F.concat(head, where, pad, lat, lon)).alias("content"))
+    return F.unhex(F.concat(head, where, pad, lat, lon))
 
 
 @query("gps_parse", "select doc_id, (doc_id % 90)::double as lat_d, (doc_id % 60)::double as lat_m, (doc_id % 120) / 2.0 as lat_s, 'S' as lat_ref, (doc_id % 180)::double as lon_d, (doc_id % 59)::double as lon_m, (doc_id % 118) / 2.0 as lon_s, 'E' as lon_ref from documents")
@@ -607,9 +610,12 @@ def agg_findings(spark, sf):
     return reports.findings(_found(spark, sf), "doc_id")
 
 
-@query("agg_removed_list", f"select doc_id, string_agg(text, ', ' order by ord) as removed from (select doc_id, text, min(ord) as ord from ({_FOUND}) group by all) group by doc_id")
+@query("agg_removed_list", f"select doc_id, {_OFFICE_TOLD} as removed from documents")
 def agg_removed_list(spark, sf):
-    return reports.removed_list(_found(spark, sf), "doc_id").select("doc_id", F.array_join("removed", ", ").alias("removed"))
+    """From the findings in the parts of every archive; clean_office has the same list from the cleaning itself."""
+    files = _packed_parts(_ooxml(spark, sf)).select(F.concat("doc_id", F.lit(".docx")).alias("path"), "content")
+    told = clean.removed_lists(clean.findings(files))
+    return told.select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), F.array_join("removed", "; ").alias("removed"))
 
 
 @query("findings_all", f"select doc_id, category, n from (select doc_id, category, sum(hits)::bigint as n from ({_FOUND}) group by all union all select doc_id, category, count(*) as n from ({_rules_sql(packages.ODF, ODF)}) where category is not null group by all)")
@@ -639,9 +645,52 @@ def agg_saving_pct(spark, sf):
     return reports.saving(_results(spark, sf)).select("doc_id", "saved", "pct")
 
 
-@query("agg_first_gps", f"select doc_id, min_by(part_name, part_seq) as first_gps from {OOXML} where part_seq % 5 = doc_id % 5 group by doc_id")
+def _jpeg_with_gps(text: F.Column, d: F.Column) -> F.Column:
+    """A JPEG with the whole text in comments, an Exif segment without a position, and one for d and for d + 1."""
+    whole = _jpeg(text, True)
+    seg = lambda body: F.concat(F.unhex(F.lit("FFE1")), F.unhex(F.lpad(F.hex(F.octet_length(body) + 8), 4, "0")), F.unhex(F.lit("457869660000")), body)
+    bare = F.unhex(F.lit("4D4D002A0000000800000000"))
+    return F.concat(F.substring(whole, 1, 11), seg(bare), seg(_tiff(d)), seg(_tiff(d + 1)), F.substring(whole, 12, F.octet_length(whole)))
+
+
+_GPS_SQL = "(doc_id % 90) || '°' || (doc_id % 60) || '''' || printf('%.0f', round_even((doc_id % 120) / 2.0, 0)) || '\"S, ' || (doc_id % 180) || '°' || (doc_id % 59) || '''' || printf('%.0f', round_even((doc_id % 118) / 2.0, 0)) || '\"E'"
+
+
+@query("agg_first_gps", f"select doc_id, {_GPS_SQL} as first_gps from documents")
 def agg_first_gps(spark, sf):
-    return _ooxml(spark, sf).filter("part_seq % 5 = doc_id % 5").groupBy("doc_id").agg(F.min_by("part_name", "part_seq").alias("first_gps"))
+    """The first position of each file, read from its own bytes."""
+    files = _docs(spark, sf).select(F.concat("doc_id", F.lit(".jpg")).alias("path"), _jpeg_with_gps(F.col("text"), F.col("doc_id")).alias("content"))
+    return clean.removed_lists(clean.findings(files)).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), F.col("place").alias("first_gps"))
+
+
+_MIXED = {0: ".docx", 1: ".odt", 2: ".jpg", 3: ".png", 4: ".webp", 5: ".svg", 6: ".txt"}
+
+
+@query("clean_files", f"""with mixed as (
+    select doc_id, digest, status, removed, null as error, null as place from ({ORACLES["clean_office"]}) where doc_id % 7 = 0
+    union all select doc_id, digest, status, removed, null, null from ({ORACLES["clean_odf"]}) where doc_id % 7 = 1
+    union all select doc_id, md5({D_JPEG}), 'ok', 'EXIF metadata; GPS location (' || {_GPS_SQL} || '); embedded comment; Photoshop metadata (layers/paths/IPTC)', null, {_GPS_SQL} from documents where doc_id % 7 = 2
+    union all select doc_id, null, 'ok', '1 text chunk(s); modification timestamp; 1 unknown chunk(s)', null, null from documents where doc_id % 7 = 3
+    union all select doc_id, md5({D_WEBP}), 'ok', 'EXIF metadata; XMP metadata', null, null from documents where doc_id % 7 = 4
+    union all select doc_id, clean, status, replace(replace(removed, 'block, ', 'block; '), '(s), ', '(s); '), null, null from ({ORACLES["clean_svg"]}) where doc_id % 7 = 5
+    union all select doc_id, null, 'skipped', '', 'unsupported file type: .txt', null from documents where doc_id % 7 = 6)
+  select doc_id, digest, status, removed, error, place from mixed""")
+def clean_files(spark, sf):
+    """A mixed folder in one pass; of PNG the bytes are compared by png_strip, as DuckDB has no checksum of chunks."""
+    kind = F.col("doc_id") % 7
+    text, d = F.col("text"), F.col("doc_id")
+    ext = F.element_at(F.create_map(*[F.lit(x) for pair in _MIXED.items() for x in pair]), kind.cast("int"))
+    path = F.concat(d, ext).alias("path")
+    made = F.when(kind == 2, _jpeg_with_gps(text, d)).when(kind == 3, _png(text, True)).when(kind == 4, _webp(text, True)).otherwise(F.encode(text, "UTF-8"))
+    files = _docs(spark, sf).filter(kind.isin(2, 3, 4, 6)).select(path, made.alias("content"))
+    files = files.unionByName(_svgs(spark, sf).filter(kind == 5).select(path, F.encode("svg", "UTF-8").alias("content")))
+    for k, parts in ((0, _ooxml(spark, sf)), (1, _odf(spark, sf))):
+        files = files.unionByName(_packed_parts(parts.filter(kind == k)).select(path, "content"))
+    at = _scratch(spark)
+    clean.clean_files(files).withColumn("doc_id", F.substring_index("path", ".", 1).cast("long")).write.parquet(at)
+    done = spark.read.parquet(at)
+    digest = _parts_digest(done.filter("doc_id % 7 < 2")).select("doc_id", "digest").unionByName(done.filter("doc_id % 7 >= 2").select("doc_id", F.when((kind != 3), F.md5("new_content")).alias("digest")))
+    return done.select("doc_id", "status", F.array_join("removed", "; ").alias("removed"), "error", "place").join(digest, "doc_id")
 
 
 @query("agg_progress", f"select count(*) filter (where status in ('ok', 'clean')) as done, count(*) filter (where status not in ('ok', 'clean')) as pending from {D_RESULTS}")

@@ -136,3 +136,50 @@ def test_report_files(spark, tmp_path):
     assert len(list((tmp_path / "one").glob("part-*"))) == 1
     with pytest.raises(ValueError, match="at most"):
         files.write_report(lines, str(tmp_path / "two"), one_file=True, most=3)
+
+
+def mixed():
+    office = packed(("docProps/core.xml", b"<dc:creator>J</dc:creator>"), ("word/document.xml", b'<w:p w:rsidR="1"/>'), ("word/comments.xml", b"c"), ("word/media/i.jpg", DIRTY), ("word/media/j.jpg", DIRTY), ("word/vbaProject.bin", b"v"))
+    odf = packed(("mimetype", b"m"), ("meta.xml", b"<dc:creator>J</dc:creator>"), ("Pictures/i.jpg", DIRTY), ("Basic/x", b"s"))
+    return [("a.docx", office), ("b.odt", odf), ("c.jpg", DIRTY), ("d.svg", b"<svg><!-- me --><metadata>x</metadata></svg>"), ("e.txt", b"x"), ("f.png", b"no"), ("g.docx", b"no"), ("h.jpeg", PLAIN)]
+
+
+def test_one_pass(spark):
+    """A mixed folder: one scan and two helpers, no shuffle; the findings give the same lists as the cleaning."""
+    table = spark.createDataFrame([(p, bytearray(c)) for p, c in mixed()], "path string, content binary")
+    done = clean.clean_files(table)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Scan") == 1 and "Exchange" not in plan
+    got = {r.path: r for r in done.collect()}
+    lists = {r.path: (r.removed, r.place) for r in clean.removed_lists(clean.findings(table)).collect()}
+    assert {p: (r.removed, r.place) for p, r in got.items() if r.removed} == lists and len(lists) == 4
+    assert got["a.docx"].removed == ["document properties (creator)", "document comments", "VBA macro project removed", "1 edit-session ID(s) removed (rsid)", "metadata in 2 embedded image(s)"]
+    assert dict(unpacked(got["b.odt"].new_content))["Pictures/i.jpg"] == DIRTY and got["c.jpg"].place == "31°57'0\"S, 115°51'2\"E"
+    assert [got[p].status for p in ("e.txt", "f.png", "g.docx", "h.jpeg")] == ["skipped", "error", "error", "clean"]
+
+
+def test_options_by_file(spark):
+    """Equal bytes with different options come out differently, in one pass."""
+    icc = SEG("FFE2", b"ICC_PROFILE\0x")
+    image, macros = PLAIN[:2] + icc + PLAIN[2:], packed(("word/vbaProject.bin", b"v"))
+    rows = [(f"{i}.{e}", bytearray(c), o) for e, c in (("jpg", image), ("docx", macros)) for i, o in enumerate([(True, False), (False, True), (None, None), None])]
+    table = spark.createDataFrame(rows, "path string, content binary, options struct<strip_icc:boolean,remove_scripts:boolean>")
+    got = {r.path: r for r in clean.clean_files(table).collect()}
+    assert [bytes(got[f"{i}.jpg"].new_content) == PLAIN for i in range(4)] == [True, False, False, False]
+    assert [got[f"{i}.docx"].removed for i in range(4)] == [[], *[["VBA macro project removed"]] * 3]
+    own = table.withColumn("options", texts.options(table["path"]))  # no JSON: the defaults
+    assert clean.clean_files(own).filter("path = '0.jpg'").first().status == "clean"
+
+
+def test_folder_to_folder(spark, tmp_path):
+    """Files of any names in, cleaned copies under their names out, originals as they were."""
+    for name, content in [*mixed(), (".hidden/_k.jpg", DIRTY)]:
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(content)
+    root = str(tmp_path / "in")
+    table = files.read(files.walk(spark, root)).withColumnRenamed("error", "read_error")
+    done = clean.clean_files(table).cache()
+    named = reports.name_outputs(done.select("path", "status"), spark.createDataFrame([], "path string"), out_dir=str(tmp_path / "out"))
+    assert files.write_copies(done.filter("status in ('ok', 'clean')").join(named.select("path", "dst"), "path").select("dst", done["new_content"].alias("content")), str(tmp_path / "out")) == 6
+    assert (tmp_path / "out/c_clean.jpg").read_bytes() == PLAIN == (tmp_path / "out/_k_clean.jpg").read_bytes()
+    assert all((tmp_path / "in" / name).read_bytes() == content for name, content in mixed())

@@ -19,9 +19,10 @@ PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 PNG_KEEP = ("tRNS", "gAMA", "cHRM", "sRGB", "bKGD", "hIST", "sPLT", "sBIT", "pHYs")
 #: VP8X flag bits of dropped WebP chunks.
 WEBP_FLAGS = {"EXIF": 0x08, "XMP ": 0x10, "ICCP": 0x02}
-#: Tags of a TIFF structure that name a person, device, place or time; bytes of a value by type.
+#: Tags of a TIFF structure that hold places of other directories; those that name a person, device, place or time; bytes of a value by type.
+DIRECTORY_TAGS = {0x014A: "sub", 0x8769: "exif", 0x8825: "gps", 0xA005: "interop"}
 IDENTITY_TAGS = {271, 272, 305, 306, 315, 33432, 34855, 36867, 36868, 42036, 42037, 37377, 37378, 37380, 37382, 37383, 37385}
-TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
+TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8, 13: 4}
 #: Report texts in order, by format; a category without one is not told.
 TOLD = {
     "jpeg": [("exif", "EXIF metadata"), ("gps", "GPS location ({})"), ("xmp", "XMP metadata"), ("icc", "ICC color profile"), ("comment", "embedded comment"), ("photoshop", "Photoshop metadata (layers/paths/IPTC)"), ("other", "{} other embedded block(s)")],
@@ -186,6 +187,30 @@ def exif(blob: bytes) -> tuple[dict, dict, str] | None:
     return main, ifd(data, int.from_bytes(raw, order), order) if (kind, count) == (4, 1) else {}, order
 
 
+def directories(blob: bytes) -> Iterator[tuple[str, int, int, int, bytes]]:
+    """(directory, tag, type, count, value) of all directories of a TIFF structure: page after page (``0``, ``1``, ...), and below each those
+    that its tags name (``0/exif``, ``1/sub0``). Each place is read once, so a chain that leads back to itself ends."""
+    data = blob[6:] if blob[:6] == b"Exif\0\0" else blob
+    order = {b"II": "little", b"MM": "big"}.get(data[:2])
+    if len(data) < 8 or not order or int.from_bytes(data[2:4], order) != 42:
+        return
+    seen, page, at = set(), 0, int.from_bytes(data[4:8], order)
+    while at and at not in seen and at + 2 <= len(data):
+        waiting = [(str(page), at)]
+        while waiting:
+            name, here = waiting.pop(0)
+            if here in seen:
+                continue
+            seen.add(here)
+            for tag, (kind, count, raw) in ifd(data, here, order).items():
+                yield name, tag, kind, count, raw
+                if tag in DIRECTORY_TAGS and kind in (4, 13):
+                    below = [int.from_bytes(raw[k : k + 4], order) for k in range(0, len(raw) - 3, 4)]
+                    waiting += [(f"{name}/{DIRECTORY_TAGS[tag]}{k if tag == 0x014A else ''}", x) for k, x in enumerate(below)]
+        following = at + 2 + 12 * int.from_bytes(data[at : at + 2], order)
+        page, at = page + 1, int.from_bytes(data[following : following + 4], order)
+
+
 def gps(blob: bytes) -> dict | None:
     """lat and lon as three numbers each with their reference letters, or None on anything unexpected. Never raises."""
     found = exif(blob)
@@ -287,6 +312,22 @@ def gps_of(blobs: DataFrame) -> DataFrame:
     return _each(blobs, "lat array<double>, lat_ref string, lon array<double>, lon_ref string, identity boolean", [pa.list_(pa.float64()), pa.string(), pa.list_(pa.float64()), pa.string(), pa.bool_()], answer)
 
 
+def directory_rows(blobs: DataFrame) -> DataFrame:
+    """blobs with a row (directory, tag, type, n_values, value) for each entry of each TIFF directory instead of content; what is no TIFF
+    structure has none."""
+
+    def answer(content: bytes | None):
+        yield from directories(content or b"")
+
+    return _each(blobs, "directory string, tag int, type int, n_values long, value binary", [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()], answer)
+
+
+def identity(rows: DataFrame) -> DataFrame:
+    """The rows whose tags name a person, device, place or time, in whatever directory; GPS directories have tags of their own."""
+    tags = rows.sparkSession.createDataFrame([(t,) for t in sorted(IDENTITY_TAGS)], "tag int")  # a fixed few
+    return rows.filter(~F.col("directory").endswith("/gps")).join(F.broadcast(tags), "tag", "left_semi")
+
+
 def signature(content: F.Column, kind: str) -> F.Column:
     """Whether the bytes start as a file of the kind."""
     head = F.hex(F.substring(content, 1, 12))

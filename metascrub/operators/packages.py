@@ -59,15 +59,21 @@ def first(rules: list[Rule], pick: str, rest: str, macros: str = "true") -> str:
     return "case " + " ".join(f"when {test(r)} then '{getattr(r, pick)}'" for r in rules) + f" else {rest} end"
 
 
-def first_match(parts: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
-    """The same by a table of rules (prefix, priority, action): the least priority whose prefix the name starts with.
-    The rule table is small by contract: at most a few thousand rows, checked."""
-    if rules.count() > 5000:
-        raise ValueError("rule tables have 5000 rows at most")
-    low = F.lower("part_name")
-    found = parts.join(F.broadcast(rules), F.startswith(low, F.col("prefix")), "left")
-    order = Window.partitionBy(*key).orderBy(F.col("priority").asc_nulls_last())
-    return found.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k", "prefix", "priority").withColumn("action", F.coalesce("action", F.lit("keep")))
+def first_match(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """parts with action by a table of rules (prefix, priority, action): of all rules whose prefix the lower-cased name starts with the
+    one of least priority, then action; a null priority comes last, and without a rule a part is kept.
+
+    The rules are an index by prefix length: of each prefix the best rule, and for each length that occurs one look-up of the name's
+    first characters in a hash table, with the best one kept on the way. The look-ups are equality joins, so Spark sends a
+    small rule table to all tasks and deals a large one; parts are not sorted, grouped or multiplied."""
+    best = rules.groupBy("prefix").agg(F.min(F.struct(F.col("priority").isNull().alias("last"), "priority", "action")).alias("_rule"))
+    lengths = sorted(r[0] for r in rules.filter("prefix is not null").select(F.char_length("prefix")).distinct().collect())  # as many as names have characters at most
+    found = parts.withColumn("_low", F.lower("part_name"))
+    for n in lengths:
+        own = best.filter(F.char_length("prefix") == n).select(F.col("prefix").alias(f"_p{n}"), F.col("_rule").alias(f"_r{n}"))
+        found = found.join(own, F.left("_low", F.lit(n)) == F.col(f"_p{n}"), "left")
+    picked = F.least(*[F.col(f"_r{n}") for n in lengths]) if len(lengths) > 1 else F.col(f"_r{lengths[0]}") if lengths else F.struct(F.lit(None).cast("string").alias("action"))
+    return found.select(*[c for c in parts.columns if c != "action"], F.coalesce(picked["action"], F.lit("keep")).alias("action"))
 
 
 def rewrite_ooxml(parts: DataFrame, remove_scripts: bool | Column = True) -> DataFrame:

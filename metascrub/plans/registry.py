@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metascrub.functions import paths, texts
-from metascrub.operators import archives, clean, images, packages, pdf_entries, reports
+from metascrub.operators import archives, clean, images, packages, pdf_entries, pdf_objects, reports
 from metascrub.operators import rewrite as rw
 from metascrub.sources import files as fs
 from metascrub.sources import fixtures as fx
@@ -338,7 +338,7 @@ def zip_duplicate_names(spark, sf):
 @query("rules_first_match", f"select doc_id, part_seq, part_name, case when starts_with(lower(part_name), 'word/vba') then 'drop' when starts_with(lower(part_name), 'word/') then 'rewrite' else 'keep' end as action from {OOXML}")
 def rules_first_match(spark, sf):
     rules = spark.createDataFrame([("word/", 2, "rewrite"), ("word/vba", 1, "drop"), ("word/media/", 3, "strip")], "prefix string, priority int, action string")
-    return packages.first_match(_ooxml(spark, sf).drop("data"), rules, ["doc_id", "part_seq"])
+    return packages.first_match(_ooxml(spark, sf).drop("data"), rules)
 
 
 @query("sink_zip_normalized", f"select doc_id, count(*) filter (where right(part_name, 1) <> '/') as n_parts, md5(string_agg(part_name || data, '' order by part_seq) filter (where right(part_name, 1) <> '/')) as digest from {OOXML} group by doc_id")
@@ -527,10 +527,21 @@ def gps_format(spark, sf):
     return g.select("doc_id", texts.gps_text(F.col("lat"), F.col("lat_ref"), F.col("lon"), F.col("lon_ref")).alias("gps"))
 
 
-@query("tiff_identity_audit", "select doc_id, doc_id % 2 = 0 as identity from documents")
+_TIFF_TEXT = "octet_length(encode(text)) + 1"
+
+
+@query("tiff_identity_audit", f"""select doc_id, directory, tag, n_values, digest from (
+    select doc_id, '0' as directory, 271 as tag, 2 as n_values, md5(unhex('4100')) as digest from documents where doc_id % 3 = 0
+    union all select doc_id, '1', 315, {_TIFF_TEXT}, md5(encode(text) || unhex('00')) from documents where doc_id % 3 <> 2)""")
 def tiff_identity_audit(spark, sf):
-    made = _exif(spark, sf).withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise(F.unhex(F.lit("4D4D002A0000000800000000"))))
-    return images.gps_of(made).select("doc_id", "identity")
+    """TIFF files of two pages whose chain leads back to the first one: the whole text is the artist of the second page."""
+    n = lambda c: F.lpad(F.hex(c), 8, "0")
+    d, body = F.col("doc_id"), F.encode("text", "UTF-8")
+    first = F.when(d % 3 == 0, F.lit("010F00020000000241000000")).otherwise(F.lit("010000030000000100010000"))  # maker, or a width
+    second = F.when(d % 3 == 2, F.lit("010000030000000100010000")).otherwise(F.concat(F.lit("013B0002"), n(F.octet_length(body) + 1), F.lit("0000002C")))
+    pages = F.concat(F.lit("4D4D002A00000008" + "0001"), first, F.lit("0000001A" + "0001"), second, F.lit("00000008"))
+    made = _docs(spark, sf).select("doc_id", F.concat(F.unhex(pages), body, F.unhex(F.lit("00"))).alias("content"))
+    return images.identity(images.directory_rows(made)).select("doc_id", "directory", "tag", "n_values", F.md5("value").alias("digest"))
 
 
 @query("ooxml_media", f"select doc_id, md5({D_JPEG}) as digest, 1 as n from documents")
@@ -578,6 +589,34 @@ def pdf_subtree_drop(spark, sf):
     return pdf_entries.drop_subtrees(rows, pdf_entries.removals(rows, ["doc_id"]), ["doc_id"]).select("doc_id", "node", "value")
 
 
+#: (object, key, target) of one PDF: a page tree with ways back, an action chain that is a ring, a font and a stream that several hold.
+_OBJECTS = [
+    (1, "/Pages", 2), (2, "/Kids/0", 3), (2, "/Kids/1", 4), (3, "/Parent", 2), (4, "/Parent", 2), (3, "/A", 5), (5, "/Next", 6), (6, "/Next", 5), (3, "/Font", 7), (5, "/F", 7), (4, "/OpenAction", 8), (8, "/D", 9), (1, "/Metadata", 10),
+    (9, "/Metadata", 11), (11, "/Length", 12), (7, "/Length", 12), (6, "/Names", 13), (13, "/JS", 14), (4, "/Annots/0", 15), (15, "/AA/E", 5), (15, "/Popup", 4),
+]
+
+
+def _objects_sql(engine: str) -> str:
+    o, k, t = (", ".join(repr(x[i]) for x in _OBJECTS) for i in range(3))
+    if engine == "spark":
+        src = f"select doc_id, source, i, obj, array({k})[i] as key, array({t})[i] as target from (select *, posexplode(array({o})) as (i, obj) from documents)"
+    else:
+        src = f"select doc_id, source, unnest(range({len(_OBJECTS)}))::int as i, unnest([{o}]) as obj, unnest([{k}]) as key, unnest([{t}]) as target from documents"
+    return f"select doc_id, obj, key, target from ({src}) where (doc_id + i) % 11 <> 0 or length(source) % 2 = 0"
+
+
+@query("pdf_objects_kept", f"""with recursive e as ({_objects_sql('duckdb')}), good as (
+    select * from e where key not in ('/Metadata', '/PieceInfo', '/JS', '/JavaScript') and not ((key in ('/A', '/OpenAction') or starts_with(key, '/AA')) and target = 5)),
+  r as (select distinct doc_id, 1 as obj from documents union select g.doc_id, g.target from r join good g on g.doc_id = r.doc_id and g.obj = r.obj)
+  select doc_id, obj from r""")
+def pdf_objects_kept(spark, sf):
+    """Object 5 is a script, object 8 is none."""
+    edges = fx.table(spark, sf, _objects_sql("spark"))
+    roots = _docs(spark, sf).select("doc_id", F.lit(1).alias("obj"))
+    gone = edges.filter(F.col("key").isin(pdf_objects.GONE)).unionByName(pdf_objects.code_actions(edges, _docs(spark, sf).select("doc_id", F.lit(5).alias("obj")), ["doc_id"]))
+    return pdf_objects.kept(edges, roots, gone, ["doc_id"]).select("doc_id", "obj")
+
+
 # --- results, findings, counts
 
 @query("join_results", f"select r.path, r.status, i.details from {D_RESULTS} r join (select path, 'd' || doc_id as details from {D_RESULTS} where doc_id % 3 <> 0) i on r.path = i.path")
@@ -666,6 +705,20 @@ def agg_first_gps(spark, sf):
 _MIXED = {0: ".docx", 1: ".odt", 2: ".jpg", 3: ".png", 4: ".webp", 5: ".svg", 6: ".txt"}
 
 
+def _mixed_files(spark, sf) -> DataFrame:
+    """(path, content): a file of each document, of seven formats."""
+    kind = F.col("doc_id") % 7
+    text, d = F.col("text"), F.col("doc_id")
+    ext = F.element_at(F.create_map(*[F.lit(x) for pair in _MIXED.items() for x in pair]), kind.cast("int"))
+    path = F.concat(d, ext).alias("path")
+    made = F.when(kind == 2, _jpeg_with_gps(text, d)).when(kind == 3, _png(text, True)).when(kind == 4, _webp(text, True)).otherwise(F.encode(text, "UTF-8"))
+    files = _docs(spark, sf).filter(kind.isin(2, 3, 4, 6)).select(path, made.alias("content"))
+    files = files.unionByName(_svgs(spark, sf).filter(kind == 5).select(path, F.encode("svg", "UTF-8").alias("content")))
+    for k, parts in ((0, _ooxml(spark, sf)), (1, _odf(spark, sf))):
+        files = files.unionByName(_packed_parts(parts.filter(kind == k)).select(path, "content"))
+    return files
+
+
 @query("clean_files", f"""with mixed as (
     select doc_id, digest, status, removed, null as error, null as place from ({ORACLES["clean_office"]}) where doc_id % 7 = 0
     union all select doc_id, digest, status, removed, null, null from ({ORACLES["clean_odf"]}) where doc_id % 7 = 1
@@ -677,19 +730,10 @@ _MIXED = {0: ".docx", 1: ".odt", 2: ".jpg", 3: ".png", 4: ".webp", 5: ".svg", 6:
   select doc_id, digest, status, removed, error, place from mixed""")
 def clean_files(spark, sf):
     """A mixed folder in one pass; of PNG the bytes are compared by png_strip, as DuckDB has no checksum of chunks."""
-    kind = F.col("doc_id") % 7
-    text, d = F.col("text"), F.col("doc_id")
-    ext = F.element_at(F.create_map(*[F.lit(x) for pair in _MIXED.items() for x in pair]), kind.cast("int"))
-    path = F.concat(d, ext).alias("path")
-    made = F.when(kind == 2, _jpeg_with_gps(text, d)).when(kind == 3, _png(text, True)).when(kind == 4, _webp(text, True)).otherwise(F.encode(text, "UTF-8"))
-    files = _docs(spark, sf).filter(kind.isin(2, 3, 4, 6)).select(path, made.alias("content"))
-    files = files.unionByName(_svgs(spark, sf).filter(kind == 5).select(path, F.encode("svg", "UTF-8").alias("content")))
-    for k, parts in ((0, _ooxml(spark, sf)), (1, _odf(spark, sf))):
-        files = files.unionByName(_packed_parts(parts.filter(kind == k)).select(path, "content"))
     at = _scratch(spark)
-    clean.clean_files(files).withColumn("doc_id", F.substring_index("path", ".", 1).cast("long")).write.parquet(at)
+    clean.clean_files(_mixed_files(spark, sf)).withColumn("doc_id", F.substring_index("path", ".", 1).cast("long")).write.parquet(at)
     done = spark.read.parquet(at)
-    digest = _parts_digest(done.filter("doc_id % 7 < 2")).select("doc_id", "digest").unionByName(done.filter("doc_id % 7 >= 2").select("doc_id", F.when((kind != 3), F.md5("new_content")).alias("digest")))
+    digest = _parts_digest(done.filter("doc_id % 7 < 2")).select("doc_id", "digest").unionByName(done.filter("doc_id % 7 >= 2").select("doc_id", F.when(F.col("doc_id") % 7 != 3, F.md5("new_content")).alias("digest")))
     return done.select("doc_id", "status", F.array_join("removed", "; ").alias("removed"), "error", "place").join(digest, "doc_id")
 
 
@@ -791,6 +835,41 @@ def stream_status_counts(spark, sf):
     return spark.read.parquet(f"{at}/out")
 
 
+@query("stream_clean", f"select doc_id, status, removed, error, case when status = 'ok' then doc_id || '_clean' || ['.docx', '.odt', '.jpg', '.png', '.webp', '.svg', '.txt'][doc_id % 7 + 1] end as dst from ({ORACLES['clean_files']})")
+def stream_clean(spark, sf):
+    """The drop box over real files of all formats, in several batches."""
+    at = _scratch(spark)
+    fs.write_copies(_mixed_files(spark, sf).select(F.col("path").alias("dst"), "content"), f"{at}/in")
+    box = dropbox.DropBox(spark, f"{at}/out", f"{at}/book")
+    box.start(f"{at}/in", f"{at}/log", per_trigger=2000).awaitTermination()
+    told = box.reports().select(paths.base(F.col("path")).alias("name"), "status", F.array_join("removed", "; ").alias("removed"), "error", paths.base(F.col("dst")).alias("dst"))
+    return told.select(F.substring_index("name", ".", 1).cast("long").alias("doc_id"), "status", "removed", "error", "dst")
+
+
+_EVENTS = " union all ".join(
+    f"select source || '/' || doc_id as path, cast({at} as bigint) as seen, {event} as event, cast({attempt} as int) as attempt, {status} as status from documents where {where}"
+    for at, event, attempt, status, where in [
+        ("0", "'add'", "null", "cast(null as varchar(9))", "true"), ("1", "'start'", "0", "cast(null as varchar(9))", "doc_id % 5 > 0"), ("2", "'finish'", "0", "case when n_chars % 2 = 0 then 'ok' else 'error' end", "doc_id % 5 > 1"),
+        ("2 + n_chars % 3", "case doc_id % 4 when 0 then 'retry' when 1 then 'reclean' else 'clear' end", "null", "cast(null as varchar(9))", "doc_id % 3 > 0"), ("5", "'start'", "1", "cast(null as varchar(9))", "doc_id % 7 = 3"), ("6", "'finish'", "1", "'ok'", "doc_id % 14 = 3"),
+    ]
+)
+_COMMAND = "event in ('retry', 'reclean', 'clear')"
+
+
+@query("stream_requeue", f"""with g as (select path, max(attempt) filter (event = 'start') as started, max(attempt) filter (event = 'finish') as fa, arg_max(seen, attempt) filter (event = 'finish') as fat, arg_max(status, attempt) filter (event = 'finish') as status,
+    max(seen) filter ({_COMMAND}) as ca, arg_max(event, seen) filter ({_COMMAND}) as c from ({_EVENTS}) group by path)
+  select path, status, case when started > coalesce(fa, -1) then 'working' when ca > coalesce(fat, -1) then (case c when 'clear' then 'cleared' else 'pending' end) when fa is not null then 'done' else 'pending' end as state,
+    (case when started > coalesce(fa, -1) then started when ca > coalesce(fat, -1) and c <> 'clear' then coalesce(fa + 1, 0) else coalesce(fa, 0) end)::int as attempt from g""")
+def stream_requeue(spark, sf):
+    """A log that is out of order and in part told twice, in three batches."""
+    at = _scratch(spark)
+    log = fx.table(spark, sf, _EVENTS).withColumnRenamed("seen", "at")
+    log = log.unionByName(log.filter(F.crc32(F.col("path").cast("binary")) % 3 == 0))
+    log.repartition(3, F.xxhash64("path", "at", "event")).write.parquet(f"{at}/in")
+    dropbox.start_requeue(dropbox.arrivals(spark, f"{at}/in", log.schema, "parquet", 1), f"{at}/out", f"{at}/log").awaitTermination()
+    return dropbox.queued(spark, f"{at}/out")
+
+
 @query("reclean_queue", f"select path, attempt + 1 as attempt from {D_RESULTS} where doc_id % 4 in (1, 2)")
 def reclean_queue(spark, sf):
     r = _results(spark, sf)

@@ -121,3 +121,68 @@ def test_discover_and_sinks(spark, tmp_path):
     files.write_report(reports.report_lines(spark.createDataFrame([("a/x.png", "ok", None)], "path string, status string, details string")), str(tmp_path / "report"))
     lines = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
     assert "  x.png" in lines and "Total files: 1   (ok: 1)" in lines
+
+
+def tiff(*pages, order="MM", loop=None):
+    """Pages as lists of (tag, type, count, value or place); values of over four bytes stand behind the directories."""
+    e = {"II": "<", "MM": ">"}[order]
+    sizes = [2 + 12 * len(p) + 4 for p in pages]
+    starts = [8 + sum(sizes[:k]) for k in range(len(pages))]
+    out = order.encode() + struct.pack(e + "HI", 42, 8)
+    for k, p in enumerate(pages):
+        out += struct.pack(e + "H", len(p)) + b"".join(struct.pack(e + "HHI", *x[:3]) + x[3] for x in p)
+        out += struct.pack(e + "I", starts[k + 1] if k + 1 < len(pages) else starts[loop] if loop is not None else 0)
+    return out
+
+
+@pytest.mark.parametrize("order", ["II", "MM"])
+def test_tiff_directories(spark, order):
+    """Tags of the second page and of directories below are found; chains and directories that lead back end."""
+    e = {"II": "<", "MM": ">"}[order]
+    n = lambda v: struct.pack(e + "I", v)
+    plain = (256, 3, 1, b"\0\1\0\0")
+    two = tiff([plain], [(315, 2, 2, b"J\0\0\0")], order=order, loop=0)
+    sub = tiff([plain, (0x014A, 4, 1, n(8 + 2 + 24 + 4 + 2 + 12 + 4)), ][:2], [(305, 2, 2, b"S\0\0\0")], order=order)
+    sub += struct.pack(e + "H", 2) + struct.pack(e + "HHI", 306, 2, 2) + b"D\0\0\0" + struct.pack(e + "HHI", 0x8769, 4, 1) + n(8) + n(0)
+    hostile = [b"", b"II*\0", two[:20], b"MM\0*\xff\xff\xff\xff", bytes(range(64))]
+    df = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate([two, sub, *hostile])], "k int, content binary")
+    rows = images.directory_rows(df)
+    got = {(r.k, r.directory, r.tag, bytes(r.value)) for r in images.identity(rows).collect()}
+    assert got == {(0, "1", 315, b"J\0"), (1, "1", 305, b"S\0"), (1, "0/sub0", 306, b"D\0")}
+    assert rows.filter("k = 0").count() == 2 and not rows.filter("k = 2 or k = 3").count()
+    for cut in range(len(sub)):
+        list(images.directories(sub[:cut]))
+    assert [x[0] for x in images.directories(gps_blob(order))] == ["0"] + ["0/gps"] * 4
+
+
+def test_rule_index(spark):
+    """Rule tables against trying each rule; the plan has no nested loop and no window."""
+    import random
+
+    from metascrub.operators import packages
+
+    r = random.Random(1)
+    word = lambda k: "".join(r.choice("ab/") for _ in range(k))
+    rules = [(word(r.randint(0, 6)), r.choice([None, 1, 2, 3]), r.choice(["drop", "keep", "strip"])) for _ in range(120)]
+    names = [(k, word(r.randint(0, 9)).upper()) for k in range(500)]
+    df = spark.createDataFrame(names, "k int, part_name string").unionByName(spark.createDataFrame([(500, None)], "k int, part_name string"))
+    for table in (rules, rules[:1], [], [("aa", 1, "drop")] * 2):
+        found = packages.first_match(df, spark.createDataFrame(table, "prefix string, priority int, action string"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Window" not in plan and "Cartesian" not in plan
+        want = {k: min(((p is None, p or 0, a) for x, p, a in table if n.lower().startswith(x)), default=(0, 0, "keep"))[2] for k, n in names} | {500: "keep"}
+        assert {x.k: x.action for x in found.collect()} == want
+
+
+def test_pdf_objects(spark):
+    """Rings end, shared objects stay, levels are least, and depth is bounded."""
+    from metascrub.operators import pdf_objects
+
+    edges = [(1, "/Pages", 2), (2, "/Kids", 3), (3, "/Parent", 2), (3, "/A", 4), (4, "/Next", 5), (5, "/Next", 4), (3, "/Font", 6), (4, "/F", 6), (1, "/Metadata", 7), (7, "/X", 8), (9, "/Y", 1), (3, "/Font", 6)]
+    df = spark.createDataFrame([("f", *x) for x in edges] + [("g", 1, "/Metadata", 2), ("h", 1, "/P", 1)], "path string, obj int, key string, target int")
+    roots = df.select("path").distinct().selectExpr("path", "1 as obj")
+    gone = df.filter("key = '/Metadata'").unionByName(pdf_objects.code_actions(df, spark.createDataFrame([("f", 4)], "path string, obj int"), ["path"]))
+    kept = {(r.path, r.obj): r.level for r in pdf_objects.kept(df, roots, gone, ["path"]).collect()}
+    assert kept == {("f", 1): 0, ("f", 2): 1, ("f", 3): 2, ("f", 6): 3, ("g", 1): 0, ("h", 1): 0}
+    chain = spark.createDataFrame([("c", k, "/N", k + 1) for k in range(1, 20)], "path string, obj int, key string, target int")
+    assert pdf_objects.reachable(chain, spark.createDataFrame([("c", 1)], "path string, obj int"), ["path"], 5).count() == 6

@@ -1,10 +1,12 @@
 """Secret scanning with a random forest that removes false positives; built-in functions and Spark ML alone.
 
-Candidates are private-key blocks, values in quotes that are assigned to a secret's name, whatever signs they are made of,
-such values without quotes if they hold a digit, and all runs of 12 or more key characters with a digit in them. Each is
-described by its length, the transitions between classes of its characters, how much of it common words of the corpus
-cover, the path it stands in (the source) and the words next to it. The forest is trained on labelled findings and keeps
-what it takes for a secret. ``weak_labels`` labels findings by strict rules where nobody has labelled any.
+Candidates are, whatever their length unless one is told here: private-key blocks from BEGIN to the END of the same label;
+behind a secret's name, with any blanks and an equals sign or colon, values in quotes of four characters or more (a quote
+behind a backslash belongs to the value) and values without quotes of four or more that hold a digit, or that follow an
+equals sign; passwords of four or more in ``scheme://user:password@host``; and all runs of 12 or more key characters with a
+digit in them. Each is described by its length, the transitions between classes of its characters, how much of it common
+words of the corpus cover, the path it stands in (the source) and the words next to it. The forest is trained on labelled
+findings and keeps what it takes for a secret. ``weak_labels`` labels findings by strict rules where nobody has labelled any.
 """
 
 from __future__ import annotations
@@ -22,36 +24,71 @@ CHARS = r"A-Za-z0-9_+/.\-"
 NEAR = 40  #: characters of the surroundings that are looked at
 COMMON = 400  #: words of the dictionary
 #: Names before a value that make it a secret, formats that are one by themselves, words of harmless values.
-NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "credential", "private_key")
-FORMATS = ("^AKIA[A-Z0-9]{16}$", "^gh[pousr]_[A-Za-z0-9]{36}$", "^xox[abprs]-[A-Za-z0-9-]{10,}$", "^glpat-[A-Za-z0-9_-]{20}$", "^-----BEGIN [A-Z ]*PRIVATE KEY-----")
+NAMES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "credential", "private_key")
+FORMATS = ("^AKIA[A-Z0-9]{16}$", "^gh[pousr]_[A-Za-z0-9]{36}$", "^xox[abprs]-[A-Za-z0-9-]{10,}$", "^glpat-[A-Za-z0-9_-]{20}$", "^-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----")
 HARMLESS = ("commit", "checksum", "digest", "uuid", "example", "placeholder", "revision", "version")
-#: Right behind an assignment to a secret's name. The looks at the last signs come first, as they are cheap.
-NAMED = rf"""(?<=(?i:{"|".join(NAMES)})["']?\s{{0,3}}[=:]\s{{0,3}}"""
-ASSIGNED = rf"""[=:](?<=(?i:{"|".join(NAMES)})["']?\s{{0,3}}[=:])|-----BEGIN [A-Z ]{{0,40}}PRIVATE"""  #: what TOKEN but RUN needs
+BEGIN = "-----BEGIN "
+#: What stands before a value: a name and its assignment, or a scheme and a user. Possessive, so that nothing is tried twice.
+NAMED = rf"""(?i:{"|".join(NAMES)})["']?+\s*+"""
+USER = r"""://[^\s/:@"'<>]*+:"""
+QUOTED = r"""[=:]\s*+(?:"(?:[^"\\\r\n]|\\[^\r\n]){4,}+|'(?:[^'\\\r\n]|\\[^\r\n]){4,}+)"""
+BARE = r"""(?:=\s*+[^\s"'<>,;]{4,}+|:\s*+(?=[^\s0-9"'<>,;]*+[0-9])[^\s"'<>,;]{4,}+)"""
+ASSIGNED = rf"(?:{NAMED}(?:{QUOTED}|{BARE})|{USER}[^\s/@\"'<>]{{4,}}+(?=@))"
+HEAD = rf"""^(?:{NAMED}[=:]\s*+["']?+|{USER})"""
 RUN = rf"(?<![{CHARS}])(?=[A-Za-z_+/.\-]*+[0-9])[{CHARS}]{{12,}}(?<![.\-])"
-TOKEN = "|".join([
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]++-(?!----)){0,50}+[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----",
-    '(?<=")' + NAMED + r"""")[^"\r\n]{6,}""", "(?<=')" + NAMED + r"""')[^'\r\n]{6,}""",
-    r"(?<=[=:\s])(?<=[=:]\s{0,3})" + NAMED + r""")(?=[^\s"'<>,;]*[0-9])[^\s"'<>,;]{6,}""", RUN,
-])
 MARK = "[REDACTED]"
 ROW = ("doc_id", "source", "text")  #: what candidates come from; rows alike in these have the same ones
 FOUND = ["row", "doc_id", "source", "n", "value", "score"]
 
 
-def _both(text: Column, apply) -> Column:
-    """apply(TOKEN) of texts with an assignment to a secret's name or a key block, apply(RUN) of the others, which is the same and quicker."""
-    return F.when(text.rlike(ASSIGNED), apply(TOKEN)).otherwise(apply(RUN))
+def _pairs(text: Column, pattern: str) -> tuple[Column, Column]:
+    """Gaps and matches: the text is gaps[0], matches[0], gaps[1], ... and a last gap."""
+    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+
+
+def _blocks(text: Column) -> Column:
+    """The text as pieces (gap, value), one behind the other, with each key block as a value; found by its marks, in one pass."""
+
+    def piece(part: Column, k: Column) -> Column:
+        label = F.substring_index(part, "-----", 1)
+        end = F.concat(F.lit("-----END "), label, F.lit("-----"))
+        at = F.instr(part, end)
+        size = at + F.char_length(end) - 1
+        block = (k > 0) & label.rlike("^[A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*$") & (at > 0)
+        whole = F.when(k > 0, F.concat(F.lit(BEGIN), part)).otherwise(part)
+        return F.when(block, F.struct(F.concat(F.lit(BEGIN), F.left(part, size)).alias("value"), F.substr(part, size + 1).alias("gap"))).otherwise(F.struct(F.lit(None).cast("string").alias("value"), whole.alias("gap")))
+
+    return F.when(F.contains(text, F.lit(BEGIN)), F.transform(F.split(text, BEGIN, -1), piece)).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("value"), text.alias("gap"))))
+
+
+def _named(piece: Column) -> Column:
+    """A piece as pieces (value, head, gap), one for each assigned value; head is the name that stands before the value."""
+    gaps, found = _pairs(piece["gap"], ASSIGNED)
+    head = lambda m: F.regexp_extract(m, HEAD, 0)
+    values = F.concat(F.array(F.struct(piece["value"].alias("value"), F.lit("").alias("head"))), F.transform(found, lambda m: F.struct(F.substr(m, F.char_length(head(m)) + 1).alias("value"), head(m).alias("head"))))
+    return F.zip_with(values, gaps, lambda v, g: F.struct(v["value"].alias("value"), v["head"].alias("head"), g.alias("gap")))
+
+
+def _runs(piece: Column) -> Column:
+    """A piece as pieces: each run of key characters in its gap is a value."""
+    gaps, found = _pairs(piece["gap"], RUN)
+    return F.zip_with(F.concat(F.array(piece["value"]), found), gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
 
 
 def has_candidate(text: Column) -> Column:
-    return F.coalesce(_both(text, lambda p: text.rlike(p)), F.lit(False))
+    """Whether a text may have one: all texts with candidates, and those with a key block's first mark."""
+    return F.coalesce(text.rlike(RUN) | text.contains(BEGIN) | (text.rlike("[=:]") & text.rlike(ASSIGNED)), F.lit(False))
 
 
 def _split(docs: DataFrame) -> DataFrame:
-    """docs with gaps and values: the text is gaps[0], values[0], gaps[1], ... and a last gap."""
+    """docs with gaps and values: the text is gaps[0], values[0], gaps[1], ... and a last gap; a null value is nothing."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"_gaps": _both(text, lambda p: F.split(text, p, -1)), "_values": _both(text, lambda p: F.regexp_extract_all(text, F.lit(f"({p})"), 1))})
+    named = F.when(text.rlike("[=:]"), F.flatten(F.transform("_p", _named))).otherwise(F.transform("_p", lambda x: F.struct(x["value"].alias("value"), F.lit("").alias("head"), x["gap"].alias("gap"))))
+    docs = docs.withColumn("_p", _blocks(text)).withColumn("_p", named)
+    # the head of the next value belongs to the gap
+    docs = docs.withColumn("_p", F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), lambda x, y: F.struct(x["value"].alias("value"), F.concat(x["gap"], F.coalesce(y["head"], F.lit(""))).alias("gap"))))
+    docs = docs.withColumn("_p", F.flatten(F.transform("_p", _runs)))
+    return docs.withColumns({"_gaps": F.transform("_p", lambda x: x["gap"]), "_values": F.transform(F.slice("_p", F.lit(2), F.size("_p")), lambda x: x["value"])}).drop("_p")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -95,7 +132,7 @@ NUMBERS = ["f_length", "f_transitions", "f_dictionary", "f_digits", "f_upper", "
 
 def weak_labels() -> Column:
     """1 for findings of a secret's format, or with a letter and assigned to a secret's name, else 0."""
-    named = F.lower("before").rlike(rf"""(?:{"|".join(NAMES)})["']?\s*[=:]\s*["']?$""") & F.col("value").rlike("[A-Za-z]")
+    named = (F.lower("before").rlike(rf"""(?:{"|".join(NAMES)})["']?\s*[=:]\s*["']?$""") | F.col("before").rlike(rf"{USER}$")) & F.col("value").rlike("[A-Za-z]")
     harmless = F.lower(F.concat("before", F.col("value"))).rlike("|".join(HARMLESS))
     return ((F.col("value").rlike("|".join(FORMATS)) | named) & ~harmless).cast("double")
 

@@ -191,7 +191,7 @@ KEYS = ["conv_id", "turn", "role", "turn_hash"]
 def keyed(rows: DataFrame) -> DataFrame:
     """rows with turn_hash, null roles and texts as one space."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("role", "text"))
-    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).withColumn("turn_hash", ordered.turn_hash(F.col("role"), F.col("text")))
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).withColumn("turn_hash", F.substring(ordered.turn_hash(F.col("role"), F.col("text")), 1, 16))
 
 
 def same(a: str, b: str, *keys: str) -> Column:
@@ -346,8 +346,10 @@ def repaired(rows: DataFrame) -> DataFrame:
 
 def reports(rows: DataFrame) -> DataFrame:
     """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of each conversation, taken as its rows
-    pass in order; only the audit is held, one character for each edit."""
-    full = with_texts(edits(rows), rows)
+    pass in order; only the audit is held, one character for each edit. Texts are moved once: they follow the row that
+    tells what becomes of them."""
+    found = edits(rows).select(*KEYS, F.lit(0).alias("of"), "n", "blank", "truncated", "first", "edits", "made", F.lit(None).cast("string").alias("text"))
+    full = found.unionByName(keyed(rows).select(*KEYS, F.lit(1).alias("of"), "text"), allowMissingColumns=True)
     names = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     types = [*[pa.int64()] * 7, pa.string(), pa.string()]
 
@@ -386,22 +388,29 @@ def reports(rows: DataFrame) -> DataFrame:
             return (self.conv, gaps, self.blank, self.duplicate, self.truncated, self.illegal, self.cost, "".join(self.audit), self.sha.hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        now, turn = None, None  # the conversation and the turn that are open
         told = lambda done: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=names)
         for batch in batches:
             done = []
             for r in batch.to_pylist():
+                if r["of"]:
+                    turn["text"] = r["text"]
+                    continue
+                if turn:
+                    now.add(turn)
+                turn = r
                 if now is None or now.conv != r["conv_id"]:
                     done += [now.done()] if now else []
                     now = Open(r["conv_id"])
-                now.add(r)
             if done:
                 yield told(done)
-        if now:
+        if turn:
+            now.add(turn)
             yield told([now.done()])
 
-    order = [F.col(k).asc_nulls_first() for k in ("conv_id", "part", "turn", "role", "turn_hash")]
-    return full.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "turn", "role", "n", "blank", "truncated", "first", "edits", "made", "text").mapInArrow(run, "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
+    order = [F.col(k).asc_nulls_first() for k in (*KEYS, "of")]
+    columns = ["conv_id", "turn", "role", "of", "n", "blank", "truncated", "first", "edits", "made", "text"]
+    return full.repartition("conv_id").sortWithinPartitions(*order).select(*columns).mapInArrow(run, "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
 
 
 def op11_structure_repair(spark, sf_dir: str) -> DataFrame:

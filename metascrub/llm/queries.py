@@ -22,5 +22,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op10_mixing_sources": mixing.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
     "op2_warc": warc.ORACLE,
 }

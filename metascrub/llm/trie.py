@@ -343,3 +343,19 @@ def trie(conversations: DataFrame, most: int | None = None, band: int = BAND) ->
 def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
     """All nodes of the trie of all conversations."""
     return trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: The same on whole sequences of turns; crc32 bit by bit over the digits of an id.
+ORACLE = """with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as txt, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n from conversations where conv_id is not null),
+  c as (select conv_id, count(*) as n_own, conv_id - conv_id % 100 as head, xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::ubigint)),
+      lambda acc, b: list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda x: x::ubigint)), lambda z, i: xor(z >> 1, 3988292384::ubigint * (z & 1))))) % 6 as h from o group by conv_id),
+  k as (select c.*, least(c.h, coalesce(b.n_own, 0)) as n_head from c left join c b on b.conv_id = c.head),
+  r as (select k.conv_id, o.n as depth, role, txt from k join o on o.conv_id = k.head and o.n <= k.h union all select k.conv_id, o.n - k.h + k.n_head, role, txt from k join o on o.conv_id = k.conv_id and o.n > k.h),
+  s as (select conv_id, depth, txt, sha256(string_agg(length(role) || ':' || role || length(txt) || ':' || txt, '') over (partition by conv_id order by depth)) as node from r union all select conv_id, 0, '', '' from c),
+  p as (select *, lag(node) over (partition by conv_id order by depth) as up, depth = max(depth) over (partition by conv_id) as ends from s),
+  v as (select node, depth, min(conv_id) as conv_id, any_value(up) as up, count(*) as n_convs, (count(*) - 1) * max(length(txt)) as own, sha256(coalesce(string_agg(case when ends then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256 from p group by node, depth),
+  kids as (select up as node, count(*) as n_children from v where up is not null group by up),
+  below as (select distinct a.node as top, b.node from p a join p b on a.conv_id = b.conv_id and b.depth >= a.depth),
+  sums as (select top as node, sum(v.own)::bigint as saved_tokens, count(*) filter (where kids.node is null) as n_leaves from below join v on v.node = below.node left join kids on kids.node = below.node group by top)
+  select v.conv_id, v.depth::bigint as depth, u.conv_id as parent_conv_id, v.n_convs, coalesce(kids.n_children, 0) as n_children, n_leaves, saved_tokens, v.ends_sha256
+  from v join sums on sums.node = v.node left join kids on kids.node = v.node left join v u on u.node = v.up"""

@@ -22,6 +22,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op10_mixing_sources": mixing.ORACLE,
+    "op11_structure_repair": repair.ORACLE,
     "op12_prefix_trie": trie.ORACLE,
     "op2_warc": warc.ORACLE,
 }

@@ -421,3 +421,36 @@ def op11_structure_repair(spark, sf_dir: str) -> DataFrame:
     out = every.alias("c").join(found.alias("f"), same("c", "f", "conv_id"), "left")
     numbers = [F.coalesce(F.col(f"f.{n}"), F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("c.conv_id", *numbers, F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """The same by costs to come, turn by turn from the last one, as structs (c cost, a audit, t lines), which SQL compares in this order."""
+    crc = """xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::ubigint)),
+      lambda acc, b: list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda x: x::ubigint)), lambda z, i: xor(z >> 1, 3988292384::ubigint * (z & 1)))))"""
+    way = lambda v, cost, edit, line=None: f"{{'c': {v}.c + {cost}, 'a': '{edit}' || {v}.a, 't': " + (f"list_prepend({line}, {v}.t)" if line else f"{v}.t") + "}"
+    least = lambda *ways: ways[0] if len(ways) == 1 else f"list_sort([{', '.join(ways)}])[1]"
+    name = {USER: "user", ASSISTANT: "assistant"}
+    keeps = {START: [("s", SYSTEM), ("u", USER)], SYSTEM: [("u", USER)], USER: [("a", ASSISTANT)], ASSISTANT: [("u", USER)]}
+    truncated = f"(case when cut then {TRUNCATED} else 0 end)"
+    js = []
+    for q in range(4):
+        drop, to = way(f"v{q}", DELETE, "D"), MAKES[q]
+        rerole = way(f"v{to}", f"{REROLE} + {truncated}", "R", f"'{name[to]}:' || txt")
+        keep = " ".join(f"when ini = '{i}' then {way(f'v{k}', truncated, 'K', chr(34) + 'role' + chr(34) + chr(32) + '|| ' + repr(':') + ' || txt')}" for i, k in keeps[q])
+        js.append(f"case when must then {drop} else {least(drop, rerole, f'case {keep} else {drop} end')} end as j{q}")
+    insert = lambda v, to: way(v, INSERT, "I", f"'{name[to]}:'")
+    first = f"{least('j2', insert('j3', ASSISTANT))} as v2, {least('j3', insert('j2', USER))} as v3"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""with recursive d as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(txt, '[.!?]', '', 'g') else txt end as txt, unnest(case kind when 3 then [0, 1] else [0] end) as copy
+    from (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as txt, {crc} % 20 as kind from conversations) where kind <> 0),
+  n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, txt) as i, right(rtrim(txt, {blanks}), 1) as last, left(role, 1) as ini from d),
+  f as (select *, last = '' as blank, row_number() over (partition by conv_id, role, txt order by i) > 1 as again, last not in ('.', '!', '?') as cut, lag(ini) over (partition by conv_id order by i) || ini not in ('su', 'ua', 'au') as illegal from n),
+  g as (select *, blank or again as must from f),
+  r as (select conv_id, max(i) + 1 as i, {{'c': 0, 'a': '', 't': []::varchar[]}} as v0, {{'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}} as v1, {{'c': 3, 'a': 'I', 't': ['assistant:']}} as v2, {{'c': 0, 'a': '', 't': []::varchar[]}} as v3 from g group by conv_id
+    union all select conv_id, i, {least('j0', insert('v2', USER))}, {least('j1', insert('v2', USER))}, v2, v3 from (select conv_id, i, j0, j1, {first} from (select g.conv_id, g.i, {', '.join(js)} from r join g on g.conv_id is not distinct from r.conv_id and g.i = r.i - 1))),
+  s as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank, count(*) filter (where again and not blank) as duplicate, count(*) filter (where cut and not must) as truncated, count(*) filter (where illegal) as illegal from g group by conv_id)
+  select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(v0.c, 0)::bigint as cost, coalesce(v0.a, '') as audit, sha256(coalesce(array_to_string(v0.t, chr(10)), '')) as repaired_sha256
+  from (select distinct conv_id from conversations) c left join s on s.conv_id is not distinct from c.conv_id left join r on r.conv_id is not distinct from c.conv_id and r.i = 1"""
+
+
+ORACLE = _oracle()

@@ -492,10 +492,12 @@ def parts_explode(spark, sf):
     return images.explode_parts(made).select("doc_id", "part_seq", "part_kind")
 
 
-@query("check_signature", f"select doc_id, doc_id % 2 = 0 as jpeg, false as png, false as webp, doc_id % 2 = 1 as svg from documents")
+@query("check_signature", "select doc_id, doc_id % 5 = 0 as jpeg, doc_id % 5 = 1 as png, doc_id % 5 = 2 as webp, doc_id % 5 = 3 and contains(lower(left('<?xml?><' || lang || '><SVG>' || text, 1024)), '<svg') as svg from documents")
 def check_signature(spark, sf):
-    made = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 2 == 0, _jpeg(F.lit("x"), True)).otherwise(F.encode(F.concat(F.lit("<?xml?><SVG>"), F.col("source")), "UTF-8")).alias("content"))
-    return made.select("doc_id", *[images.signature(F.col("content"), k).alias(k) for k in ("jpeg", "png", "webp", "svg")])
+    text, kind = F.col("text"), F.col("doc_id") % 5
+    made = F.when(kind == 0, _jpeg(text, True)).when(kind == 1, _png(text, True)).when(kind == 2, _webp(text, True)).when(kind == 3, F.encode(F.concat(F.lit("<?xml?><"), "lang", F.lit("><SVG>"), text), "UTF-8")).otherwise(F.encode(text, "UTF-8"))
+    made = _docs(spark, sf).select("doc_id", made.alias("content"))
+    return made.select("doc_id", *[F.coalesce(images.signature(F.col("content"), k), F.lit(False)).alias(k) for k in ("jpeg", "png", "webp", "svg")])
 
 
 def _exif(spark, sf) -> DataFrame:

@@ -232,27 +232,38 @@ def symbols_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def conversations_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each conversation and part, from rows in order; each part holds a bounded number of rows."""
+def begins(rows: pa.RecordBatch) -> np.ndarray:
+    """Where a conversation or part begins that the row before is not in, but for the first row."""
+    conv, part = rows.column("conv_id"), np.asarray(rows.column("part"))
+    none, conv = np.asarray(conv.is_null().to_numpy(zero_copy_only=False), bool), np.asarray(conv.fill_null(0))
+    return np.flatnonzero((conv[1:] != conv[:-1]) | (none[1:] != none[:-1]) | (part[1:] != part[:-1])) + 1
+
+
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, cut where conversations or parts begin; each part holds a bounded number of rows."""
     held: list[pa.RecordBatch] = []
-    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    last = None
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     for batch in batches:
-        conv, part = batch.column("conv_id"), batch.column("part")
-        keys = list(zip(conv.to_pylist(), part.to_pylist()))
-        start = 0
-        for k, key in enumerate(keys):
-            if key != last:
-                if k > start:
-                    held.append(batch.slice(start, k - start))
-                if held:
-                    yield whole()
-                    held.clear()
-                start, last = k, key
-        if batch.num_rows > start:
-            held.append(batch.slice(start))
+        if not batch.num_rows:
+            continue
+        cuts = begins(batch).tolist()
+        if held and len(begins(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]).combine_chunks().to_batches()[0])):
+            cuts.insert(0, 0)
+        if cuts:
+            if cuts[-1]:
+                held.append(batch.slice(0, cuts[-1]))
+            yield joined()
+            held.clear()
+        held.append(batch.slice(cuts[-1] if cuts else 0))
     if held:
-        yield whole()
+        yield joined()
+
+
+def conversations_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """Rows of whole conversations and parts, their symbols, where each row's copies begin, and first and end row of each conversation."""
+    for rows in whole(batches):
+        cuts = begins(rows).tolist()
+        yield rows, *symbols_of(rows), list(zip([0, *cuts], [*cuts, rows.num_rows]))
 
 
 def summaries(parts: DataFrame) -> DataFrame:
@@ -260,17 +271,18 @@ def summaries(parts: DataFrame) -> DataFrame:
     vector and state the state behind the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in conversations_of(batches):
-            symbols, _ = symbols_of(rows)
-            every = np.arange(len(tables().vectors))
-            behind, before, _ = ahead(symbols, every)
-            state = np.tile(np.arange(4), (len(every), 1))
-            rest = len(symbols) % BLOCK
-            cuts = [*range(rest), *range(rest, len(symbols), BLOCK), len(symbols)]
-            for a, b, v in zip(cuts, cuts[1:], behind[::-1]):
-                block = tuple(symbols[a:b].tolist())
-                state = np.array([[expanded(x, block, s)[1] for s in row] for x, row in zip(np.asarray(v).tolist(), state.tolist())])
-            yield pa.RecordBatch.from_arrays([rows.column("conv_id")[:1], rows.column("part")[:1], pa.array([np.asarray(before).tolist()], pa.list_(pa.int32())), pa.array([state.ravel().tolist()], pa.list_(pa.int32()))], names=["conv_id", "part", "before", "leads"])
+        every = np.arange(len(tables().vectors))
+        for rows, all_symbols, at, each in conversations_of(batches):
+            for first, end in each:
+                symbols = all_symbols[at[first] : at[end]]
+                behind, before, _ = ahead(symbols, every)
+                state = np.tile(np.arange(4), (len(every), 1))
+                rest = len(symbols) % BLOCK
+                cuts = [*range(rest), *range(rest, len(symbols), BLOCK), len(symbols)]
+                for a, b, v in zip(cuts, cuts[1:], behind[::-1]):
+                    block = tuple(symbols[a:b].tolist())
+                    state = np.array([[expanded(x, block, s)[1] for s in row] for x, row in zip(np.asarray(v).tolist(), state.tolist())])
+                yield pa.RecordBatch.from_arrays([rows.column("conv_id")[first : first + 1], rows.column("part")[first : first + 1], pa.array([np.asarray(before).tolist()], pa.list_(pa.int32())), pa.array([state.ravel().tolist()], pa.list_(pa.int32()))], names=["conv_id", "part", "before", "leads"])
 
     return parts.select(*ROW).mapInArrow(run, "conv_id long, part int, before array<int>, leads array<int>")
 
@@ -308,14 +320,18 @@ def edits(rows: DataFrame) -> DataFrame:
     placed = parts.alias("p").join(known.alias("k"), same("p", "k", "conv_id", "part"), "left").select("p.*", "k.place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in conversations_of(batches):
-            symbols, at = symbols_of(chunk)
-            place = chunk.column("place")[0].as_py() or {"vector": 0, "state": START, "ends": True}
-            told, state = traced(symbols, place["vector"], place["state"])
-            if place["ends"]:
-                told[-1] = tuple(a + b for a, b in zip(told[-1], finish(state)))
-            both = [["".join(x[k] for x in told[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())] for k in range(2)]
-            yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in ROW), *map(pa.array, both)], names=[*ROW, "edits", "made"])
+        for rows, symbols, at, each in conversations_of(batches):
+            places = rows.column("place").take(pa.array([a for a, _ in each])).to_pylist()
+            copies, out = at.tolist(), []
+            for (first, end), place in zip(each, places):
+                place = place or {"vector": 0, "state": START, "ends": True}
+                told, state = traced(symbols[copies[first] : copies[end]], place["vector"], place["state"])
+                if place["ends"]:
+                    told[-1] = tuple(a + b for a, b in zip(told[-1], finish(state)))
+                out += told
+            if len(out) != rows.num_rows:  # some turns have copies
+                out = [tuple("".join(x[k] for x in out[a:b]) for k in range(2)) for a, b in zip(copies, copies[1:])]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ROW), *(pa.array([x[k] for x in out], pa.string()) for k in range(2))], names=[*ROW, "edits", "made"])
 
     done = ordered.in_order(placed, KEYS).select(*ROW, "place").mapInArrow(run, f"{ROW_DDL}, edits string, made string")
     return store.saved(done, "repair-edits")

@@ -11,7 +11,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 ASK = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q), 'pipeline' in q, sum(k.startswith('op') for k in q))"
 
 
-@pytest.mark.parametrize(("leave_out", "pipeline", "ops"), [((), True, 13), (("llm", "corpus_pipeline.py"), False, 0), (("llm",), False, 0), (("corpus_pipeline.py",), False, 10)])
+@pytest.mark.parametrize(("leave_out", "pipeline", "ops"), [((), True, 13), (("llm", "corpus_pipeline.py"), False, 0), (("llm",), False, 0), (("corpus_pipeline.py",), False, 13)])
 def test_queries_without(tmp_path, leave_out, pipeline, ops):
     if not ops or not os.path.isdir(f"{ROOT}/metascrub/llm"):
         pipeline, ops = False, 0

@@ -2,41 +2,47 @@
 
 Features are hashed runs of 1 to 4 bytes of the lower-cased letters of the whole text, with one space between words,
 scaled to length one. The family is told by one multinomial model over all families. The languages of a family are told
-apart by machines, one for each two of them, of which several are fitted at once. All are trained by Spark ML on a bounded
-sample of labelled rows: at most ``per_lang`` of each language, those with the least hash of doc_id. A family with one
-language needs no further machine. Every label value is learned.
+apart by machines, one for each two of them. All are fitted on every labelled row: the counts of runs are written once, and
+each step of the descent is one job that sums losses and gradients of all models over all rows. Every language weighs the
+same, however many rows it has. A family with one language needs no further machine. Every label value is learned.
 
 Machines tell learned languages apart; they cannot tell that a text is in none. For that each language has an outlier
 model: how much likelier its runs are than runs of no language at all, for a text and its predicted language the mean
-over the text's runs, and the share of letters. Both have floors below what labelled rows of the sample get, each
-judged by the runs of the half of the sample that it is not in.
+over the text's runs, and the share of letters. Both have floors below what labelled rows get, each judged by the runs of
+the half of the rows that it is not in.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metascrub.llm import store
 from metascrub.llm import text as tx
 
 DIM = 4096
-AT_ONCE = 4  #: machines that are fitted side by side
+REG = 1e-4  #: weight of the squared length of a model's weights
+KEPT = 8  #: steps that the descent remembers
+FIRST = 4.0  #: length of the first step, times the gradient
+TRIED = (1.0, 0.25)  #: lengths of a step that are tried in one job
+CLOSE = 100_000  #: quantiles are exact to one in this many rows
 #: Families of closely related languages. A language that is not here is its own family.
 FAMILIES = {
     "de": "germanic", "en": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "af": "germanic",
     "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance", "gl": "romance",
     "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "sk": "slavic", "bg": "slavic", "sr": "slavic", "hr": "slavic",
 }
+BLOCK = 64  #: rows of counts that are kept as one
+COUNT = np.arange(256, dtype=np.float32)
+ROOT = np.sqrt(COUNT)
 LETTER = np.array([i >= 128 or chr(i).isalpha() for i in range(256)])
 TIMES = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -65,15 +71,33 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(out, 1).ravel().astype(np.int32), start * 4
 
 
-def vectors(texts: list[str | None]) -> np.ndarray:
-    """A row of DIM features for each text."""
+def counts(texts: list[str | None]) -> np.ndarray:
+    """How often each of the DIM hashed runs comes in each text."""
     h, at = grams(texts)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
-    x = np.bincount(row * (DIM + 1) + h, minlength=len(texts) * (DIM + 1)).reshape(len(texts), DIM + 1)[:, :DIM].astype(np.float64)
-    x = np.sqrt(x)
+    return np.bincount(row * (DIM + 1) + h, minlength=len(texts) * (DIM + 1)).reshape(len(texts), DIM + 1)[:, :DIM]
+
+
+def vectors(texts: list[str | None]) -> np.ndarray:
+    """A row of DIM features for each text."""
+    x = np.sqrt(counts(texts).astype(np.float64))
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def packed(n: np.ndarray) -> tuple[bytes, bytes]:
+    """Rows of counts: their lowest bytes, compressed, and place and count of those that need more than one."""
+    at = np.flatnonzero(n > 255)
+    return pa.compress(n.astype(np.uint8).tobytes(), codec="zstd", asbytes=True), np.stack((at, n.ravel()[at])).astype(np.int64).tobytes()
+
+
+def unpacked(x: bytes, more: bytes, rows: int, roots: bool = False) -> np.ndarray:
+    """The rows of counts that ``packed`` took, or their square roots."""
+    out = (ROOT if roots else COUNT)[np.frombuffer(pa.decompress(x, rows * DIM, codec="zstd"), np.uint8)]
+    at, n = np.frombuffer(more, np.int64).reshape(2, -1)
+    out[at] = np.sqrt(n) if roots else n
+    return out.reshape(rows, DIM)
+
+
 def has_letter(text: str | None) -> bool:
     return any(c.isalpha() for c in text or "")
 
@@ -101,41 +125,38 @@ def _middle(text: str) -> str:
     return " ".join(w[len(w) // 2 :][:8])
 
 
-def _floor(values: np.ndarray) -> float:
-    """Twice as far below the median as one in a hundred of the values is."""
-    return float(np.median(values) - 2 * (np.median(values) - np.quantile(values, 0.01)))
+def _floor(quantiles: list[float]) -> float:
+    """Twice as far below the median as one in a hundred of the values is. quantiles: these two."""
+    middle, low = quantiles
+    return middle - 2 * (middle - low)
 
 
-def typical(sums: list, judged: DataFrame) -> dict:
-    """Of each language the outlier model (likelier, middle, floor, floor of the letters' share). sums: (lang, half, summed
-    shares of runs, texts); judged: (lang, text), the sample."""
-    halves = {(lang, half): (total, n) for lang, half, total, n in sums}
-    langs = {lang for lang, _ in halves}
-    both = {k: (sum(halves[k, h][0] for h in (0, 1) if (k, h) in halves), sum(halves[k, h][1] for h in (0, 1) if (k, h) in halves)) for k in langs}
-    tables = judged.sparkSession.sparkContext.broadcast({(k, h): likelier(halves[k, 1 - h][0] / halves[k, 1 - h][1]) for k in langs for h in (0, 1) if (k, 1 - h) in halves})
+def typical(sums: dict, rows: DataFrame) -> dict:
+    """Of each language the outlier model (likelier, middle, floor, floor of the letters' share). sums: (lang, half) to summed
+    shares of runs and texts; rows: see ``featured``. All rows are judged; the quantiles are theirs to one in CLOSE of them."""
+    langs = sorted({lang for lang, _ in sums})
+    both = {k: [sum(v[i] for (lang, _), v in sums.items() if lang == k) for i in (0, 1)] for k in langs}
+    tables = rows.sparkSession.sparkContext.broadcast({(k, h): likelier(sums[k, 1 - h][0] / sums[k, 1 - h][1]) for k in langs for h in (0, 1) if (k, 1 - h) in sums})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in tx.pieces(batches, most=1 << 20):
-            lang, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-            for s in range(0, len(texts), 100):
-                whole, names = texts[s : s + 100], lang[s : s + 100]
-                for some in (whole, [_middle(t) for t in whole]):
-                    x, (n, share) = vectors(some) ** 2, letters(some)
-                    fit = [float(x[k] @ t) if (t := tables.value.get((names[k], _half(whole[k])))) is not None and n[k] else None for k in range(len(some))]
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(fit, pa.float64()), pa.array(n, pa.int64()), pa.array(share, pa.float64())], names=["lang", "fit", "n", "share"])
-
-    # at most two short rows for each text of the sample
-    by_lang: dict[str, list] = {}
-    for r in judged.mapInArrow(run, "lang string, fit double, n long, share double").filter("fit is not null").collect():
-        by_lang.setdefault(r["lang"], []).append((r["fit"], r["n"], r["share"]))
+        for lang, half, n, share, total, x, more in blocks(batches):
+            table = tables.value.get((lang, half))
+            if table is not None:
+                fit = unpacked(x, more, len(n)) @ table.astype(np.float32) / np.maximum(total, 1)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(fit, pa.float64()), pa.array(n), pa.array(share)], names=["lang", "fit", "n", "share"])
+
+    judged = store.saved(rows.mapInArrow(run, "lang string, fit double, n long, share double").filter("n > 0"), "langid-fits")
+    told = judged.groupBy("lang").agg(F.count("*").alias("rows"), F.percentile_approx("fit", 0.5, CLOSE).alias("middle"), F.percentile_approx("share", [0.5, 0.01], CLOSE).alias("share"))
+    told = {r["lang"]: r for r in told.filter(F.col("rows") >= LEAST_ROWS).collect()}
+    apart = {}
+    if told:
+        middle = F.element_at(F.create_map(*[F.lit(x) for k, r in told.items() for x in (k, r["middle"])]), F.col("lang"))
+        steps = (F.col("fit") - middle) * F.sqrt(F.least("n", F.lit(ENOUGH)))  # as in _apart
+        apart = {r["lang"]: r["q"] for r in judged.filter(F.col("lang").isin(*told)).groupBy("lang").agg(F.percentile_approx(steps, [0.5, 0.01], CLOSE).alias("q")).collect()}
     out = {}
-    for lang in sorted(langs):
-        fit, n, share = (np.array(c, float) for c in zip(*by_lang[lang], strict=True)) if lang in by_lang else (np.empty(0),) * 3
-        table, middle, least, few = likelier(both[lang][0] / both[lang][1]), 0.0, -np.inf, 0.0
-        if len(fit) >= LEAST_ROWS:
-            middle = float(np.median(fit))
-            least, few = _floor(_apart(fit, n, middle)), min(MOST_SHARE, _floor(share))
-        out[lang] = (table, middle, least, few)
+    for k in langs:
+        table = likelier(both[k][0] / both[k][1])
+        out[k] = (table, told[k]["middle"], _floor(apart[k]), min(MOST_SHARE, _floor(told[k]["share"]))) if k in told else (table, 0.0, -np.inf, 0.0)
     return out
 
 
@@ -161,49 +182,169 @@ def sample_of(known: DataFrame, per_lang: int) -> DataFrame:
     return few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).select("lang", "text")
 
 
-def train(docs: DataFrame, per_lang: int = 600, families: dict[str, str] = FAMILIES, max_iter: int = 15, outliers: bool = False) -> dict:
-    """The model: learned languages by family, the family model (names, weights, intercepts), the machines (a, b, weights,
-    intercept), of which a positive margin says b, and, with outliers, the languages' outlier models. Rows with a null label
-    or text, without a letter, or held out are not learned from; repeated rows count as often as they come."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out())
-    sample = sample_of(known, per_lang)
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of ``featured``, one by one: lang, half, arrays of n, share and total, and the bytes of x and more."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            lang, half, n, share, total, x, more = (c[r] for c in batch.columns)
+            yield lang.as_py(), half.as_py(), *(c.values.to_numpy() for c in (n, share, total)), x.as_buffer(), more.as_buffer()
+
+
+def featured(known: DataFrame) -> DataFrame:
+    """All labelled texts, each as a whole and by its middle, as short texts are to be told apart, too. A row holds up to BLOCK of
+    them, of one language and half: of each n (letter bytes), share (of letters) and total (runs), of all x and more (packed
+    counts). The rows are written, as each step of the descent reads them."""
+    names = ["lang", "half", "n", "share", "total", "x", "more"]
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in tx.pieces(batches, most=1 << 20):
+    def block(key: tuple, some: list) -> pa.RecordBatch:
+        n, share, counted = zip(*some, strict=True)
+        counted = np.stack(counted)
+        row = *key, n, share, counted.sum(1), *packed(counted)
+        kinds = pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[tuple, list] = {}
+        held = 0
+        for piece in tx.pieces(batches, most=1 << 19):
             lang, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-            for s in range(0, len(texts), 100):
-                whole = texts[s : s + 100]
-                few = [_middle(t) for t in whole]  # short texts are to be told apart, too
-                x = np.concatenate((vectors(whole), vectors(few)))
-                yield pa.RecordBatch.from_arrays([pa.array(lang[s : s + 100] * 2, pa.string()), pa.array([_half(t) for t in whole] * 2, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64()))], names=["lang", "half", "x"])
+            for s in range(0, len(texts), BLOCK):
+                whole = texts[s : s + BLOCK]
+                for some in (whole, [_middle(t) for t in whole]):
+                    for name, t, *row in zip(lang[s:], whole, *letters(some), counts(some).astype(np.uint32), strict=False):
+                        open_.setdefault((name, _half(t)), []).append(row)
+                held += 2 * len(whole)
+                for key in [k for k, v in open_.items() if len(v) >= BLOCK or held > 32 * BLOCK]:  # many languages: smaller blocks
+                    own = open_.pop(key)
+                    held -= len(own)
+                    yield from (block(key, own[i : i + BLOCK]) for i in range(0, len(own), BLOCK))
+        yield from (block(key, own) for key, own in open_.items())
 
-    rows = sample.mapInArrow(featurise, "lang string, half int, x array<double>").select("lang", "half", array_to_vector("x").alias("features")).repartition(8).persist()
+    rows = store.saved(known.select("lang", "text").mapInArrow(run, "lang string, half int, n array<long>, share array<double>, total array<long>, x binary, more binary"), "langid")
+    return rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)  # a task tells one sum for each model
+
+
+def summed(rows: DataFrame) -> dict:
+    """Of each (lang, half) the summed squared features, the number of rows and the summed features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for lang, half, _, _, total, x, more in blocks(batches):
+            own = unpacked(x, more, len(total)) / np.maximum(total, 1)[:, None]
+            sums[lang, half] = sums.get((lang, half), np.zeros(2 * DIM + 1)) + np.concatenate((own.sum(0), np.sqrt(own).sum(0), [len(own)]))
+        for (lang, half), v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([half], pa.int32()), pa.array([v], pa.list_(pa.float64()))], names=["lang", "half", "v"])
+
+    told = rows.mapInArrow(run, "lang string, half int, v array<double>").groupBy("lang", "half").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()
+    out = {(r["lang"], r["half"]): r["v"].toArray() for r in told}
+    return {k: (v[:DIM], v[-1], v[DIM:-1]) for k, v in sorted(out.items())}
+
+
+def slopes(rows: DataFrame, tried: np.ndarray, uses: dict, n_families: int) -> tuple[np.ndarray, np.ndarray]:
+    """Losses and gradients of all models over all rows, in one job. tried: by trial and model the weights and the intercept;
+    uses: of each language its models (the families' first), its family, the machines' signs and the weight of a row in both."""
+    trials, models = tried.shape[:2]
+    shared = rows.sparkSession.sparkContext.broadcast((tried.astype(np.float32), uses))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, uses = shared.value
+        loss, slope = np.zeros((trials, models)), np.zeros((trials, models, DIM + 1))
+        for lang, _, _, _, total, x, more in blocks(batches):
+            which, family, sign, in_family, in_machine = uses[lang]
+            own = unpacked(x, more, len(total), roots=True)
+            long = np.sqrt(np.maximum(total, 1)).astype(np.float32)[:, None]  # scales features to length one
+            w = weights[:, which].reshape(-1, DIM + 1)
+            m = (own @ w[:, :-1].T / long + w[:, -1]).reshape(len(own), trials, len(which))
+            off = np.empty_like(m)
+            if n_families > 1:
+                part = m[:, :, :n_families] - m[:, :, :n_families].max(2, keepdims=True)
+                part = part - np.log(np.exp(part).sum(2, keepdims=True))
+                loss[:, 0] -= in_family * part[:, :, family].sum(0, dtype=np.float64)
+                off[:, :, :n_families] = in_family * (np.exp(part) - (np.arange(n_families) == family))
+            short = np.maximum(1 - sign * m[:, :, n_families:], 0)
+            loss[:, which[n_families:]] += in_machine * (short**2).sum(0, dtype=np.float64)
+            off[:, :, n_families:] = -2 * in_machine * sign * short
+            off = off.reshape(len(own), -1)
+            slope[:, which, :-1] += ((off / long).T @ own).reshape(trials, len(which), DIM)
+            slope[:, which, -1] += off.sum(0, dtype=np.float64).reshape(trials, len(which))
+        for t in range(trials):
+            for k in range(models):
+                yield pa.RecordBatch.from_arrays([pa.array([t * models + k], pa.int32()), pa.array([loss[t, k]]), pa.array([slope[t, k]], pa.list_(pa.float64()))], names=["k", "loss", "slope"])
+
+    told = rows.mapInArrow(run, "k int, loss double, slope array<double>").groupBy("k").agg(F.sum("loss").alias("loss"), Summarizer.sum(array_to_vector("slope")).alias("slope")).collect()
+    told = sorted(told, key=lambda r: r["k"])
+    return np.array([r["loss"] for r in told]).reshape(trials, models), np.array([r["slope"].toArray() for r in told]).reshape(trials, models, DIM + 1)
+
+
+def descend(rows: DataFrame, sums: dict, uses: dict, n_families: int, models: int, steps: int) -> np.ndarray:
+    """The weights and intercepts of all models, by limited-memory BFGS: of each the squared hinge loss or, of the families' together,
+    the multinomial loss. Features count from their mean over languages, which makes the descent short."""
+    langs = sorted(uses)
+    mean = sum(sum(v[2] for (lang, _), v in sums.items() if lang == k) / sum(v[1] for (lang, _), v in sums.items() if lang == k) for k in langs) / len(langs)
+    block = np.maximum(np.arange(models) - max(n_families - 1, 0), 0)  # the families' models are one
+    dot = lambda a, b: np.bincount(block, (a * b).sum(1))[block][:, None]
+
+    def at(tried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        plain = tried.copy()
+        plain[:, :, -1] -= tried[:, :, :-1] @ mean
+        loss, slope = slopes(rows, plain, uses, n_families)
+        slope[:, :, :-1] += REG * tried[:, :, :-1] - slope[:, :, -1:] * mean
+        loss += REG / 2 * (tried[:, :, :-1] ** 2).sum(2)
+        return np.array([np.bincount(block, x)[block] for x in loss])[:, :, None], slope
+
+    w = np.zeros((models, DIM + 1))
+    loss, slope = (x[0] for x in at(w[None]))
+    size, scale, past = np.full((models, 1), FIRST), np.ones((models, 1)), []
+    for _ in range(steps):
+        d, alphas = slope.copy(), []
+        for s, y, rho in reversed(past):
+            alphas.append(rho * dot(s, d))
+            d -= alphas[-1] * y
+        d *= size
+        for (s, y, rho), alpha in zip(past, reversed(alphas), strict=True):
+            d += s * (alpha - rho * dot(y, d))
+        tried = np.array([w - t * scale * d for t in TRIED])
+        losses, slopes_at = at(tried)
+        best, k = losses.argmin(0), np.arange(models)
+        better = losses.min(0) < loss
+        new, new_slope = tried[best[:, 0], k], slopes_at[best[:, 0], k]
+        s, y = np.where(better, new - w, 0), np.where(better, new_slope - slope, 0)
+        w, slope, loss, scale = np.where(better, new, w), np.where(better, new_slope, slope), np.where(better, losses.min(0), loss), np.where(better, 1, scale / 16)
+        sy, yy = dot(s, y), dot(y, y)
+        bent = sy > 1e-12 * yy
+        size = np.where(bent, sy / np.where(bent, yy, 1), size)
+        past = [*past, (s, y, np.where(bent, 1 / np.where(bent, sy, 1), 0))][-KEPT:]
+    w[:, -1] -= w[:, :-1] @ mean
+    return w
+
+
+def train(docs: DataFrame, per_lang: int | None = None, families: dict[str, str] = FAMILIES, max_iter: int = 15, outliers: bool = False) -> dict:
+    """The model: learned languages by family, the family model (names, weights, intercepts), the machines (a, b, weights,
+    intercept), of which a positive margin says b, and, with outliers, the languages' outlier models. It is learned from every
+    row but those with a null label or text, without a letter, or held out; repeated rows count as often as they come. A caller
+    may bound the rows of a language by ``per_lang``; no query does."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out())
+    rows = featured(known if per_lang is None else sample_of(known, per_lang))
+    sums = summed(rows)
     by_family: dict[str, list[str]] = {}
-    for lang in sorted(r["lang"] for r in rows.select("lang").distinct().collect()):
+    for lang in sorted({lang for lang, _ in sums}):
         by_family.setdefault(families.get(lang, lang), []).append(lang)
     names = sorted(by_family)
-    of = {lang: float(k) for k, name in enumerate(names) for lang in by_family[name]}
-
-    def family() -> tuple:
-        if len(names) < 2:
-            return names, np.zeros((len(names), DIM)), np.zeros(len(names))
-        label = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("lang"))
-        fit = LogisticRegression(maxIter=2 * max_iter, regParam=1e-4, standardization=False, family="multinomial").fit(rows.withColumn("label", label))
-        return names, fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()
-
-    def machine(pair: tuple[str, str]) -> tuple:
-        part = rows.filter(F.col("lang").isin(*pair)).withColumn("label", (F.col("lang") == pair[1]).cast("double"))
-        fit = LinearSVC(maxIter=max_iter, regParam=1e-4, standardization=False).fit(part)
-        return (*pair, fit.coefficients.toArray(), float(fit.intercept))
-
-    first = family()
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        machines = list(pool.map(machine, [p for k in names for p in combinations(by_family[k], 2)]))
-    model = {"families": by_family, "family": first, "machines": machines}
+    pairs = [p for k in names for p in combinations(by_family[k], 2)]
+    first = len(names) if len(names) > 1 else 0  # one family needs no model
+    w, n_langs = np.zeros((first + len(pairs), DIM + 1)), sum(map(len, by_family.values()))
+    uses = {}
+    for f, name in enumerate(names):
+        for lang in by_family[name]:
+            n, own = sum(v[1] for (k, _), v in sums.items() if k == lang), [k for k, p in enumerate(pairs) if lang in p]
+            sign = np.array([1 if pairs[k][1] == lang else -1 for k in own], np.float32)
+            uses[lang] = (np.array([*range(first), *(first + k for k in own)], np.int64), f, sign, 1 / (n * n_langs), 1 / (2 * n))
+    if len(w):
+        w = descend(rows, sums, uses, first, len(w), max_iter)
+    family = (names, w[:first, :-1], w[:first, -1]) if first else (names, np.zeros((len(names), DIM)), np.zeros(len(names)))
+    model = {"families": by_family, "family": family, "machines": [(*p, v[:-1], float(v[-1])) for p, v in zip(pairs, w[first:], strict=True)]}
     if outliers:
-        sums = rows.groupBy("lang", "half").agg(Summarizer.metrics("normL2", "count").summary(F.col("features")).alias("s")).select("lang", "half", "s.*").collect()
-        model["typical"] = typical([(r["lang"], r["half"], r["normL2"].toArray() ** 2, r["count"]) for r in sums], sample)
-    rows.unpersist()
+        model["typical"] = typical(sums, rows)
     return model
 
 

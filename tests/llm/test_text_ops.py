@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,6 +354,28 @@ def test_langid(spark):
     assert {x.lang_pred for x in langid.predict(one, langid.train(one)).collect()} == {"en", "und"}
 
 
+def test_langid_every_row(spark):
+    """What only a few of many rows of a language say is learned, too, and sums over rows are those of their features."""
+    said = {"en": ("house garden green river", "jfkp vbwq xxyk"), "de": ("haus garten gruen fluss", "zqxv wkzj qqhz")}
+    ids = spark.range(2000).withColumn("lang", F.when(F.col("id") % 2 == 0, "en").otherwise("de")).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 31))).withColumn("doc_id", F.col("id")).filter(~langid.held_out()).collect()
+    rows = []
+    for lang, own in said.items():
+        for k, r in enumerate(sorted((r for r in ids if r.lang == lang), key=lambda r: r.h)):
+            rows.append((r.id, own[k >= 620], lang))  # the 620 rows with the least hashes say something else
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(sum(r[2] == lang for r in rows) > 700 for lang in said)
+    tested = spark.createDataFrame([(k, own[1], lang) for k, (lang, own) in enumerate(said.items())], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(tested, langid.train(docs)).collect()}
+    assert [got[k].lang_pred for k in range(2)] == list(said) and all(r.score > 0.6 for r in got.values())
+
+    texts = ["e" * 700 + " tea", "some words", "seven more words are in this text of more words than eight", "é"] * 40
+    sums = langid.summed(langid.featured(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)))
+    for half in {langid._half(t) for t in texts}:
+        x = np.concatenate([langid.vectors([t, langid._middle(t)]) for t in texts if langid._half(t) == half])
+        squares, n, roots = sums["en", half]
+        assert n == len(x) and np.allclose(squares, (x**2).sum(0), rtol=1e-5) and np.allclose(roots, x.sum(0), rtol=1e-5)
+
+
 def test_secrets(spark):
     r = random.Random(9)
     hexed = lambda n: "".join(r.choices("0123456789abcdef", k=n))

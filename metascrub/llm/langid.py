@@ -407,14 +407,18 @@ def predict(docs: DataFrame, model: dict, whole: bool = False) -> DataFrame:
                     fits.append(True)
             told = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             if whole:
-                yield pa.RecordBatch.from_arrays([piece.column(0), *told, pa.array(fits, pa.bool_())], names=["row", "lang_pred", "score", "fits"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *told, pa.array(fits, pa.bool_())], names=["others", "text", "lang_pred", "score", "fits"])
             else:
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), *told], names=["doc_id", "held_out", "lang_pred", "score"])
 
     text = F.col("text").cast("string").alias("text")
     if whole:
-        rows = docs.select(F.struct(*docs.columns).alias("row"), text)
-        return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, fits boolean")
+        # no text goes to the tasks' Python twice: the row goes without a text that is a string
+        once = lambda c: c.lower() == "text" and dict(docs.dtypes)[c] == "string"
+        rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(docs.columns) if not once(c)]).alias("others"), text)
+        told = rows.mapInArrow(run, f"others {rows.schema['others'].dataType.simpleString()}, text string, lang_pred string, score double, fits boolean")
+        row = F.struct(*[(F.col("text") if once(c) else F.col(f"others.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+        return told.select(row.alias("row"), "lang_pred", "score", "fits")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, held_out().alias("held_out")).mapInArrow(run, PREDICTED)
 
 

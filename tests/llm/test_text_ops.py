@@ -376,6 +376,13 @@ def test_langid_every_row(spark):
         assert n == len(x) and np.allclose(squares, (x**2).sum(0), rtol=1e-5) and np.allclose(roots, x.sum(0), rtol=1e-5)
 
 
+def test_langid_whole_rows(spark):
+    """Rows come back as they were, whatever their columns are called."""
+    docs = spark.createDataFrame([(1, 2, "the house", "x", None), (None, 3, None, "y", 4.0), (5, 6, "", None, 7.0)], "doc_id long, `a.b` int, Text string, others string, c0 double")
+    got = langid.predict(docs, langid.train(docs.withColumn("lang", F.lit("en"))), whole=True).select("row.*")
+    assert got.columns == docs.columns and Counter(got.collect()) == Counter(docs.collect())
+
+
 def test_secrets(spark):
     r = random.Random(9)
     hexed = lambda n: "".join(r.choices("0123456789abcdef", k=n))

@@ -407,8 +407,8 @@ def _jpeg(text: F.Column, removed: bool) -> F.Column:
     seg = lambda mark, body: F.concat(F.unhex(F.lit(mark)), F.unhex(F.lpad(F.hex(F.octet_length(body) + 2), 4, "0")), body)
     pieces = [F.unhex(F.lit("FFD8FFE000074A46494600"))]
     if removed:
-        # the whole text, in as many segments as it needs
-        many = lambda mark, lead: F.aggregate(F.sequence(F.lit(0), F.ceil(F.octet_length(p) / SEGMENT) - 1), F.unhex(F.lit("")), lambda a, i: F.concat(a, seg(mark, F.concat(F.unhex(F.lit(lead)), F.substring(p, (i * SEGMENT + 1).cast("int"), F.lit(SEGMENT))))))
+        # the whole text, in as many segments as it needs; an empty one in one
+        many = lambda mark, lead: F.aggregate(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(p) / SEGMENT) - 1, F.lit(0))), F.unhex(F.lit("")), lambda a, i: F.concat(a, seg(mark, F.concat(F.unhex(F.lit(lead)), F.substring(p, (i * SEGMENT + 1).cast("int"), F.lit(SEGMENT))))))
         pieces += [many("FFE1", "457869660000"), many("FFFE", ""), many("FFED", "")]
     pieces += [F.unhex(F.lit("FFC0000B080001000101011100")), F.unhex(F.lit("FFDA0008010100003F00")), F.encode(F.lit("scan"), "UTF-8"), F.unhex(F.lit("FFD9"))]
     return F.concat(*pieces)
@@ -488,7 +488,9 @@ _EACH = "generate_series(1, ceil(octet_length(encode(text)) / 60000.0)::bigint)"
 @query("parts_explode", f"""select doc_id, unnest(range(len(kinds)))::int as part_seq, unnest(kinds) as part_kind from (
   select doc_id, ['D8', 'E0'] || list_transform({_EACH}, lambda i: 'E1') || list_transform({_EACH}, lambda i: 'FE') || list_transform({_EACH}, lambda i: 'ED') || ['C0', 'scan'] as kinds from documents)""")
 def parts_explode(spark, sf):
-    made = _docs(spark, sf).select("doc_id", _jpeg(F.col("text"), True).alias("content"))
+    """An empty text stands in no segment."""
+    text = F.col("text")
+    made = _docs(spark, sf).select("doc_id", F.when(text == "", _jpeg(text, False)).otherwise(_jpeg(text, True)).alias("content"))
     return images.explode_parts(made).select("doc_id", "part_seq", "part_kind")
 
 

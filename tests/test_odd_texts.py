@@ -32,3 +32,8 @@ def compared(spark, name, folder):
 def test_empty_and_long_texts(spark, odd, name):
     """A JPEG of an empty text has no segment where parts are listed; a strip finds one of each kind."""
     assert not compared(spark, name, odd())
+
+
+def test_short_artists(spark, odd):
+    """Values of up to four bytes stand in a TIFF entry, longer ones behind the directories; a null text has no value."""
+    assert not compared(spark, "tiff_identity_audit", odd(None, None, None))

@@ -352,15 +352,16 @@ def sink_zip_normalized(spark, sf):
 # --- whole packages and SVG files
 
 def _parts_digest(done: DataFrame) -> DataFrame:
-    """doc_id, status, removed and a digest over the parts of the cleaned archives."""
-    parts = archives.unzip_parts(done.select("doc_id", F.col("new_content").alias("content")), "doc_id").withColumn("t", F.concat("part_name", F.decode("data", "UTF-8")))
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_seq", "t"))), lambda x: x["t"]), "")
-    digest = parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.md5(told).alias("digest"))
-    return done.select("doc_id", "status", F.array_join("removed", "; ").alias("removed")).join(digest, "doc_id")
+    """doc_id, status, removed and a digest over the parts of the cleaned archives, in one pass."""
+    return archives.digests(done.select("doc_id", "status", F.array_join("removed", "; ").alias("removed"), F.col("new_content").alias("content")))
+
+
+OFFICE, OPEN = fx.parts_array(fx.PART_NAMES, fx.OOXML_DATA), fx.parts_array(fx.ODF_NAMES, fx.ODF_DATA)
 
 
-def _packed_parts(parts: DataFrame) -> DataFrame:
-    return archives.pack_zip(parts.withColumn("data", F.encode("data", "UTF-8")), "doc_id")
+def _packed(spark, sf, parts: str) -> DataFrame:
+    """(doc_id, content): an archive of each document, composed where the document is."""
+    return archives.pack_lists(fx.table(spark, sf, f"select doc_id, {parts} as parts from documents", dealt=True), "doc_id")
 
 
 def _clean_sql(rules, table: str, rewritten: str, removed: str) -> str:
@@ -375,7 +376,7 @@ _OFFICE_TOLD = """'document properties (created, creator, lastModifiedBy); app p
 
 @query("clean_office", _clean_sql(packages.OOXML, OOXML, f"select doc_id, part_seq, part_name, data, new_data from ({_REWRITE})", _OFFICE_TOLD))
 def clean_office(spark, sf):
-    return _parts_digest(clean.clean_packages(_packed_parts(_ooxml(spark, sf)), "office", key="doc_id"))
+    return _parts_digest(clean.clean_packages(_packed(spark, sf, OFFICE), "office", key="doc_id"))
 
 
 _ODF_NEW = "data"
@@ -388,7 +389,7 @@ _ODF_TOLD = """'document metadata (creator, ' || (case when doc_id % 2 = 0 then
 
 @query("clean_odf", _clean_sql(packages.ODF, ODF, _ODF_NEW, _ODF_TOLD))
 def clean_odf(spark, sf):
-    return _parts_digest(clean.clean_packages(_packed_parts(_odf(spark, sf)), "odf", key="doc_id"))
+    return _parts_digest(clean.clean_packages(_packed(spark, sf, OPEN), "odf", key="doc_id"))
 
 
 @query("clean_svg", _scrub_sql(D_SVG, "doc_id", "svg"))
@@ -659,7 +660,7 @@ def agg_findings(spark, sf):
 @query("agg_removed_list", f"select doc_id, {_OFFICE_TOLD} as removed from documents")
 def agg_removed_list(spark, sf):
     """From the findings in the parts of every archive; clean_office has the same list from the cleaning itself."""
-    files = _packed_parts(_ooxml(spark, sf)).select(F.concat("doc_id", F.lit(".docx")).alias("path"), "content")
+    files = _packed(spark, sf, OFFICE).select(F.concat("doc_id", F.lit(".docx")).alias("path"), "content")
     told = clean.removed_lists(clean.findings(files))
     return told.select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), F.array_join("removed", "; ").alias("removed"))
 
@@ -714,16 +715,12 @@ _MIXED = {0: ".docx", 1: ".odt", 2: ".jpg", 3: ".png", 4: ".webp", 5: ".svg", 6:
 
 def _mixed_files(spark, sf) -> DataFrame:
     """(path, content): a file of each document, of seven formats."""
-    kind = F.col("doc_id") % 7
-    text, d = F.col("text"), F.col("doc_id")
+    docs = fx.table(spark, sf, f"select doc_id, text, case when doc_id % 7 = 5 then {fx.SVG_TEXT} end as svg, case doc_id % 7 when 0 then {OFFICE} when 1 then {OPEN} end as parts from documents", dealt=True)
+    kind, text, d = F.col("doc_id") % 7, F.col("text"), F.col("doc_id")
     ext = F.element_at(F.create_map(*[F.lit(x) for pair in _MIXED.items() for x in pair]), kind.cast("int"))
-    path = F.concat(d, ext).alias("path")
-    made = F.when(kind == 2, _jpeg_with_gps(text, d)).when(kind == 3, _png(text, True)).when(kind == 4, _webp(text, True)).otherwise(F.encode(text, "UTF-8"))
-    files = _docs(spark, sf).filter(kind.isin(2, 3, 4, 6)).select(path, made.alias("content"))
-    files = files.unionByName(_svgs(spark, sf).filter(kind == 5).select(path, F.encode("svg", "UTF-8").alias("content")))
-    for k, parts in ((0, _ooxml(spark, sf)), (1, _odf(spark, sf))):
-        files = files.unionByName(_packed_parts(parts.filter(kind == k)).select(path, "content"))
-    return files
+    made = F.when(kind == 2, _jpeg_with_gps(text, d)).when(kind == 3, _png(text, True)).when(kind == 4, _webp(text, True)).when(kind == 5, F.encode("svg", "UTF-8")).when(kind == 6, F.encode("text", "UTF-8"))
+    files = archives.pack_lists(docs.select(F.struct(F.concat(d, ext).alias("path"), made.alias("made")).alias("file"), "parts"), "file")
+    return files.select("file.path", F.coalesce("content", "file.made").alias("content"))
 
 
 @query("clean_files", f"""with mixed as (

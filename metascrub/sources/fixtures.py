@@ -12,14 +12,14 @@ FILES = """select doc_id,
   n_chars * 1000 as length
 from documents"""
 
-SVG = """select doc_id, concat('<?xml version="1.0"?>',
+SVG_TEXT = """concat('<?xml version="1.0"?>',
   case when doc_id % 4 = 0 then '<?xml-stylesheet href="a.css"?>' else '' end, '<svg>',
   case when doc_id % 2 = 0 then concat('<metadata><dc:creator>', source, '</dc:creator></metadata>') else '' end,
   '<!-- ', replace(text, '--', ''), ' -->',
   case when doc_id % 5 = 0 then concat('<dc:title>', lang, '</dc:title>') else '' end,
   case when doc_id % 7 = 0 then '<image href="data:image/png;base64,AAAA"/>' else '' end,
-  case when doc_id % 3 = 0 then '<script>x()</script>' else '' end, '<circle r="', doc_id % 9, '"/></svg>') as svg
-from documents"""
+  case when doc_id % 3 = 0 then '<script>x()</script>' else '' end, '<circle r="', doc_id % 9, '"/></svg>')"""
+SVG = f"select doc_id, {SVG_TEXT} as svg from documents"
 
 #: Text of a document that is safe inside markup.
 BODY = "replace(replace(replace(replace(text, '<', ''), '>', ''), '\"', ''), chr(10), ' ')"
@@ -42,6 +42,12 @@ def parts_sql(names: list[str], data: str, engine: str) -> str:
     return f"select doc_id, part_seq, part_name, {data} as data from (select *, unnest(range({len(names)}))::int as part_seq, unnest([{listed}]) as part_name from documents)"
 
 
+def parts_array(names: list[str], data: str) -> str:
+    """The parts of ``parts_sql`` as an array in one row, for Spark."""
+    each = ", ".join(f"named_struct('part_seq', {k}, 'part_name', '{n}', 'data', cast({data.replace('part_seq', str(k))} as binary))" for k, n in enumerate(names))
+    return f"array({each})"
+
+
 OOXML_DATA = f"""case part_seq
   when 0 then concat('<cp:coreProperties><dc:creator>', source, '</dc:creator><dc:title> </dc:title><cp:lastModifiedBy>', lang, '</cp:lastModifiedBy><dcterms:created xsi:type="x">2020</dcterms:created></cp:coreProperties>')
   when 1 then concat('<Properties><Application>Word</Application><Company>', case when doc_id % 2 = 0 then source else '' end, '</Company><TotalTime>1</TotalTime></Properties>')
@@ -85,8 +91,7 @@ RESULTS = """select doc_id, concat('in/', source, '/f', doc_id, '.png') as path,
 from documents"""
 
 
-def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The SQL over documents of a folder."""
-    return spark.sql(f"select * from ({sql.replace('from documents', 'from {documents}')})", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
+def table(spark: SparkSession, sf_dir: str, sql: str, dealt: bool = False) -> DataFrame:
+    """The SQL over documents of a folder. dealt: documents are dealt to tasks anew, as a few large row groups are tasks of many files."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.sql(f"select * from ({sql.replace('from documents', 'from {documents}')})", documents=documents.repartition("doc_id") if dealt else documents)

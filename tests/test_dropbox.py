@@ -66,6 +66,39 @@ def test_batch_stopped_in_between(spark, tmp_path, monkeypatch):
     assert set(state(tmp_path)) == {"a_clean.docx", "c_clean.jpg"} and box(spark, tmp_path).reports().count() == 2
 
 
+def test_stream_is_planned_once(spark, tmp_path, monkeypatch):
+    """Three batches of one cleaning plan; each name in all three folders."""
+    put(tmp_path / "in", *(f"{k}/{n}" for k in range(3) for n in ("c.jpg", "d.svg", "e.txt", "f.png")))
+    plans, real = [], dropbox.clean.clean_files
+    monkeypatch.setattr(dropbox.clean, "clean_files", lambda *args: plans.append(1) or real(*args))
+    box(spark, tmp_path).start(str(tmp_path / "in/*"), str(tmp_path / "log"), per_trigger=4).awaitTermination()
+    told = box(spark, tmp_path).reports()
+    assert len(plans) == 1
+    assert told.select("batch").distinct().count() == 3 and told.filter("status = 'ok'").select("dst").distinct().count() == told.filter("status = 'ok'").count()
+    assert {"c_clean.jpg", "c_clean_1.jpg", "c_clean_2.jpg", "d_clean_2.svg"} <= set(state(tmp_path))
+
+
+def test_names_alone(spark):
+    """The short way gives what the long one gives, and nothing where a name is taken or comes twice."""
+    from metascrub.operators import reports
+
+    rows = [("in/a.jpg", "ok"), ("in/b.tar.gz", "clean"), ("x/.c", "ok"), ("y/a.jpg", "error")]
+    files = spark.createDataFrame(rows, "path string, status string")
+    taken = spark.createDataFrame([("out/a_clean_1.jpg",), ("out/z",)], "path string")
+    got = {tuple(r) for r in reports.name_alone(files, taken, "_clean", "out").select("path", "dst").collect()}
+    assert got == {tuple(r) for r in reports.name_outputs(files, taken, out_dir="out").select("path", "dst").collect()}
+    assert reports.name_alone(files, taken.unionByName(spark.createDataFrame([("out/a_clean.jpg",)], "path string")), "_clean", "out") is None
+    assert reports.name_alone(files.unionByName(spark.createDataFrame([("z/a.jpg", "ok")], "path string, status string")), taken, "_clean", "out") is None
+
+
+def test_batch_with_repeated_rows(spark, tmp_path):
+    """A path that comes twice in a batch is one file."""
+    put(tmp_path / "in", "1/c.jpg", "1/d.svg")
+    df = spark.read.format("binaryFile").load(str(tmp_path / "in/1")).select("path", "content")
+    box(spark, tmp_path).batch(df.unionAll(df), 0)
+    assert set(state(tmp_path)) == {"c_clean.jpg", "d_clean.svg"} and box(spark, tmp_path).reports().count() == 2
+
+
 def test_ledger(spark, tmp_path):
     """Many batches: none twice, also when batches are run again; compacted, the folders stay few."""
     r = random.Random(2)

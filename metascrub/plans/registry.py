@@ -118,11 +118,19 @@ def src_size_limit(spark, sf):
 
 @query("src_discover", "select doc_id, octet_length(encode(text))::bigint as length from documents")
 def src_discover(spark, sf):
-    """Every document as a file of its own table folder is too many files; a folder of text files, listed with their bytes."""
+    """Every document as a file of its own is too many files; a folder of files of many documents, listed with their bytes. A file is one row
+    when it is read, so its size is bounded: up to 128 documents of 64 KiB at most, or one that is longer."""
     folder = f"{_scratch(spark)}/files"
-    _docs(spark, sf).select(F.concat(F.col("doc_id"), F.lit("|"), F.hex(F.encode("text", "UTF-8"))).alias("value")).write.text(folder)
+    line = F.to_json(F.struct("doc_id", F.base64(F.encode("text", "UTF-8")).alias("body"))).alias("value")
+    long = F.coalesce(F.octet_length("text") > LONG_TEXT, F.lit(False))
+    for rows, each in ((~long, 128), (long, 1)):
+        _docs(spark, sf).filter(rows).select(line).write.mode("append").option("maxRecordsPerFile", each).text(folder)
     content = fs.discover(spark, folder, content=True).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).filter("line <> ''")
-    return content.select(F.substring_index("line", "|", 1).cast("long").alias("doc_id"), F.octet_length(F.unhex(F.substring_index("line", "|", -1))).cast("long").alias("length"))
+    told = content.select(F.from_json("line", "doc_id long, body string").alias("x"))
+    return told.select("x.doc_id", F.octet_length(F.unbase64("x.body")).cast("long").alias("length"))
+
+
+LONG_TEXT = 64 << 10  #: bytes of a text that is a file of its own
 
 
 def _scratch(spark: SparkSession) -> str:

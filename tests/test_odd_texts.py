@@ -37,3 +37,11 @@ def test_empty_and_long_texts(spark, odd, name):
 def test_short_artists(spark, odd):
     """Values of up to four bytes stand in a TIFF entry, longer ones behind the directories; a null text has no value."""
     assert not compared(spark, "tiff_identity_audit", odd(None, None, None))
+
+
+def test_files_are_bounded(spark, odd, monkeypatch):
+    """A folder of documents has no file over its bound, whatever the number of documents and the lengths; a null text has no length."""
+    sizes, real = [], registry.fs.discover
+    monkeypatch.setattr(registry.fs, "discover", lambda spark, *roots, **more: sizes.extend(r.length for r in real(spark, *roots).collect()) or real(spark, *roots, **more))
+    assert not compared(spark, "src_discover", odd(None, *("w" * 60_000 for _ in range(300))))
+    assert max(sizes) < 128 * 90_000 and sum(sizes) > 300 * 80_000
